@@ -1,0 +1 @@
+"""Scalar building blocks: columns from columns."""

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from . import corpus, search
+from .base import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracles():
-    return {}
+    return dict(ORACLES)
+
+
+def flagship(spark, sf_dir):
+    """Exact cosine top-k, then nDCG@10 and reciprocal rank per query."""
+    return search.scored(spark, sf_dir)
+
+
+__all__ = ["corpus", "flagship", "oracles", "queries", "search"]

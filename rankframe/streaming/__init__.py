@@ -1,0 +1 @@
+"""Append-only outputs, resume and running totals as Structured Streaming."""
