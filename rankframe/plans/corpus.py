@@ -290,7 +290,7 @@ query("j12_composite_key", "SELECT a.conv_id, a.turn, b.role AS next_role FROM c
 @query("j15_fuzzy_titles", "SELECT item_id AS lid, min(item_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS did, 2 AS edits FROM benchmark")
 def fuzzy(s, d):
     items = load(s, d, "benchmark")
-    typo = F.concat(F.lit("qq"), "text")
+    typo = F.concat(F.lit("qq"), text.normalise_title(F.col("text")))
     return evaluation.resolve_titles(items.select(F.col("item_id").alias("lid"), typo.alias("title")), items.select(F.col("item_id").alias("did"), F.col("text").alias("title"), F.lit(0).alias("cited")))
 
 
