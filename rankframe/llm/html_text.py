@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import maybe_broadcast, text_or_empty
 
 #: Pages that the weights are learned from at most, those of the smallest id hash.
 SAMPLE_PAGES = 2000
@@ -206,8 +206,9 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
 
 def learn_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most ``sample_pages`` pages that mark their article."""
-    sample = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]|articleBody")).select(F.xxhash64("page_id").alias("order"), "html")
-    sample = sample.orderBy("order", "html").limit(sample_pages).select("html")
+    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]|articleBody"))
+    ids = marked.select("page_id", F.xxhash64("page_id").alias("order")).distinct().orderBy("order", "page_id").limit(sample_pages).select("page_id")
+    sample = marked.join(maybe_broadcast(ids, sample_pages), "page_id", "left_semi").select("html")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

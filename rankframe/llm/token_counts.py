@@ -70,5 +70,6 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = TOK
     missing = _encoded(todo, tokenizer, ranks)
     missing.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
-    counted = keys.join(stored(), "digest", "left")
+    # A table, so that a content of very many copies can be split over tasks.
+    counted = keys.join(written(stored(), "token-stored"), "digest", "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
