@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import text_or_empty, written
+from .shared import maybe_broadcast, text_or_empty, written
 
 SHINGLE = 3
 SEED = 42
@@ -85,7 +85,8 @@ def near_links(points: DataFrame, hot: int = HOT) -> DataFrame:
         index.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "simhash-buckets"
     )
     two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(_near("a", "b"))
-    members = written(index.join(buckets.where("n > 2").select("variant", "n"), "variant"), "simhash-members")
+    more = buckets.where("n > 2").select("variant", "n")
+    members = written(index.join(maybe_broadcast(more, more.count()), "variant"), "simhash-members")
     few = members.where(F.col("n") <= hot)
     left, right = few.select("variant", F.col("fp").alias("a")), few.select("variant", F.col("fp").alias("b"))
     paired = left.join(right, "variant").where("a < b").select("a", "b").where(_near("a", "b"))
