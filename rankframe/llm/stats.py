@@ -6,19 +6,21 @@ Features depend on the text alone.  Words are runs of bytes other than space and
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 import numpy as np
 
 SYMBOLS = b"#*$%&|<>"
 #: Words in a repeated window.
 WINDOW = 5
+SMOOTH_WORDS, SMOOTH_CHARS = 8, 50
 
 FEATURES = (
     "log_words", "mean_word", "upper", "digit", "symbol", "pipe", "shout", "punct", "other_ascii", "non_ascii", "line_words",
-    "dup_lines", "repeat_words", "distinct_words", "short_text", "stop_marks", "lone_symbols", "markup", "title_words", "longest_word",
+    "dup_lines", "repeat_words", "distinct_words", "short_text", "stop_marks", "lone_symbols", "markup", "title_words", "longest_word", "stutter",
 )
 #: Features of which more can only lower a document's quality (for models with monotonic constraints).
-DECREASING = ("symbol", "pipe", "shout", "dup_lines", "repeat_words", "markup", "lone_symbols")
+DECREASING = ("symbol", "pipe", "shout", "dup_lines", "repeat_words", "markup", "lone_symbols", "stutter")
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -66,9 +68,11 @@ def features(data: bytes, words: list[bytes] | None = None, repeats: int | None
     count = lambda chars: int(sum(seen[c] for c in chars))
     lines, dups = duplicate_lines(data)
     upper = int(seen[65:91].sum())
+    # Ratios are drawn towards 0 by a few words and characters, so that a text of a word or two is not extreme.
+    w, c = n + SMOOTH_WORDS, size + SMOOTH_CHARS
     return [
-        float(np.log1p(n)), size / n, upper / size, int(seen[48:58].sum()) / size, count(SYMBOLS) / n, int(seen[124]) / n, int(seen[33]) / n,
-        count(b".,;:?") / n, count(b"@=_^~`\\/{}[]()\"'+-") / n, int(seen[128:].sum()) / size, np.log1p(n / max(1, lines)),
-        dups / max(1, lines), repeats / n, len(set(words)) / n, float(n < 10), count(b".!?") / n, sum(w in (b"|", b"*", b"#", b"$", b"&", b"%") for w in words) / n,
-        count(b"<>") / n, sum(65 <= w[0] <= 90 for w in words) / n, np.log1p(max(map(len, words))),
+        float(np.log1p(n)), size / w, upper / c, int(seen[48:58].sum()) / c, count(SYMBOLS) / w, int(seen[124]) / w, int(seen[33]) / w,
+        count(b".,;:?") / w, count(b"@=_^~`\\/{}[]()\"'+-") / w, int(seen[128:].sum()) / c, np.log1p(n / max(1, lines)),
+        dups / max(1, lines), repeats / w, (len(set(words)) + SMOOTH_WORDS) / w, float(n < 10), count(b".!?") / w, sum(x in (b"|", b"*", b"#", b"$", b"&", b"%") for x in words) / w,
+        count(b"<>") / w, sum(65 <= x[0] <= 90 for x in words) / w, np.log1p(max(map(len, words))), sum(map(eq, words, words[1:])) / w,
     ]
