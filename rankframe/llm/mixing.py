@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD_RE, maybe_broadcast, written
+from .shared import WORD_RE, maybe_broadcast, unused, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -112,10 +112,12 @@ def source_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: in
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, n_sources: int, hashed: Column) -> DataFrame:
-    """``rows`` with their source's plan and ``mix_copies``: how often the mix takes each row.  No row moves
-    while the plan is small enough to be broadcast."""
-    joined = rows.join(maybe_broadcast(plan, n_sources), rows["source"].cast("string").eqNullSafe(plan["mix_source"]))
-    return joined.withColumn("mix_copies", F.col("mix_rounds") + F.when(hashed < F.col("mix_threshold"), 1).otherwise(0))
+    """``rows`` with their source's plan and, last, ``mix_copies``: how often the mix takes each row.  Names that
+    ``rows`` has itself get underscores.  No row moves while the plan is small enough to be broadcast."""
+    side = plan.toDF(*(unused(rows, c) for c in plan.columns))
+    source, _, _, rounds, threshold = (side[c] for c in side.columns)
+    joined = rows.join(maybe_broadcast(side, n_sources), rows["source"].cast("string").eqNullSafe(source))
+    return joined.withColumn(unused(rows, "mix_copies"), rounds + F.when(hashed < threshold, 1).otherwise(0))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -132,8 +134,8 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     """Every row of ``docs``, all columns, as often as the mix takes it."""
     plan, n_sources = source_plan(written(sizes(docs), "mix-sizes"), weights, share, cap)
     taken = with_copies(docs, plan, n_sources, hash_of(docs["doc_id"]))
-    taken = taken.withColumn("mix_copy", F.explode(F.expr("array_repeat(1, cast(mix_copies AS INT))")))
-    return taken.select(*(docs[c] for c in docs.columns))
+    copies = F.array_repeat(F.lit(1), F.col(taken.columns[-1]).cast("int"))
+    return taken.withColumn(unused(taken, "mix_copy"), F.explode(copies)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:

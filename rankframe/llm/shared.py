@@ -19,6 +19,15 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 _made: list[tuple[SparkSession, str]] = []
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
     context = spark.sparkContext
