@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.llm import exact_dedup, mixing, packing, quality, simhash
-from rankframe.llm.shared import maybe_broadcast, table, text_or_empty, written
+from rankframe.llm.shared import maybe_broadcast, table, text_or_empty, unused, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,18 +24,20 @@ def _keep(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     Rows to drop are looked up by id and content, so texts are not shuffled while those are few enough to
     be broadcast; only rows that occur twice with the same id and content are brought together."""
-    keyed = docs.withColumn("__mark", exact_dedup.sha256_digest(text_or_empty(docs["text"])))
-    dropped = written(marks.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).distinct(), "pipeline-dropped")
-    twice = marks.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).count().where("count > 1").select("__id", "__of")
+    mark, id_, of = unused(docs, "mark"), unused(docs, "marked_id"), unused(docs, "marked_as")
+    keyed = docs.withColumn(mark, exact_dedup.sha256_digest(text_or_empty(docs["text"])))
+    named = marks.select(F.col("doc_id").alias(id_), F.col("mark").alias(of), F.col("kept").alias("kept"))
+    dropped = written(named.where("NOT kept").select(id_, of).distinct(), "pipeline-dropped")
+    twice = named.where("kept").groupBy(id_, of).agg(F.count("*").alias("rows")).where("rows > 1").select(id_, of)
     twice = written(twice, "pipeline-twice")
-    on = lambda side: keyed["doc_id"].eqNullSafe(side["__id"]) & (keyed["__mark"] == side["__of"])
+    on = lambda side: keyed["doc_id"].eqNullSafe(side[id_]) & (keyed[mark] == side[of])
     out = keyed.join(maybe_broadcast(dropped, dropped.count()), on(dropped), "left_anti")
     n_twice = twice.count()
     if n_twice:
         side = maybe_broadcast(twice, n_twice)
-        once = out.join(side, on(side), "left_semi").dropDuplicates(["doc_id", "__mark"])
+        once = out.join(side, on(side), "left_semi").dropDuplicates(["doc_id", mark])
         out = out.join(side, on(side), "left_anti").unionByName(once)
-    return out.drop("__mark")
+    return out.drop(mark)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
