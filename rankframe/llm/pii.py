@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_IPV6 = re.compile(r"[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f:]*")
 _SPELT = re.compile(r"([A-Za-z0-9._%+-]+) ?[\[(]?(?<=[ \[(])(?:at|AT|@)[\])]? ?([A-Za-z0-9-]+(?: ?[\[( ]? ?(?:dot|DOT)[\])]? ?[A-Za-z0-9-]+)+)")
 #: Endings that a wholly spelt address ("a at b dot com") must have; bracketed forms need none.
 _ENDINGS = frozenset("com org net edu gov info biz io co eu de fr es it uk us ca ch at nl".split())
@@ -175,15 +176,14 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
             start = first
             while start > colon_end and text[start - 1] in "0123456789abcdefABCDEF:":
                 start -= 1
-            m = _IPV6.match(text, start)
-            if m and len(m.group()) <= 39 and m.end() - m.start() > 4:
+            colon_end = _HEX_RUN.match(text, first).end()
+            if 4 < colon_end - start <= 39:
                 try:
-                    ipaddress.IPv6Address(m.group())
+                    ipaddress.IPv6Address(text[start:colon_end])
                 except ValueError:
                     pass
                 else:
-                    more.append(("ip", m.start(), m.end()))
-                colon_end = m.end()
+                    more.append(("ip", start, colon_end))
         elif kind == "cue":
             m = _LABELLED.match(text, last + 1)
             if m and 6 <= sum(c.isdigit() for c in m[1]) <= 30:
@@ -201,13 +201,27 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     order = lambda s: (s[1], _RANK[s[0]], s[2])
     base.sort(key=order)
     kept: list[tuple[str, int, int]] = []
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = _union(base)
     for span in sorted(set(more), key=order):
-        if not any(s < span[2] and span[1] < e for s, e in taken) and not (kept and span[1] < kept[-1][2]):
+        before = bisect_left(starts, span[2]) - 1
+        if not (before >= 0 and span[1] < ends[before]) and not (kept and span[1] < kept[-1][2]):
             kept.append(span)
     return base, kept
 
 
+def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans (by start) cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 

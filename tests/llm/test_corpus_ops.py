@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -94,6 +95,15 @@ def test_pii_more(spark):
     assert pii.find(clean) == ([], [])
 
 
+def test_pii_long_texts_take_linear_time():
+    began = time.time()
+    assert pii.find(":" * 400_000) == ([], [])
+    many = "a@b.c " * 30_000 + "(726) 555-7857, " * 30_000
+    base, more = pii.find(many)
+    assert len(base) == len(more) == 30_000
+    assert time.time() - began < 30
+
+
 def test_pii_query(spark, docs):
     rows, df, _ = docs
     out = pii.op1_pii(df).collect()
