@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composites, corpus, search
+from . import composites, corpus, extensions, search
 from .base import ORACLES, QUERIES
 
 
@@ -19,4 +19,4 @@ def flagship(spark, sf_dir):
     return search.scored(spark, sf_dir)
 
 
-__all__ = ["composites", "corpus", "flagship", "oracles", "queries", "search"]
+__all__ = ["composites", "corpus", "extensions", "flagship", "oracles", "queries", "search"]
