@@ -47,11 +47,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, of the smallest doc_id."""
+    """Of each group of near-duplicates one row stays, of the smallest doc_id.
+
+    Groups are told apart by their root: component_id is null or shared where ids are null or repeated."""
     found = written(simhash.near_duplicates(docs, carry=exact_dedup.sha256_digest(text_or_empty())), "pipeline-near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    best = written(found.groupBy("component_id").agg(F.min(order).alias("best")).withColumnRenamed("component_id", "of"), "pipeline-best")
-    marks = found.join(best, found["component_id"].eqNullSafe(best["of"])).select(
+    best = written(found.groupBy("root").agg(F.min(order).alias("best")), "pipeline-best")
+    marks = found.join(best, "root").select(
         "doc_id", "mark", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))).alias("kept")
     )
     return _keep(docs, written(marks, "pipeline-near-marks"))

@@ -101,15 +101,17 @@ def near_links(points: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, carry: Column | None = None) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach) and the carried ``mark``."""
+    """doc_id, fp, component_id (the smallest doc_id that links reach), the carried ``mark`` and ``root``.
+
+    ``root``, the component's smallest fingerprint, tells components apart; component_id need not."""
     marked = written(fingerprints(docs, shingle, carry), "simhash-fp")
     points = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
     roots = connected_components(near_links(points.select("fp"), hot))
     named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-named")
     least = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
-    classes = written(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "mark")
+    classes = written(named.select("fp", "root").join(least, "root").select("fp", "component_id", "root"), "simhash-classes")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "mark", "root")
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:

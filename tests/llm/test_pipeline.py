@@ -69,3 +69,12 @@ def test_stages(spark, tmp_path):
     kept = Counter(r[0] for r in out["mix"])
     assert {d: sum(1 for p in out["pack"] if p[0] == d and p[1] == 0) for d in kept} == dict(kept)
     assert sum(p[2] for p in out["pack"]) == sum(p[4] for p in out["pack"] if p[1] == 0)
+
+
+def test_near_copies_under_null_and_shared_ids(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])] + [(7, t) for t in texts[4:7]] + [(None, texts[4]), (9, texts[7]), (8, texts[7] + " ")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(8, texts[7] + " ")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
