@@ -75,6 +75,15 @@ def calls(turns: DataFrame, tools=TOOLS) -> DataFrame:
     return each.withColumn("problem", _problem(tools)).drop("given")
 
 
+def _spoken() -> Column:
+    """The text without the blocks that are calls; a block that does not parse stays as it is."""
+    blocks, between = F.regexp_extract_all("text", F.lit(CALL_RE), F.lit(0)), F.split("text", CALL_RE)
+    body = lambda block: F.regexp_extract(block, CALL_RE, 1)
+    left = F.transform(blocks, lambda block: F.when(F.try_parse_json(body(block)).isNull(), block).otherwise(""))
+    pieces = F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(left, i), F.lit(""))))
+    return F.trim(F.when(F.col("text").contains("<tool_call>"), F.array_join(pieces, "")).otherwise(F.col("text")))
+
+
 def link(turns: DataFrame, tools=TOOLS) -> DataFrame:
     """One row per message and per call, with sort columns (conv_id, order_turn, order_place, order_kind, turn)."""
     said = messages(turns)
@@ -100,7 +109,7 @@ def link(turns: DataFrame, tools=TOOLS) -> DataFrame:
     )
     plain = said.where("result_of IS NULL").select(
         "conv_id", "turn", "role", F.lit("message").alias("kind"), F.col("turn").alias("order_turn"), F.lit(-1).alias("order_place"), F.lit(0).alias("order_kind"), F.lit(None).cast("string").alias("call_id"), F.lit("plain").alias("status"),
-        F.to_json(F.struct(F.when(F.col("role") == "assistant", F.trim(F.regexp_replace("text", CALL_RE, ""))).otherwise(F.col("text")).alias("content"), "role")).alias("message"),
+        F.to_json(F.struct(F.when(F.col("role") == "assistant", _spoken()).otherwise(F.col("text")).alias("content"), "role")).alias("message"),
     )
     return plain.unionByName(call_rows).unionByName(result_rows)
 

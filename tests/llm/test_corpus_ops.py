@@ -2,6 +2,7 @@
 empty tables and clashing extra columns."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -247,6 +248,16 @@ def test_rules(spark, judged, docs):
     assert rules.judge(empty(spark), forest).count() == 0
 
 
+def test_chat_keeps_malformed_calls_as_text(spark):
+    good, bad, open_ = '<tool_call>{"id":"a","name":"search","arguments":{"query":"x"}}</tool_call>', "<tool_call>{broken</tool_call>", "<tool_call>{"
+    texts = [f"see {bad} ok", f"{good}see {bad}{good} ok {open_}", f"{open_}\n{good} then {good} end", bad, good, ""]
+    want = [f"see {bad} ok", f"see {bad} ok {open_}", f"{open_}\n{good} then  end", bad, "", ""]
+    turns = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    rows = chat.link(turns).collect()
+    assert [json.loads(r["message"])["content"] for r in sorted(rows, key=lambda r: r["conv_id"]) if r["kind"] == "message"] == want
+    assert sorted(r["conv_id"] for r in rows if r["kind"] == "call") == [1, 1, 2, 4]
+
+
 # ---- 5: simhash
 
 
