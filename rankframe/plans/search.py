@@ -66,6 +66,21 @@ def scored(s, d) -> DataFrame:
 
 for _name, _column in (("a1_ndcg_10", "ndcg_10"), ("a2_recall_100", "recall_100"), ("a3_mrr", "mrr"), ("a4_precision_10", "precision_10")):
     query(_name, f"SELECT qid, {_column} FROM metrics", "metrics")(lambda s, d, c=_column: scored(s, d).select("qid", c))
+
+
+@query("a2_recall_100_1000", """
+, deep AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM (
+  SELECT q.id AS qid, e.id AS did, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q JOIN e ON q.id <> e.id WHERE q.id % 10 = 0))
+SELECT qid, round(count(*) FILTER (rank <= 100) / n_rel, 6) AS recall_100, round(count(*) FILTER (rank <= 1000) / n_rel, 6) AS recall_1000,
+       round(coalesce(1.0::DOUBLE / min(rank) FILTER (rank <= 1000), 0), 6) AS mrr
+FROM deep JOIN qrels USING (qid, did) JOIN (SELECT qid, count(*) AS n_rel FROM qrels GROUP BY qid) USING (qid) GROUP BY qid, n_rel""", "qrels")
+def deep_recall(s, d):
+    """The run is as deep as the largest cut; ``scored`` stops at base.DEPTH.  Small query blocks bound a task's memory."""
+    deep = vector.top_k(query_points(s, d), points(s, d), 1000, skip_self=True, block=512)
+    found = metrics.per_query(deep, qrels(s, d), recall_cuts=(100, 1000))
+    return found.select("qid", "recall_100", "recall_1000", "mrr")
+
+
 query("a5_macro_mean", "SELECT count(*) AS n, round(avg(ndcg_10), 4) AS ndcg_10, round(avg(mrr), 4) AS mrr FROM metrics", "metrics")(lambda s, d: metrics.macro(scored(s, d), "ndcg_10", "mrr"))
 query("p12_judged_only", "SELECT DISTINCT qid FROM run WHERE qid IN (SELECT qid FROM qrels)", "run", "qrels")(lambda s, d: run(s, d).select("qid").distinct().join(qrels(s, d), "qid", "left_semi"))
 
