@@ -200,7 +200,7 @@ query("f3_normalise_title", "SELECT item_id, trim(regexp_replace(lower(text), '[
 
 @query("f4_title_edits")
 def edits(s, d):
-    items = load(s, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("a"), F.substring("text", 3, 60).alias("b"))
+    items = load(s, d, "benchmark").select("item_id", F.col("text").alias("a"), F.expr("substring(text, 3)").alias("b"))
     return items.select("item_id", text.title_edits(F.col("a"), F.col("b")).alias("edits"))
 
 

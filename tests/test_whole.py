@@ -25,3 +25,19 @@ def test_recall_goes_as_deep_as_its_cuts(spark):
     assert set(got) == set(want) and all(got[q] == pytest.approx(want[q], abs=1e-5) for q in want)
     shallow = {r["qid"]: r["recall_100"] for r in plans.queries()["a2_recall_100"](spark, SF).collect()}
     assert any(got[q][0] > shallow[q] for q in got)
+
+
+def indel(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+    return len(a) + len(b) - 2 * int(best[-1, -1]) if a and b else 10**6
+
+
+def test_title_edits_compare_whole_texts(spark, tmp_path):
+    texts = ["abcde " * 20 + "end", "The " + "x y" * 40 + " Tail!", "ab", "", None, "short", "q" * 61 + "  zz -- z"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    norm = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split())
+    got = {r["item_id"]: r["edits"] for r in plans.queries()["f4_title_edits"](spark, str(tmp_path)).collect()}
+    assert got == {i: indel(norm(t or ""), norm((t or "")[2:])) for i, t in enumerate(texts)}
