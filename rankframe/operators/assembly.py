@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeds import order_key
+from .planning import positions
 
 
 def stratified_pick(items: DataFrame, k: int, run: str = "0") -> DataFrame:
@@ -75,26 +76,25 @@ def batches(major: DataFrame, minor: DataFrame, batch: int, ratio: int) -> DataF
     return rows.crossJoin(F.broadcast(limit)).select("lane", "place", F.when(F.col("batch") < F.col("n_batches"), F.col("batch")).cast("long").alias("batch"))
 
 
-def pack_by_length(lengths: DataFrame, count: int, budget: int, block: int = 4096) -> DataFrame:
+def pack_by_length(lengths: DataFrame, count: int, budget: int) -> DataFrame:
     """``lengths(id, length)`` longest first into batches of at most ``count`` and, with a budget, at most
-    budget // longest each.  Blocks of the sorted order are packed on their own, so the work is parallel."""
-    import pandas as pd
-
-    order = lengths.orderBy(F.desc("length"), "id").withColumn("block", F.floor(F.monotonically_increasing_id() / block))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id"], ascending=[False, True])
-        batch, held, out = 0, 0, []
-        width = 0
-        for length in rows["length"]:
-            width = max(width, length) if held else length
-            if held and (held >= count or (budget and (held + 1) * width > budget)):
-                batch, held, width = batch + 1, 0, length
-            held += 1
-            out.append(batch)
-        return pd.DataFrame({"block": rows["block"], "batch": out, "id": rows["id"], "length": rows["length"]})
-
-    return order.groupBy("block").applyInPandas(pack, "block long, batch long, id long, length long")
+    budget // longest each (one at least).  Batches are numbered over the whole table.
+
+    A batch's size depends on its longest length alone, so the fold over all rows goes by the counts of
+    distinct lengths (on the driver); a row's batch is then a closed form of its position."""
+    runs, start, first, batch = [], 0, 0, 0
+    counts = lengths.groupBy("length").agg(F.count("*").alias("n")).orderBy(F.desc("length"))
+    for length, n in counts.toLocalIterator():
+        size = max(1, min(count, budget // length)) if budget and length else max(1, count)
+        runs.append((length, first, batch, size))
+        start += n
+        opened = max(0, -((first - start) // size))
+        first, batch = first + opened * size, batch + opened
+    by_length = lengths.sparkSession.createDataFrame(runs, "of long, first long, next long, size long")
+    placed = positions(lengths.select("id", "length"), F.desc("length"), "id")
+    number = F.col("next") + F.floor((F.col("position") - F.col("first")) / F.col("size"))
+    rows = placed.join(F.broadcast(by_length), F.col("length").eqNullSafe(F.col("of")))
+    return rows.select(F.when(F.col("position") < F.col("first"), F.col("next") - 1).otherwise(number).cast("long").alias("batch"), "id", "length")
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:

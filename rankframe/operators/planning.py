@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeds import coin, order_key, uniform, weighted_pick
+from ..sources.files import scratch
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, n: int) -> DataFrame:
@@ -62,6 +63,17 @@ def uniform_sample(rows: DataFrame, key: str, n: int, run: str) -> DataFrame:
     return rows.withColumn("_order", order_key(F.lit(run), F.col(key))).orderBy("_order", key).limit(n).drop("_order")
 
 
+def positions(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds ``position`` (0, 1, …) in the given order: a range sort, written once, and an offset per partition."""
+    path = scratch(rows.sparkSession, "positions")
+    inside = F.monotonically_increasing_id()
+    rows.orderBy(*order).withColumns({"_part": F.shiftright(inside, 33), "_inside": inside.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return placed.join(F.broadcast(base), "_part").withColumn("position", F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
+
+
 def shuffled(rows: DataFrame, key: str, run: str) -> DataFrame:
     """Adds ``place``, the row's place in a seeded permutation, without one task for all rows: a range
     partitioning by digest and a running offset per partition."""

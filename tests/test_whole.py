@@ -41,3 +41,20 @@ def test_title_edits_compare_whole_texts(spark, tmp_path):
     norm = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split())
     got = {r["item_id"]: r["edits"] for r in plans.queries()["f4_title_edits"](spark, str(tmp_path)).collect()}
     assert got == {i: indel(norm(t or ""), norm((t or "")[2:])) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("count, budget", [(64, 20_000), (7, 0), (50, 90), (5000, 10**6)])
+def test_length_packing_is_one_fold(spark, count, budget):
+    rng = np.random.default_rng(5)
+    lengths = [int(n) for n in rng.integers(0, 300, 9000)] + [0, 5000, 20_000, 20_001]
+    want, width, held, batch = {}, 0, 0, 0
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        if held and (held >= count or (budget and (held + 1) * width > budget)):
+            batch, held = batch + 1, 0
+        width = width if held else lengths[i]
+        held += 1
+        want[i] = (batch, lengths[i])
+    rows = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").repartition(7)
+    got = assembly.pack_by_length(rows, count, budget).collect()
+    assert len(got) == len(want) and {r["id"]: (r["batch"], r["length"]) for r in got} == want
+    assert assembly.pack_by_length(rows.limit(0), count, budget).collect() == []
