@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,6 +75,17 @@ def positions(rows: DataFrame, *order: str | Column) -> DataFrame:
     return placed.join(F.broadcast(base), "_part").withColumn("position", F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
 
 
+def evenly_spaced(rows: DataFrame, order: str, count: int) -> DataFrame:
+    """The rows at ``count`` evenly spaced positions from the first to the last, whatever their ids are.
+
+    Positions are those of ``numpy.linspace`` cut to whole numbers; in fewer rows than ``count`` some repeat."""
+    placed = positions(rows, order)
+    n = placed.count()
+    picked = np.linspace(0, n - 1, count, dtype=np.int64).tolist() if n else []
+    at = rows.sparkSession.createDataFrame([(p,) for p in picked], "position long")
+    return placed.join(F.broadcast(at), "position").drop("position")
+
+
 def shuffled(rows: DataFrame, key: str, run: str) -> DataFrame:
     """Adds ``place``, the row's place in a seeded permutation, without one task for all rows: a range
     partitioning by digest and a running offset per partition."""

@@ -418,6 +418,11 @@ query("w16_uniform_sample", "SELECT doc_id FROM documents ORDER BY sha1('run|' |
 query("w17_even_sample", "SELECT vec_id FROM embeddings WHERE vec_id % 25 = 0 OR vec_id = (SELECT max(vec_id) FROM embeddings)")(
     lambda s, d: (lambda e: e.where(F.col("vec_id") % 25 == 0).unionByName(e.agg(F.max("vec_id").alias("vec_id"))).distinct())(load(s, d, "embeddings", "vec_id"))
 )
+query("w17_even_positions", """
+SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)
+JOIN (SELECT unnest(range(64)) AS k) ON i = CASE WHEN k = 63 THEN n - 1 ELSE floor(k * ((n - 1) / 63::DOUBLE)) END""")(
+    lambda s, d: planning.evenly_spaced(load(s, d, "embeddings", "vec_id"), "vec_id", 64)
+)
 query("w18_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY sha1('run|' || doc_id), doc_id) AS place FROM documents")(lambda s, d: planning.shuffled(load(s, d, "documents", "doc_id"), "doc_id", "run").select("doc_id", "place"))
 query("w19_best_of", "SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM orders GROUP BY o_custkey")(lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best")))
 query("w20_best_match", "SELECT user_id, arg_max(event_id, (event_type = 'click', value, -event_id)) AS best FROM events GROUP BY user_id")(

@@ -58,3 +58,11 @@ def test_length_packing_is_one_fold(spark, count, budget):
     got = assembly.pack_by_length(rows, count, budget).collect()
     assert len(got) == len(want) and {r["id"]: (r["batch"], r["length"]) for r in got} == want
     assert assembly.pack_by_length(rows.limit(0), count, budget).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 64, 1000])
+def test_even_sample_goes_by_position(spark, n):
+    ids = [3 + 25 * i * i for i in range(n)]
+    rows = spark.createDataFrame([(i,) for i in ids], "vec_id long").repartition(5)
+    want = [ids[i] for i in np.linspace(0, n - 1, 64, dtype=np.int64)] if n else []
+    assert sorted(r["vec_id"] for r in planning.evenly_spaced(rows, "vec_id", 64).collect()) == want
