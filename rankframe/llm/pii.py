@@ -39,15 +39,22 @@ _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f:]*")
-_SPELT = re.compile(r"([A-Za-z0-9._%+-]+) ?[\[(]?(?<=[ \[(])(?:at|AT|@)[\])]? ?([A-Za-z0-9-]+(?: ?[\[( ]? ?(?:dot|DOT)[\])]? ?[A-Za-z0-9-]+)+)")
+_SPELT = re.compile(r"([A-Za-z0-9._%+-]++) ?[\[(]?(?<=[ \[(])(?:at|AT|@)[\])]? ?([A-Za-z0-9-]+(?: ?[\[( ]? ?(?:dot|DOT)[\])]? ?[A-Za-z0-9-]+)+)")
 #: Endings that a wholly spelt address ("a at b dot com") must have; bracketed forms need none.
 _ENDINGS = frozenset("com org net edu gov info biz io co eu de fr es it uk us ca ch at nl".split())
 _STREET = re.compile(
     r"[0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'.-]+ ){1,4}"
     r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq)\b\.?"
 )
+_FRACTION = re.compile(r"[0-9]\.")
+_GROUP = re.compile(r"[0-9]+")
 _LABELLED = re.compile(r"(?:[ :#=.-]|(?:no|number|nr|num|id|code)\b){0,6}([A-Z]{0,2}[0-9][0-9A-Z -]{4,32}[0-9A-Z])")
 _CUES = ("ssn", "iban", "passport", "account", "acct", "tax id", "social security", "licence", "license no", "national id")
+#: The same at the start of a word, so that a long word is read once.
+_SPELT_WORD = re.compile(r"(?<![A-Za-z0-9._%+-])" + _SPELT.pattern)
+#: What spelt addresses are made of, in a row.
+_SPELT_CHARS = _LOCAL | frozenset("@[]() ")
+_SPELT_RUN = re.compile(r"[A-Za-z0-9._%+@\[\]() -]*")
 _SPELT_ANCHORS = ("[at]", "(at)", " dot ", "[dot]", "(dot)", " DOT ", "[AT]", "(AT)")
 
 
@@ -59,7 +66,7 @@ def _automaton():
     for digit in "0123456789":
         found.add_word(digit, ("digit", 1))
     found.add_word("@", ("at", 1))
-    found.add_word("::", ("colons", 2))
+    found.add_word(":", ("colons", 1))
     for word in _SPELT_ANCHORS:
         found.add_word(word, ("spelt", len(word)))
     for scheme in ("mailto:", "://"):
@@ -134,9 +141,20 @@ def _more_numbers(text: str, start: int, end: int) -> Iterator[tuple[str, int, i
                 break
             cut = m.group().rfind(" ")
             m = _IBAN.match(text, start - 2, start - 2 + cut) if cut > 0 else None
-    m = _STREET.match(text, start)
-    if m and not (start and text[start - 1].isalnum()):
-        yield "address", m.start(), m.end()
+    for group in _GROUP.finditer(text, start, end):
+        m = _STREET.match(text, group.start())
+        # Not inside a word, and not the fraction of a number.
+        if m and not text[max(0, group.start() - 1) : group.start()].isalnum() and not _FRACTION.match(text, max(0, group.start() - 2), group.start()):
+            yield "address", m.start(), m.end()
+
+
+def _spelt(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Spelt e-mail addresses of one run of the characters they are made of."""
+    m = _SPELT.match(text, start, end) or _SPELT_WORD.search(text, start, end)
+    while m:
+        if "[" in m.group() or "(" in m.group() or m.group().split()[-1].lower() in _ENDINGS:
+            yield "email", m.start(), m.end()
+        m = _SPELT.match(text, m.end(), end) or _SPELT_WORD.search(text, m.end(), end)
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -165,11 +183,11 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         elif kind == "spelt":
             if first < spelt_end:
                 continue
-            low = max(spelt_end, first - 80)
-            for m in _SPELT.finditer(text, low, min(len(text), first + 200)):
-                if "[" in m.group() or "(" in m.group() or m.group().split()[-1].lower() in _ENDINGS:
-                    more.append(("email", m.start(), m.end()))
-                    spelt_end = m.end()
+            start = first
+            while start > spelt_end and text[start - 1] in _SPELT_CHARS:
+                start -= 1
+            spelt_end = _SPELT_RUN.match(text, first).end()
+            more.extend(_spelt(text, start, spelt_end))
         elif kind == "colons":
             if first < colon_end:
                 continue

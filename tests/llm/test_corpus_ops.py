@@ -96,6 +96,20 @@ def test_pii_more(spark):
     assert pii.find(clean) == ([], [])
 
 
+def test_pii_more_inside_runs():
+    found = lambda t: [t[s:e] for _, s, e in pii.find(t)[1]]
+    assert found("built in 1998. 12 Oak Street") == ["12 Oak Street"]
+    assert found("(12 Oak Street)") == ["12 Oak Street"] and found("version 2.0 Oak Street") == []
+    assert found("see 2001:db8:0:0:1:2:3:abcd there at 12:30:45") == ["2001:db8:0:0:1:2:3:abcd"]
+    name, hosts = "n" * 120, " [dot] ".join(["part"] * 40)
+    assert found(f"write {name} [at] {hosts}, please") == [f"{name} [at] {hosts}"]
+    assert found("a [at] b [dot] com.x [at] y [dot] org") == ["a [at] b [dot] com", ".x [at] y [dot] org"]
+    began = time.time()
+    for text in ("a" * 400_000 + " dot ", "a dot " * 60_000, "joe [at] mail [dot] org, " * 20_000, "1 2. (3) " * 60_000, "ab:" * 130_000):
+        pii.find(text)
+    assert time.time() - began < 30
+
+
 def test_pii_long_texts_take_linear_time():
     began = time.time()
     assert pii.find(":" * 400_000) == ([], [])
