@@ -25,8 +25,8 @@ def vector_index(s, d):
 
 
 @query("s9_query_vectors", """
-SELECT 'own' AS kind, vec_id::VARCHAR AS qid, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0.9 AS near_unit FROM embeddings WHERE vec_id % 10 = 0
-UNION ALL SELECT 'numbered', (row_number() OVER (ORDER BY vec_id) - 1)::VARCHAR, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0.9 FROM embeddings WHERE vec_id % 10 = 0""")
+SELECT 'own' AS kind, vec_id::VARCHAR AS qid, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0.9 AS near_unit FROM embeddings
+UNION ALL SELECT 'numbered', (row_number() OVER (ORDER BY vec_id) - 1)::VARCHAR, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0.9 FROM embeddings""")
 def query_vectors(s, d):
     rows = base.query_points(s, d)
     own = banks.query_vectors(rows.withColumnRenamed("qid", "id")).withColumn("kind", F.lit("own"))
@@ -48,10 +48,10 @@ def database(s, d):
 
 @query("s15_pinned_snapshot", """
 SELECT 'corpus' AS split, doc_id::VARCHAR AS id, trim(text, ' ') AS text FROM documents
-UNION ALL SELECT 'queries', item_id::VARCHAR, trim(text, ' ') FROM benchmark WHERE item_id % 3 = 0""")
+UNION ALL SELECT 'queries', item_id::VARCHAR, trim(text, ' ') FROM benchmark WHERE contains(text, 'th')""")
 def pinned(s, d):
     root, benchmark = files.scratch(s, "snapshots"), load(s, d, "benchmark").withColumnRenamed("item_id", "_id")
-    judged = benchmark.where("_id % 3 = 0").select(F.col("_id").alias("query-id"), F.lit(0).alias("corpus-id"), F.lit(1).alias("score"))
+    judged = benchmark.where("contains(text, 'th')").select(F.col("_id").alias("query-id"), F.lit(0).alias("corpus-id"), F.lit(1).alias("score"))
     for revision in ("r1", "r2"):
         corpus = load(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.lit(revision == "r2"), F.col("text")).alias("text"))
         banks.write_snapshot({"corpus": corpus, "queries": benchmark, "qrels": judged}, root, "bench", revision)
@@ -60,7 +60,7 @@ def pinned(s, d):
     return corpus.unionByName(found["queries"].select(F.lit("queries").alias("split"), F.col("qid").alias("id"), "text"))
 
 
-@query("s22_bank_sink", "SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS copies, 'm-64' AS model FROM embeddings")
+@query("s22_bank_sink", "SELECT vec_id::VARCHAR AS id, 2 AS copies, 'm-64' AS model FROM embeddings")
 def bank(s, d):
     path = files.scratch(s, "bank")
     banks.write_bank(base.points(s, d), base.query_points(s, d).withColumnRenamed("qid", "id"), {"model": "m-64"}, path)
@@ -90,9 +90,9 @@ def encode_settings(s, d):
         "name": "b", "data": "/b/{task}", "dtype": "float16", "max_length": 4096, "model_overrides": {"m": {"max_length_cap": 512}},
         "tasks": {"t1": {"instruction": "Find it."}},
     }
-    chosen = settings.EncodeSettings.of(model, benchmark, "t1")
-    counted = load(s, d, "documents").groupBy("lang").agg(F.count(F.when(F.col("n_chars") > chosen.doc_length, 1)).alias("cut"))
-    return counted.withColumns({"instruction": F.lit(chosen.instruction), "data_dir": F.lit(chosen.data_dir)})
+    chosen = settings.run_settings(model, benchmark, "t1")
+    counted = load(s, d, "documents").groupBy("lang").agg(F.count(F.when(F.col("n_chars") > chosen["tokens"], 1)).alias("cut"))
+    return counted.withColumns({"instruction": F.lit(chosen["query_prompt"]), "data_dir": F.lit(chosen["folder"])})
 
 
 # ---- replaceable parts
@@ -100,7 +100,7 @@ def encode_settings(s, d):
 
 def _texts(s, d) -> tuple[DataFrame, DataFrame]:
     documents = load(s, d, "documents").select(F.col("doc_id").alias("did"), "text")
-    return documents, load(s, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("qid"), "text")
+    return documents, load(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 query("e1_replaceable_ranker", "WITH " + _BM25.lstrip("\n, "))(

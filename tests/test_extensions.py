@@ -64,18 +64,26 @@ def test_quoted_list():
         settings.quoted_list(["a", "b' OR '1'='1"])
 
 
-def test_encode_settings():
-    benchmark = {"name": "b", "data": "/{task}", "dtype": "f16", "max_length": 9, "tasks": {"t": None, "u": {"dir": "v", "instructions": {"default": "Do", "long": "Do it."}, "doc_instructions": {"long": "D"}}}}
-    of = lambda task, **model: settings.EncodeSettings.of({"name": "m", **model}, benchmark, task)
-    plain = of("t", instruction_suffix=".")
-    assert (plain.doc_length, plain.instruction, plain.data_dir, plain.dtype, plain.skip_same_ids) == (9, "", "/t", "f16", False)
-    assert (of("u", instruction_suffix=".").instruction, of("u", instruction_set="long", instruction_suffix=".").instruction) == ("Do.", "Do it.")
-    assert of("u", use_instruction=False).instruction == "" and of("u", instruction_set="long").doc_instruction == "D"
-    assert (of("u", max_length=100, max_length_cap=5).query_length, of("u", dtype="f32").dtype, of("u").data_dir) == (5, "f32", "/v")
+def test_run_settings():
+    tasks = {"t": None, "u": {"dir": "v", "instructions": {"default": "Do", "long": "Do it."}, "doc_instructions": {"long": "D"}, "ignore_identical_ids": True}}
+    benchmark = {"name": "b", "data": "/{task}", "dtype": "f16", "max_length": 9, "tasks": tasks, "model_overrides": {"other": {"dtype": "f8"}}}
+    of = lambda task, **model: settings.run_settings({"name": "m", **model}, benchmark, task)
+    plain = {"folder": "/t", "precision": "f16", "tokens": 9, "query_prompt": "", "document_prompt": "", "drop_own_id": False}
+    assert of("t", instruction_suffix=".") == plain
+    prompt = lambda **model: of("u", **model)["query_prompt"]
+    assert (prompt(instruction_suffix="."), prompt(instruction_set="long", instruction_suffix=".")) == ("Do.", "Do it.")
+    assert prompt(use_instruction=False) == "" and of("u", instruction_set="long")["document_prompt"] == "D" and of("u")["drop_own_id"]
+    assert (of("u", max_length=100, max_length_cap=5)["tokens"], of("u", dtype="f32")["precision"], of("u", name="other", dtype="f32")["precision"]) == (5, "f32", "f8")
+    assert of("u")["folder"] == "/v" and of("u", max_length=None)["tokens"] == 9
     with pytest.raises(KeyError):
         of("w")
 
 
+def test_layers():
+    found = settings.Layered({"a": {"b": 1, "c": 2}, "d": 5}, {"a": {"b": 3}, "d": None})
+    assert (found.get("a.b"), found.get("a.c"), found.get("d"), found.get("a.x", 7), found.first("x", "a.c")) == (3, 2, 5, 7, 2)
+
+
 def test_missing_prompt_file(spark):
     folder = files.scratch(spark, "prompts")
     spark.createDataFrame([("{a}",)], "value string").write.text(folder)
