@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.seeds import seed_int
+from .planning import positions
+
 
 def _gain(rel: Column, rank: Column) -> Column:
     return F.when(rel > 0, rel / (F.ln(rank + 1) / F.ln(F.lit(2.0))))
@@ -64,22 +65,16 @@ def paired_test(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     return out.where("n >= 2").select("n", F.round("mean", 4).alias("delta"), t.alias("t"))
 
 
-def bootstrap_positive(differences: DataFrame, reps: int = 10_000, seed: int = 0, group: str | None = None) -> DataFrame:
-    """Share of resampled means above 0, from the counts of distinct differences (d, n): a resample of n
-    rows is a multinomial draw, so rows are never gathered one by one."""
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("d")
-        n = int(rows["n"].sum())
-        if not n:
-            return pd.DataFrame({"n": [0], "p": [None]})
-        rng = np.random.default_rng(seed)
-        wins, done = 0, 0
-        while done < reps:
-            step = min(reps - done, max(1, 2_000_000 // len(rows)))
-            wins += int((rng.multinomial(n, rows["n"] / n, step) @ rows["d"].to_numpy() > 1e-12).sum())
-            done += step
-        return pd.DataFrame({"n": [n], "p": [wins / reps]})
-
-    counts = differences.groupBy(F.round("d", 6).alias("d")).agg(F.count("*").alias("n"))
-    return counts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(draw, "n long, p double")
+def bootstrap_positive(differences: DataFrame, key: str = "qid", reps: int = 10_000, seed: str = "0") -> DataFrame:
+    """``differences(key, d)``: n, and the share p of ``reps`` resamples of n rows whose mean is above 0.
+
+    Row j of resample r is the row whose number is a digest of (seed, r, j) modulo n, so resamples do not depend on
+    order or partitions.  Draws are counted per resample and row number before they meet the values."""
+    rows = positions(differences.select(key, F.round("d", 6).alias("d")), key).select("position", "d")
+    n = rows.count()
+    if not n:
+        return differences.sparkSession.createDataFrame([(0, None)], "n long, p double")
+    draws = differences.sparkSession.range(reps * n).select(F.expr(f"id div {n}").alias("rep"), F.pmod(seed_int(F.lit(seed), F.col("id")), F.lit(n)).alias("position"))
+    counted = draws.groupBy("rep", "position").agg(F.count("*").alias("times"))
+    sums = counted.join(rows, "position").groupBy("rep").agg(F.sum(F.col("times") * F.round(F.col("d") * 1_000_000).cast("long")).alias("total"))
+    return sums.agg(F.lit(n).cast("long").alias("n"), (F.count(F.when(F.col("total") > 0, 1)) / reps).alias("p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,11 +88,37 @@ def evenly_spaced(rows: DataFrame, order: str, count: int) -> DataFrame:
     return placed.join(F.broadcast(at), "position").drop("position")
 
 
+def running_before(rows: DataFrame, lane: list[str], order: list[str | Column], value: str, name: str = "before") -> DataFrame:
+    """Adds the sum of ``value`` over the rows that stand before a row in its lane (0 for the first).
+
+    Rows are range-sorted by lane and order and written once; sums inside a part are added to the totals of the
+    parts before it, so a lane of any size is spread over tasks.  ``order`` should be unique in a lane."""
+    path = scratch(rows.sparkSession, "running")
+    inside = F.monotonically_increasing_id()
+    rows.orderBy(*lane, *order).withColumns({"_part": F.shiftright(inside, 33), "_inside": inside}).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    within = W.partitionBy("_part", *lane).orderBy("_inside").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_part", *lane).agg(F.sum(value).alias("_total"))
+    upto = W.partitionBy(*lane).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each part and lane that meet: parts are few, and a lane spans neighbouring ones.
+    base = totals.select(F.col("_part").alias("_at"), *(F.col(c).alias(f"_of_{c}") for c in lane), F.coalesce(F.sum("_total").over(upto), F.lit(0)).alias("_base"))
+    met = F.col("_part") == F.col("_at")
+    for c in lane:
+        met = met & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = placed.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(base, met)
+    return out.withColumn(name, F.col("_base") + F.col("_own")).select(*rows.columns, name)
+
+
+#: Rows that one task of a seeded shuffle sorts, about.
+SHUFFLE_ROWS = 1_000_000
+
+
 def shuffled(rows: DataFrame, key: str, run: str) -> DataFrame:
-    """Adds ``place``, the row's place in a seeded permutation, without one task for all rows: a range
-    partitioning by digest and a running offset per partition."""
+    """Adds ``place``, the row's place in a seeded permutation, without one task for all rows: a partitioning by the
+    first hexadecimal digits of a digest, as many as the counted rows need, and a running offset per part."""
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / SHUFFLE_ROWS), 16)))
     keyed = rows.withColumn("_order", order_key(F.lit(run), F.col(key)))
-    bucket = F.substring("_order", 1, 2)
+    bucket = F.substring("_order", 1, digits)
     counts = keyed.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     base = counts.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_base"))
     inside = F.row_number().over(W.partitionBy("_bucket").orderBy("_order", key))

@@ -6,63 +6,172 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the corpus answers; more are answered in further passes.
-QUERY_BLOCK = 4096
+from ..functions.vectors import dot
 
+#: Queries in one block, and corpus rows in one: a pair of blocks is what one matrix product sees.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
+#: Query rows that one pass over the corpus answers (1 GB of 32-bit vectors of 256 parts); more take further passes.
+PASS_QUERIES = 1 << 20
+_HITS = "qid long, did long, score double"
 
-def _scan(corpus: DataFrame, qids: np.ndarray, vectors: np.ndarray, k: int, cosine: bool, digits: int, skip_self: bool) -> DataFrame:
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None] if cosine else vectors
+
+class _Best:
+    """The k best of each query of a block while corpus blocks go by.
+
+    What cannot reach a query's k best so far is not taken; the rest waits until it outweighs what is kept, then
+    both are cut to k a query.  Of rows of one id the best counts."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.floor = np.full(len(qids), -np.inf)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting = 0
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows (place of the query, id, score)."""
+        good = scores >= self.floor[at]
+        self.waiting.append((at[good], ids[good], scores[good]))
+        self.n_waiting += int(good.sum())
+        if self.n_waiting > max(1 << 16, len(self.kept[0])):
+            self.cut()
+
+    def cut(self) -> None:
+        at, ids, scores = (np.concatenate(x) for x in zip(self.kept, *self.waiting))
+        order = np.lexsort((-scores, ids, at))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(at[order]) != 0) | (np.diff(ids[order]) != 0)
+        order = order[new]
+        order = order[np.lexsort((ids[order], -scores[order], at[order]))]
+        place = np.arange(len(order)) - np.searchsorted(at[order], np.arange(len(self.qids)))[at[order]]
+        last = order[place == self.k - 1]
+        self.floor[at[last]] = scores[last]
+        order = order[place < self.k]
+        self.kept, self.waiting, self.n_waiting = (at[order], ids[order], scores[order]), [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.cut()
+        return pa.record_batch({"qid": self.qids[self.kept[0]], "did": self.kept[1], "score": self.kept[2]})
+
+
+def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+
+
+def _packed(vectors: DataFrame, size: int) -> DataFrame:
+    """Rows (id, as_id, vec) as blocks of at most ``size``: their ids, the width and the 64-bit parts as bytes.  Nothing moves."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                vec = part.column(2)
+                widths = set(pc.list_value_length(vec).to_pylist())
+                if len(widths) > 1 or None in widths:
+                    raise ValueError("vectors of one table differ in width, or one is null")
+                x = vec.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                if not np.isfinite(x).all():
+                    raise ValueError("a vector has a part that is not finite")
+                ids, names = (pa.array([part.column(i).to_pylist()], pa.list_(pa.int64())) for i in (0, 1))
+                yield pa.record_batch({"ids": ids, "names": names, "dim": pa.array([widths.pop()], pa.int32()), "raw": pa.array([x.tobytes()], pa.binary())})
+
+    source = vectors.select(F.col("id").cast("long"), F.col("as_id").cast("long"), F.col("vec").cast("array<double>"))
+    return source.mapInArrow(pack, "ids array<long>, names array<long>, dim int, raw binary")
+
+
+def _scan(corpus: DataFrame, blocks: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool) -> DataFrame:
+    """Every block of queries meets every block of the corpus where that lies; each task gives its own k best a query."""
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None] if cosine else x
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["vec"].to_numpy()).astype(np.float64)
-            if not np.isfinite(x).all():
-                raise ValueError("a vector has a part that is not finite")
-            if cosine:
-                x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-            scores = np.round(q @ x.T, digits)
-            ids = batch["id"].to_numpy()
-            if skip_self:
-                scores[qids[:, None] == ids[None, :]] = -np.inf
-            if scores.shape[1] > k:
-                floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-                at = np.nonzero((scores >= floor) & (scores > -np.inf))
-            else:
-                at = np.nonzero(scores > -np.inf)
-            yield pd.DataFrame({"qid": qids[at[0]], "did": ids[at[1]], "score": scores[at]})
-
-    return corpus.mapInPandas(partial, "qid long, did long, score double")
+            for block, qids, queries, ids, names, dim, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if block not in best:
+                    best[block] = _Best(np.array(qids, np.int64), k)
+                known, ids, names = best[block].qids, np.array(ids, np.int64), np.array(names, np.int64)
+                scores = np.round(unit(_matrix(queries, dim)) @ unit(_matrix([raw], dim)).T, digits)
+                if skip_self:
+                    scores[known[:, None] == ids[None, :]] = -np.inf
+                best[block].add(*_top(scores, names, k))
+        for found in best.values():
+            yield found.rows()
+
+    both = corpus.join(F.broadcast(blocks)).select("block", "qids", "queries", "ids", "names", "dim", "raw")
+    return both.mapInArrow(partial, _HITS)
+
+
+def _top(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, id, score) of each row's k best ids; ties go to the smaller id, equal ids count once."""
+    if len(set(names.tolist())) < len(names):
+        order = np.argsort(names, kind="stable")
+        names, starts = np.unique(names[order], return_index=True)
+        scores = np.maximum.reduceat(scores[:, order], starts, axis=1)
+    else:
+        order = np.argsort(names, kind="stable")
+        names, scores = names[order], scores[:, order]
+    if scores.shape[1] > k:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+        above, level = scores > floor, scores == floor
+        # Columns stand by id, so the first of those level with the k-th are those of the smaller ids.
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        chosen = np.ones(scores.shape, bool)
+    at = np.nonzero(chosen & (scores > -np.inf))
+    return at[0], names[at[1]], scores[at]
+
+
+def _search(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, block: int, shared_ids: bool = False) -> DataFrame:
+    asked = queries.select(F.col("qid").cast("long").alias("id"), F.col("qid").cast("long").alias("as_id"), "vec")
+    n = asked.count()
+    # Queries are dealt to blocks by digest: about ``block`` in each, and the blocks of a pass are broadcast.
+    n_blocks = max(1, -(-n // block))
+    of_block = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
+    packed = _packed(corpus, CORPUS_BLOCK)
+    passes = []
+    for low in range(0, n_blocks, max(1, PASS_QUERIES // block)):
+        mine = asked.withColumn("block", of_block).where((F.col("block") >= low) & (F.col("block") < low + max(1, PASS_QUERIES // block)))
+        raw = mine.select("block", "id", F.col("vec").cast("array<double>").alias("vec"))
+        blocks = raw.groupBy("block").agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select("block", F.col("rows.id").alias("qids"), F.col("rows.vec").alias("vecs"))
+        passes.append(_scan(packed, _with_bytes(blocks), k, cosine, digits, skip_self))
+    found = reduce(DataFrame.unionByName, passes)
+    if shared_ids:
+        # Another task may have met the same id.  Dealt by query once, for this and for the ranking.
+        found = found.repartition("qid").groupBy("qid", "did").agg(F.max("score").alias("score"))
+    return ranked(found, k)
+
+
+def _with_bytes(blocks: DataFrame) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [[np.asarray(v, "<f8").tobytes() for v in vecs] for vecs in batch.column(2).to_pylist()]
+            yield pa.record_batch({"block": batch.column(0), "qids": batch.column(1), "queries": pa.array(raw, pa.list_(pa.binary()))})
+
+    return blocks.mapInArrow(pack, "block long, qids array<long>, queries array<binary>")
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", digits: int = 6, skip_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """``queries(qid, vec)`` against all of ``corpus(id, vec)``: qid, did, score, rank.
 
-    Queries travel in blocks of a fixed size; each corpus partition keeps its own best k per query, so
-    only those are shuffled.  Scores are rounded before ranking and ties go to the smaller id."""
-    rows = queries.select("qid", "vec").orderBy("qid").toLocalIterator(prefetchPartitions=True)
-    parts: list[DataFrame] = []
-    held: list = []
+    A stated query set meets all rows, in blocks: query blocks are broadcast to the corpus partitions, and each
+    task keeps its best k a query over all its rows, so at most k rows a query and task are shuffled, also where
+    one vector is repeated everywhere.  Scores are rounded before ranking and ties go to the smaller id."""
+    return _search(queries, corpus.select("id", F.col("id").alias("as_id"), "vec"), k, metric == "cosine", digits, skip_self, block)
 
-    def flush() -> None:
-        qids, vectors = np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-        parts.append(_scan(corpus.select("id", "vec"), qids, vectors, k, metric == "cosine", digits, skip_self))
-        held.clear()
 
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            flush()
-    if held:
-        flush()
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "qid long, did long, score double, rank int")
-    return ranked(reduce(DataFrame.unionByName, parts), k)
+def all_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
+    """Every query against every row: qid, did and the dot product.  As many rows as both counts multiplied, so it is for
+    a stated, bounded query set; ``top_k`` is the way to keep the best."""
+    at = F.broadcast(queries.select("qid", F.col("vec").alias("asked")))
+    return corpus.select(F.col("id").alias("did"), "vec").join(at).select("qid", "did", F.round(dot(F.col("asked"), F.col("vec")), digits).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -71,10 +180,12 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k_distinct(queries: DataFrame, corpus: DataFrame, k: int, aliases: DataFrame) -> DataFrame:
-    """Top k over ids that several vectors may share: ``aliases(id, did)``; the best vector of an id counts."""
-    scored = top_k(queries, corpus, 1 << 30, skip_self=False).join(aliases.withColumnRenamed("did", "alias"), F.col("did") == F.col("id"))
-    return ranked(scored.groupBy("qid", F.col("alias").alias("did")).agg(F.max("score").alias("score")), k)
+def top_k_distinct(queries: DataFrame, corpus: DataFrame, k: int, aliases: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Top k over ids that several vectors may share: ``aliases(id, did)``; the best vector of an id counts.
+
+    Vectors take their shared ids before the search, so each task dedupes as it goes and keeps k distinct ids."""
+    named = corpus.join(aliases.select("id", F.col("did").alias("as_id")), "id").select("id", "as_id", "vec")
+    return _search(queries, named, k, True, 6, False, block, shared_ids=True)
 
 
 def without(run: DataFrame, excluded: DataFrame, depth: int) -> DataFrame:

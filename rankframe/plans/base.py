@@ -12,7 +12,8 @@ from ..operators import vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-DEPTH = 20
+#: Ranks of a run, and of a run that metrics are taken from: as deep as their largest cut.
+DEPTH, METRIC_DEPTH = 20, 100
 
 
 def query(name: str, sql: str | None = None, *ctes: str):
@@ -37,7 +38,7 @@ def points(spark, sf_dir) -> DataFrame:
 
 
 def query_points(spark, sf_dir) -> DataFrame:
-    return points(spark, sf_dir).where("id % 10 = 0").select(F.col("id").alias("qid"), "vec")
+    return points(spark, sf_dir).select(F.col("id").alias("qid"), "vec")
 
 
 def run(spark, sf_dir, depth: int = DEPTH) -> DataFrame:
@@ -53,7 +54,7 @@ def half_run(spark, sf_dir, low: int, depth: int = DEPTH) -> DataFrame:
 def qrels(spark, sf_dir) -> DataFrame:
     """Same label, another vector."""
     labelled = points(spark, sf_dir).select(F.col("id").alias("did"), "label")
-    asked = labelled.where("did % 10 = 0").withColumnRenamed("did", "qid")
+    asked = labelled.withColumnRenamed("did", "qid")
     return asked.join(labelled, "label").where("qid <> did").select("qid", "did", F.lit(1).alias("rel"))
 
 
@@ -68,7 +69,7 @@ _HALF = """
 {name} AS (
   SELECT * FROM (SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INT AS rank FROM (
     SELECT q.id AS qid, e.id AS did, round(list_inner_product(q.v[{low}:{high}], e.v[{low}:{high}]), 6) AS score
-    FROM e q JOIN e ON q.id <> e.id WHERE q.id % 10 = 0)) WHERE rank <= 20
+    FROM e q JOIN e ON q.id <> e.id)) WHERE rank <= {depth}
 )"""
 TABLES = {
     "e": "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)",
@@ -76,12 +77,13 @@ TABLES = {
 run AS (
   SELECT * FROM (SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INT AS rank FROM (
     SELECT q.id AS qid, e.id AS did, round(list_cosine_similarity(q.v, e.v), 6) AS score
-    FROM e q JOIN e ON q.id <> e.id WHERE q.id % 10 = 0)) WHERE rank <= 20
+    FROM e q JOIN e ON q.id <> e.id)) WHERE rank <= 20
 )""",
-    "left_run": _HALF.format(name="left_run", low=1, high=32),
-    "right_run": _HALF.format(name="right_run", low=33, high=64),
+    "left_run": _HALF.format(name="left_run", low=1, high=32, depth=DEPTH),
+    "right_run": _HALF.format(name="right_run", low=33, high=64, depth=DEPTH),
+    "left_deep": _HALF.format(name="left_deep", low=1, high=32, depth=METRIC_DEPTH),
     "runs": "runs AS (SELECT 'full' AS retriever, * FROM run UNION ALL SELECT 'left', * FROM left_run UNION ALL SELECT 'right', * FROM right_run)",
-    "qrels": "qrels AS (SELECT a.id AS qid, b.id AS did, 1 AS rel FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE a.id % 10 = 0)",
+    "qrels": "qrels AS (SELECT a.id AS qid, b.id AS did, 1 AS rel FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id)",
     "grades": """
 grades AS (
   SELECT r.qid, r.did, r.rank, r.score, CASE WHEN q.rel = 1 THEN greatest(g, 7) ELSE g END::INT AS grade FROM (
@@ -99,11 +101,12 @@ metrics AS (
   FROM n JOIN h USING (qid)
 )""",
 }
-TABLES["metrics_left"] = TABLES["metrics"].replace("metrics AS", "metrics_left AS", 1).replace("{run}", "left_run")
-TABLES["metrics"] = TABLES["metrics"].replace("{run}", "run")
+TABLES["deep"] = TABLES["run"].replace("run AS", "deep AS", 1).replace("rank <= 20", f"rank <= {METRIC_DEPTH}")
+TABLES["metrics_left"] = TABLES["metrics"].replace("metrics AS", "metrics_left AS", 1).replace("{run}", "left_deep")
+TABLES["metrics"] = TABLES["metrics"].replace("{run}", "deep")
 _NEEDS = {
     "run": ["e"], "left_run": ["e"], "right_run": ["e"], "runs": ["run", "left_run", "right_run"], "qrels": ["e"], "grades": ["run", "qrels"],
-    "metrics": ["run", "qrels"], "metrics_left": ["left_run", "qrels"],
+    "deep": ["e"], "left_deep": ["e"], "metrics": ["deep", "qrels"], "metrics_left": ["left_deep", "qrels"],
 }
 
 
