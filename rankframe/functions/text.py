@@ -35,7 +35,11 @@ def strip_suffix(x: Column, suffix: str) -> Column:
     return F.when(F.endswith(x, F.lit(suffix)), F.substring(x, F.lit(1), F.length(x) - len(suffix))).otherwise(x)
 
 
-def is_acronym(term: Column, longest: int = 8) -> Column:
+#: Shorter terms are not looked for; all-capital terms up to this length match case-sensitively.
+SHORTEST_TERM, LONGEST_ACRONYM = 3, 8
+
+
+def is_acronym(term: Column, longest: int = LONGEST_ACRONYM) -> Column:
     """All capitals and short: such terms match case-sensitively."""
     return (term == F.upper(term)) & (term != F.lower(term)) & (F.length(term) <= longest)
 
@@ -50,7 +54,7 @@ def leak_hit(text: Column, terms: Column) -> Column:
         quoted = F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b"))
         return F.when(is_acronym(t), F.regexp_like(text, quoted)).otherwise(F.regexp_like(text, F.concat(F.lit("(?iu)"), quoted)))
 
-    return F.try_element_at(F.filter(trimmed, lambda t: (F.length(t) >= 3) & hit(t)), F.lit(1))
+    return F.try_element_at(F.filter(trimmed, lambda t: (F.length(t) >= SHORTEST_TERM) & hit(t)), F.lit(1))
 
 
 def names_found(hay: Column, names: Column) -> Column:
@@ -112,24 +116,35 @@ def lenient_json(x: Column) -> Column:
     return F.coalesce(F.try_parse_json(x), F.try_parse_json(F.nullif(fenced, F.lit(""))), F.try_parse_json(F.nullif(outer, F.lit(""))))
 
 
-def _indel(a: str, b: str) -> int:
+def indel(a: str, b: str) -> int:
+    """Insertions and deletions that turn one title into the other; a million where one is empty.
+
+    The longest common subsequence row by row, a whole row in one number: a zero bit for each step of it."""
     if not a or not b:
         return 1_000_000
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            kept = row[j]
-            row[j] = last + 1 if x == y else max(row[j], row[j - 1])
-            last = kept
-    return len(a) + len(b) - 2 * row[-1]
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(b) - len(a) + 2 * row.bit_count()
 
 
 @F.pandas_udf(IntegerType())
 def _indel_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_indel(x or "", y or "") for x, y in zip(a, b)])
+    return pd.Series([indel(x or "", y or "") for x, y in zip(a, b)])
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Insertions and deletions between two titles that are normalised already (a substitution counts two)."""
+    return _indel_udf(a, b)
 
 
 def title_edits(a: Column, b: Column) -> Column:
-    """Insertions and deletions between two normalised titles (a substitution counts two)."""
-    return _indel_udf(normalise_title(a), normalise_title(b))
+    """``edits`` of two titles as they are."""
+    return edits(normalise_title(a), normalise_title(b))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeds import order_key
-from .planning import positions
+from .planning import positions, running_before
 
 
 def stratified_pick(items: DataFrame, k: int, run: str = "0") -> DataFrame:
@@ -32,10 +32,10 @@ def live_pairs(items: DataFrame) -> DataFrame:
 def group_split(rows: DataFrame, lane: str, group: str, fraction: float, run: str) -> DataFrame:
     """Whole groups, in seeded order, go to ``test`` until a fraction of the lane's rows is reached."""
     groups = rows.groupBy(lane, group).agg(F.count("*").alias("n"))
-    total = groups.withColumn("n_test", F.floor(F.sum("n").over(W.partitionBy(lane)) * fraction))
-    order = W.partitionBy(lane).orderBy(order_key(F.lit(run), F.col(lane), F.lit("split"), F.col(group)), group).rowsBetween(W.unboundedPreceding, -1)
-    marked = total.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    return marked.select(lane, group, F.when(F.col("before") < F.col("n_test"), "test").otherwise("train").alias("split"), "n")
+    totals = groups.groupBy(F.col(lane).alias("_lane")).agg(F.floor(F.sum("n") * fraction).alias("n_test"))
+    keyed = groups.withColumn("_key", order_key(F.lit(run), F.col(lane), F.lit("split"), F.col(group)))
+    placed = running_before(keyed, [lane], ["_key", group], "n").join(F.broadcast(totals), F.col(lane).eqNullSafe(F.col("_lane")))
+    return placed.select(lane, group, F.when(F.col("before") < F.col("n_test"), "test").otherwise("train").alias("split"), "n")
 
 
 def ratio_cycle(batch: int, ratio: int) -> list[int]:

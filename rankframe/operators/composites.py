@@ -94,8 +94,8 @@ def plan_summary(cells: DataFrame, run: str, *axes: str) -> DataFrame:
 def import_rows(rows: DataFrame, lane: str, key: str, *tests: tuple[Column, str]) -> DataFrame:
     """Rows with the reason that rejects them (null: none) and, for the others, a cell name numbered per lane."""
     judged = rows.withColumn("reason", planning.first_reason(*tests))
-    number = F.row_number().over(W.partitionBy(lane).orderBy(key))
-    kept = judged.where("reason IS NULL").withColumn("cell", F.format_string("%s-%04d", F.col(lane), number))
+    numbered = planning.running_before(judged.where("reason IS NULL").withColumn("_one", F.lit(1)), [lane], [key], "_one", "_number")
+    kept = numbered.withColumn("cell", F.format_string("%s-%04d", F.col(lane), F.col("_number") + 1)).drop("_one", "_number")
     return kept.unionByName(judged.where("reason IS NOT NULL").withColumn("cell", F.lit(None).cast("string")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeds import uniform
-from ..functions.text import normalise_title, title_edits
+from ..functions.text import edits, normalise_title, title_edits
 
 
 def unseen(hits: DataFrame) -> DataFrame:
@@ -24,30 +24,69 @@ def ranking_list(sources: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(by.orderBy("place"))).withColumn("score", (F.count("*").over(by) - F.col("rank") + 1).cast("double")).drop("place")
 
 
-def resolve_titles(listed: DataFrame, papers: DataFrame, limit: int = 3) -> DataFrame:
-    """``listed(lid, title)`` against ``papers(did, title, cited)``: the closest title within ``limit`` edits.
+#: Listed titles up to which their variants are broadcast to the papers.
+LISTED_ROWS = 10_000
+
 
-    Equal titles meet by an equality-join.  The others are cut into limit + 1 word-free pieces of fixed
-    places: with at most ``limit`` edits one piece of the listed title is found whole in the paper's, near
-    its own place, so pieces are an equality key; the edit distance then decides."""
-    from_list = listed.select("lid", normalise_title(F.col("title")).alias("a")).where("a <> ''")
-    from_papers = papers.select("did", "cited", normalise_title(F.col("title")).alias("b")).where("b <> ''")
+def resolve_titles(listed: DataFrame, papers: DataFrame, limit: int = 3) -> DataFrame:
+    """``listed(lid, title)`` against ``papers(did, title, cited[, pmid])``: the closest title within ``limit`` edits;
+    of equally close ones the record with a PMID, then the most cited, then the smallest did.
+
+    Titles are compared normalised, each distinct one once.  With at most ``limit`` edits one of limit + 1 pieces of
+    the paper's title stands whole in the listed one, near its own place.  So papers, the large side, give their
+    pieces (limit + 1 rows a title), and the listed titles, the small side, every substring that can be one, for every
+    length and place within the limit; these are an equality key, and the edit distance then decides."""
+    spelt = listed.select("lid", normalise_title(F.col("title")).alias("a"))
+    wanted = spelt.where("a <> ''").select("a").distinct()
+    pmid = F.coalesce("pmid", F.lit("")) if "pmid" in papers.columns else F.lit("")
+    rank = F.struct((pmid == "").alias("no_pmid"), (-F.coalesce("cited", F.lit(0))).alias("less_cited"), "did")
+    titles = papers.select(normalise_title(F.col("title")).alias("b"), rank.alias("rank")).where("b <> ''").groupBy("b").agg(F.min("rank").alias("rank"))
     pieces = limit + 1
+    from_, to = (lambda i: F.floor(F.col("m") * i / pieces).cast("int")), (lambda i: F.floor(F.col("m") * (i + 1) / pieces).cast("int"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("i")
+    cut = titles.withColumn("m", F.length("b")).select("b", "rank", "m", number)
+    cut = cut.select("b", "rank", "m", "i", F.substring(F.col("b"), from_(F.col("i")) + 1, to(F.col("i")) - from_(F.col("i"))).alias("key"))
     n = F.length("a")
-    piece = lambda i: F.substring("a", F.floor(n * i / pieces).cast("int") + 1, F.floor(n * (i + 1) / pieces).cast("int") - F.floor(n * i / pieces).cast("int"))
-    keyed = from_list.select("lid", "a", n.alias("n"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(n * i / pieces).cast("int").alias("at"), piece(i).alias("key")) for i in range(pieces)))).alias("p"))
-    # A paper offers, for every length a listed title may have, the pieces at every shifted place.
-    m = F.length("b")
-    lengths = F.explode(F.sequence(F.greatest(F.lit(1), m - limit), m + limit)).alias("n")
-    shifted = from_papers.select("did", "cited", "b", lengths).select("did", "cited", "b", "n", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("i"))
-    low, high = F.floor(F.col("n") * F.col("i") / pieces).cast("int"), F.floor(F.col("n") * (F.col("i") + 1) / pieces).cast("int")
-    shifted = shifted.select("did", "cited", "b", "n", "i", low.alias("at"), (high - low).alias("size"), F.explode(F.sequence(F.greatest(F.lit(0), low - limit), low + limit)).alias("place"))
-    offered = shifted.select("did", "cited", "b", "n", "i", F.substring(F.col("b"), F.col("place") + 1, F.col("size")).alias("key")).distinct()
-    met = keyed.select("lid", "a", "n", "p.i", "p.key").join(offered, ["n", "i", "key"]).select("lid", "a", "did", "cited", "b").distinct()
-    scored = met.where(F.levenshtein("a", "b", limit) >= 0).withColumn("edits", title_edits(F.col("a"), F.col("b"))).where(F.col("edits") <= limit)
-    best = F.row_number().over(W.partitionBy("lid").orderBy("edits", F.desc("cited"), "did"))
-    found = scored.withColumn("_n", best).where("_n = 1").select("lid", "did", "edits")
-    return listed.select("lid").join(found, "lid", "left")
+    sized = wanted.select("a", F.explode(F.sequence(F.greatest(F.lit(1), n - limit), n + limit)).alias("m")).select("a", "m", number)
+    low, high = from_(F.col("i")), to(F.col("i"))
+    placed = sized.select("a", "m", "i", (high - low).alias("size"), F.explode(F.sequence(F.greatest(F.lit(0), low - limit), low + limit)).alias("place"))
+    variants = placed.select("a", "m", "i", F.substring(F.col("a"), F.col("place") + 1, F.col("size")).alias("key")).where(F.length("key") == F.col("size")).distinct()
+    if wanted.count() <= LISTED_ROWS:
+        variants = F.broadcast(variants)
+    met = cut.join(variants, ["m", "i", "key"]).select("a", "b", "rank").distinct()
+    scored = met.where(F.levenshtein("a", "b", limit) >= 0).withColumn("edits", edits(F.col("a"), F.col("b"))).where(F.col("edits") <= limit)
+    best = scored.groupBy("a").agg(F.min(F.struct("edits", "rank")).alias("best")).select("a", F.col("best.rank.did").alias("did"), F.col("best.edits").alias("edits"))
+    return spelt.join(best, "a", "left").select("lid", "did", "edits")
+
+
+def zero_shot(lists: DataFrame, papers: DataFrame, keep: int, limit: int = 3) -> DataFrame:
+    """``lists(qid, place, title)``, titles that a model named from memory: each question's distinct ones, trimmed, and
+    the paper that each resolves to (null: it does not exist).  ``kept`` is the place of the first ``keep`` papers of a
+    question, each counted once; null for the others."""
+    trimmed = lists.select("qid", "place", F.trim("title").alias("title")).where("title <> ''")
+    once = trimmed.groupBy("qid", "title").agg(F.min("place").alias("place"))
+    keyed = once.withColumn("lid", F.struct("qid", "place"))
+    found = once.join(resolve_titles(keyed.select("lid", "title"), papers, limit).select("lid.qid", "lid.place", "did", "edits"), ["qid", "place"])
+    first = found.where("did IS NOT NULL").groupBy("qid", "did").agg(F.min("place").alias("place"))
+    first = first.withColumn("kept", F.row_number().over(W.partitionBy("qid").orderBy("place"))).where(F.col("kept") <= keep)
+    return found.join(first, ["qid", "place", "did"], "left")
+
+
+def hallucination_rate(resolved: DataFrame, *by: str) -> DataFrame:
+    """Of the titles listed (``did`` null where none exists): listed, unresolved and their share; null without any."""
+    out = resolved.groupBy(*by).agg(F.count("*").alias("listed"), F.count(F.when(F.col("did").isNull(), 1)).alias("unresolved"))
+    return out.withColumn("rate", F.round(F.col("unresolved") / F.nullif(F.col("listed"), F.lit(0)), 4))
+
+
+def best_match(cited: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """``cited(key, title, year, author)`` and the records a search found for each, ``records(key, place, did, title,
+    year, author)``: the best of them, accepted ones first, then the closest title, then the first; did, edits and
+    accepted are null where none was found."""
+    named = records.select(key, "place", "did", F.col("title").alias("record_title"), F.col("year").alias("record_year"), F.col("author").alias("record_author"))
+    both = cited.join(named, key).withColumn("edits", title_edits(F.regexp_replace(F.trim("title"), r"\.+$", ""), F.col("record_title")))
+    both = both.withColumn("accepted", accepted(F.col("year"), F.col("record_year"), F.col("author"), F.col("record_author"), F.col("edits")))
+    best = both.groupBy(key).agg(F.min(F.struct((~F.col("accepted")).alias("refused"), "edits", "place", "did")).alias("b"))
+    return cited.join(best, key, "left").select(*cited.columns, "b.did", "b.edits", (~F.col("b.refused")).alias("accepted"))
 
 
 def accepted(year: Column, record_year: Column, author: Column, record_author: Column, edits: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         import tempfile
 
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rankframe-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rankframe-io/{name}-{uuid.uuid4().hex}"
@@ -48,32 +55,92 @@ def write_run(run: DataFrame, path: str) -> None:
     out.write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
 
 
-def write_raw_vectors(df: DataFrame, path: str) -> None:
-    """Vectors as headerless little-endian 16-bit floats with their ids, one row a shard in a Parquet table of bytes."""
+#: Endings of a raw vector shard and of its ids (fixed values).
+VECTORS, IDS = ".fp16", ".parquet"
+
+
+def write_raw_vectors(df: DataFrame, path: str, shard_rows: int = 131_072) -> None:
+    """``df(id, vec)`` as headerless shards of little-endian 16-bit floats, ``path/vectors/<shard>.fp16``, each with
+    its ids as ``path/ids/<shard>.parquet`` (row_index, id).  A task that is run again writes the same names anew."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, []
+
+        def flush() -> str:
+            name = f"part{part:06d}-{number:04d}"
+            table = pa.Table.from_batches(held)
+            x = np.stack(table["vec"].to_pylist()).astype("<f2")
+            system, root = pa.fs.FileSystem.from_uri(path)
+            for folder in ("vectors", "ids"):
+                system.create_dir(f"{root}/{folder}", recursive=True)
+            with system.open_output_stream(f"{root}/vectors/{name}{VECTORS}") as out:
+                out.write(x.tobytes())
+            ids = pa.table({"row_index": pa.array(range(len(x)), pa.int64()), "id": table["id"].combine_chunks()})
+            pq.write_table(ids, f"{root}/ids/{name}{IDS}", filesystem=system)
+            held.clear()
+            return name
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                raw = np.stack(batch["vec"].to_numpy()).astype("<f2").tobytes()
-                yield pd.DataFrame({"ids": [batch["id"].tolist()], "dim": [len(batch["vec"].iloc[0])], "raw": [raw]})
+            for start in range(0, batch.num_rows, shard_rows):
+                held.append(batch.slice(start, shard_rows))
+                if sum(b.num_rows for b in held) >= shard_rows:
+                    yield pa.record_batch({"shard": [flush()]})
+                    number += 1
+        if held:
+            yield pa.record_batch({"shard": [flush()]})
+
+    df.select(F.col("id").cast("long"), F.col("vec").cast("array<float>")).mapInArrow(shards, "shard string").count()
 
-    df.select("id", "vec").mapInPandas(shards, "ids array<long>, dim int, raw binary").write.mode("overwrite").parquet(path)
 
+def read_raw_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """Headerless shards with their ids → (id, vec).  Both must agree in number and every part be finite.
 
-def read_raw_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Shards of raw vectors → (id, vec); ids and vectors must agree in number and every part be finite."""
+    Bytes and ids meet by shard; a shard is one task's work, so shards should be of a size that a task holds."""
+    stem = lambda column, ending: F.regexp_extract(column, rf"([^/]+){re.escape(ending)}$", 1)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*{VECTORS}").load(f"{path}/vectors").select(stem("path", VECTORS).alias("shard"), F.col("content").alias("raw"))
+    ids = spark.read.parquet(f"{path}/ids").select(stem(F.input_file_name(), IDS).alias("shard"), F.struct("row_index", F.col("id").cast("long").alias("id")).alias("at"))
+    ids = ids.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["id"]).alias("ids"))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, dim, raw in zip(batch["ids"], batch["dim"], batch["raw"]):
-                x = np.frombuffer(raw, "<f2").reshape(-1, dim).astype(np.float32)
-                if len(x) != len(ids):
-                    raise ValueError(f"{len(x)} vectors but {len(ids)} ids")
+            for shard, content, known in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(content or b"", "<f2").reshape(-1, dim).astype(np.float32)
+                if len(x) != len(known or ()):
+                    raise ValueError(f"{shard}: {len(x)} vectors but {len(known or ())} ids")
                 if not np.isfinite(x).all():
-                    raise ValueError("vector rows that are not finite")
-                yield pd.DataFrame({"id": ids, "vec": list(x)})
-
-    return spark.read.parquet(path).mapInPandas(rows, "id long, vec array<float>")
+                    raise ValueError(f"{shard}: vector rows that are not finite")
+                for start in range(0, len(x), 4096):
+                    part = x[start : start + 4096]
+                    vec = pa.ListArray.from_arrays(np.arange(0, part.size + 1, dim, dtype=np.int32), part.ravel())
+                    yield pa.record_batch({"id": pa.array(known[start : start + 4096], pa.int64()), "vec": vec})
+
+    return raw.join(ids, "shard", "full").select("shard", "raw", "ids").mapInArrow(rows, "id long, vec array<float>")
+
+
+def replace_table(df: DataFrame, path: str) -> str:
+    """Put ``df`` in the place of the table at ``path`` at one instant: rows are written aside as a version of their
+    own, then a pointer file is renamed over the former one.  A write that fails leaves the former table."""
+    spark = df.sparkSession
+    version = f"v{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    aside, pointer = hadoop(f"{path}/next-{version}"), hadoop(f"{path}/current")
+    system = aside.getFileSystem(conf)
+    out = system.create(aside, True)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    modes = spark.sparkContext._gateway.new_array(rename, 1)
+    modes[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, pointer, modes)
+    return version
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that was last put at ``path``; a reader keeps its version while others are put in its place."""
+    version = spark.read.text(f"{path}/current").first()[0]
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def shard_completeness(names: DataFrame, column: str = "name") -> DataFrame:
@@ -101,11 +168,11 @@ def papers(df: DataFrame) -> DataFrame:
 
 def assemble_index(index: DataFrame, selected: DataFrame, shard: str) -> DataFrame:
     """Selected rows (shard, row_index) of an index as one new shard, numbered anew in their old order."""
-    from pyspark.sql import Window as W
+    from ..operators.planning import positions
 
     rows = index.join(selected.select("shard", "row_index").distinct(), ["shard", "row_index"], "left_semi")
-    place = F.row_number().over(W.orderBy("shard", "row_index")) - 1
-    return rows.withColumn("new_row", place).select(F.lit(shard).alias("shard"), F.col("new_row").alias("row_index"), "id")
+    placed = positions(rows.select(F.col("shard").alias("old_shard"), F.col("row_index").alias("old_row"), "id"), "old_shard", "old_row")
+    return placed.select(F.lit(shard).alias("shard"), F.col("position").alias("row_index"), "id")
 
 
 def union_lanes(lanes: dict[str, DataFrame]) -> DataFrame:

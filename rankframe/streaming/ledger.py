@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 
 
 def append_new(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: str) -> None:
-    """Append records whose key is not yet written; what is already processed is not read again."""
+    """Append records whose key is not yet written; what is already processed is not read again.
 
-    def store(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(out).select(key).distinct()
-        except Exception as error:  # the first batch: nothing is written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            done = None
-        (fresh.join(done, key, "left_anti") if done is not None else fresh).write.mode("append").parquet(out)
-
-    stream = spark.readStream.schema(schema).parquet(source)
-    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    The keys that were seen stay in the stream's state, without expiry, and the sink commits each batch once, so
+    neither the source nor the output is read anew.  Records of one key are taken to be the same record."""
+    stream = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
