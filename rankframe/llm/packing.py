@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, text_or_empty, written
+from .shared import map_arrow, maybe_broadcast, text_or_empty, written
 from .tokens import word_encoder
 
 WINDOW = 2048
@@ -55,7 +55,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _IDS)], schema=_IDS)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(encode, "part long, local long, doc_id long, n long, ids binary")
+    return map_arrow(source, encode, "part long, local long, doc_id long, n long, ids binary")
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def cut(placed: DataFrame, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    return placed.mapInArrow(pieces, ", ".join(f"{f.name} long" for f in _PIECES))
+    return map_arrow(placed, pieces, ", ".join(f"{f.name} long" for f in _PIECES))
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows above which a lookup side is no longer broadcast (two longs a row: 16 MB at most).
 BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of one batch between the JVM and Python: the texts that a task holds twice at most.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 #: White space of the contracts: space and code points 9 to 13.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -29,11 +32,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; one of our own only where it is unset and all runs in one process
+    (tests).  On a cluster executors could not read a folder of the driver's machine, so that is an error."""
     context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="rankframe-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="rankframe-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -69,6 +75,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded rows and bytes, so that long texts and wide tables fit next to the
+    JVM.  Sets the session's batch limits where they are higher."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df.mapInArrow(scan, schema)
+
+
 def text_or_empty(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -83,6 +100,6 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a lookup table of a counted size; beyond the bound Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+def maybe_broadcast(df: DataFrame, rows: int, longs: int = 2) -> DataFrame:
+    """Broadcast a lookup table of a counted size (``longs``: 8-byte words a row); beyond the bound Spark joins by shuffle."""
+    return F.broadcast(df) if rows * longs <= 2 * BROADCAST_ROWS else df.hint("merge")

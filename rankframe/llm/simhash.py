@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import maybe_broadcast, text_or_empty, written
+from .shared import map_arrow, maybe_broadcast, text_or_empty, written
 
 SHINGLE = 3
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: Column | None =
 
     mark = F.lit(None).cast("binary") if carry is None else carry
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), mark.alias("mark"))
-    return source.mapInArrow(scan, "doc_id long, fp long, mark binary")
+    return map_arrow(source, scan, "doc_id long, fp long, mark binary")
 
 
 def _near(a: str, b: str):

@@ -12,8 +12,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Entries a cache may hold; later words are encoded each time (about 200 bytes an entry).
-CACHE_ENTRIES = 350_000
+#: Entries a cache may hold; later words are encoded each time (about 200 bytes an entry, 50 MB at most).
+CACHE_ENTRIES = 250_000
 #: Characters on which Python's and the tokenizer's lower-casing, white space and letter classes agree.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -54,24 +54,25 @@ class WordEncoder:
             raise ValueError("ids must fit 16 bits")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.letters, self.entries = self.library.model, byte_letters(), entries
+        #: Ids of chunks, and of the pieces that chunks are cut into: a piece is a chunk of one piece.
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+
+    def _kept(self, chunk: str, ids: bytes) -> bytes:
+        if len(self.chunks) < self.entries:
+            self.chunks[chunk] = ids
+        return ids
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        ids = self.chunks.get(piece)
         if ids is None:
             letters = self.letters
             coded = "".join([letters[b] for b in piece.encode()])
-            ids = array("H", [t.id for t in self.model.tokenize(coded)]).tobytes()
-            if len(self.pieces) < self.entries:
-                self.pieces[piece] = ids
+            ids = self._kept(piece, array("H", [t.id for t in self.model.tokenize(coded)]).tobytes())
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = b"".join([self._piece(p) for p in _PIECES.findall(chunk)])
-        if len(self.chunks) < self.entries:
-            self.chunks[chunk] = ids
-        return ids
+        pieces = _PIECES.findall(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else self._kept(chunk, b"".join([self._piece(p) for p in pieces]))
 
     def encode(self, text: str) -> bytes:
         if _PLAIN.search(text) or "<|" in text or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
