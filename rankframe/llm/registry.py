@@ -18,6 +18,7 @@ QUERIES = {
     "op1_pii": lambda spark, sf_dir: pii.op1_pii(_documents(spark, sf_dir)),
     "op2_packing": lambda spark, sf_dir: packing.pack(_documents(spark, sf_dir)),
     "op3_chat": lambda spark, sf_dir: chat.op3_chat(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])),
+    "op3_chat_calls": lambda spark, sf_dir: chat.op3_chat(chat.planted_calls(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))),
     "op4_quality": lambda spark, sf_dir: quality.op4_quality(_documents(spark, sf_dir), _labels(spark, sf_dir)),
     "op5_simhash": lambda spark, sf_dir: simhash.op5_simhash(_documents(spark, sf_dir)),
     "op6_rules": lambda spark, sf_dir: rules.op6_rules(_documents(spark, sf_dir), _labels(spark, sf_dir)),
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_token_counts": lambda spark, sf_dir: token_counts.count_tokens(_documents(spark, sf_dir)),
 }
 
-ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op3_chat": chat.ORACLE_SQL, "op3_chat_calls": chat.CALLS_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
