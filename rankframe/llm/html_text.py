@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, text_or_empty
+from .shared import map_arrow, maybe_broadcast, text_or_empty
 
 #: Pages that the weights are learned from at most, those of the smallest id hash.
 SAMPLE_PAGES = 2000
@@ -39,13 +39,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object menu dialog title".split())
 _SELF_CLOSING = {"p": frozenset("p h1 h2 h3 h4 h5 h6 div ul ol table section article header footer nav aside form blockquote pre hr dl figure".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
-#: Words in a class, id or role that name what is not the article.
+#: Class, id and role tokens that name what is not the article, wherever they stand.
 _BOILER = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " sidebar side aside widget menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer foot bottom copyright legal"
-    " comment comments reply replies disqus discussion responses respond share sharing social follow related recommended recommendations more trending newsletter subscribe"
-    " subscription signup login search form complementary contentinfo search-form skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsored sponsor promo cookie cookies consent gdpr popup modal overlay"
+    " sidebar navbar navigation menubar breadcrumb breadcrumbs pagination pager masthead comment comments disqus newsletter complementary contentinfo".split()
 )
+#: Tokens that name it outside a marked article only: inside one they may well be about its matter.
+_AROUND = frozenset(
+    "promotion banner notice notices alert side aside widget menu nav toolbar header topbar footer foot bottom copyright legal reply replies discussion"
+    " responses respond share sharing social follow related recommended recommendations more trending subscribe subscription signup login search form skip".split()
+)
+_ANY = _BOILER | _AROUND
 _ARTICLE_WORDS = frozenset("article articlebody post-content entry-content main".split())
 
 WORD, TAG, BREAK = 0, 1, 2
@@ -54,7 +58,7 @@ _UNKNOWN_WORD, _UNKNOWN_TAG, _LEFT_OUT = 1.0, -1.0, -0.5
 
 
 def _marks(attributes: str) -> tuple[set[str], bool]:
-    """Lower-case words of class, id, role and itemprop; whether the element is hidden."""
+    """Lower-case tokens of class, id, role and itemprop; whether the element is hidden."""
     names: set[str] = set()
     hidden = False
     if attributes:
@@ -65,15 +69,25 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
             elif key == "aria-hidden":
                 hidden |= value == "true"
             else:
-                for name in value.split():
-                    names.add(name)
-                    names.update(re.split(r"[-_]+", name))
+                names.update(value.split())
     return names, hidden
 
 
+def _named_away(names: set[str], article: bool) -> bool:
+    """Whether a whole token names what is not the article, or all the words of one do and one of them everywhere."""
+    for name in names:
+        if name in _BOILER or (name in _AROUND and not article):
+            return True
+        words = re.split(r"[-_]+", name)
+        if len(words) > 1 and all(w in _ANY for w in words) and (not article or any(w in _BOILER for w in words)):
+            return True
+    return False
+
+
 def events(html: str) -> Iterator[tuple[int, str, str, bool, bool]]:
     """(kind, place or tag, text, boilerplate, inside a marked article) in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, bool, bool, str]] = []  # tag, boilerplate, article, place
+    open_tags: Counter = Counter()
     boiler = article = False
     place = "body"
     at, size = 0, len(html)
@@ -95,21 +109,22 @@ def events(html: str) -> Iterator[tuple[int, str, str, bool, bool]]:
             yield (TAG if name in _INLINE else BREAK), name, " " if name == "br" else "", boiler, article
             continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    yield (TAG if name in _INLINE else BREAK), "/" + name, "", boiler, article
-                    del stack[depth:]
-                    break
+            # Only a tag that is open is looked for, and what is passed over is closed with it.
+            if open_tags[name]:
+                yield (TAG if name in _INLINE else BREAK), "/" + name, "", boiler, article
+                closed = ""
+                while closed != name:
+                    closed = stack.pop()[0]
+                    open_tags[closed] -= 1
         else:
-            ends = [t for t in ("p", "li", "tr", "td", "th", "dt", "dd", "option") if stack and stack[-1][0] == t and name in _SELF_CLOSING[t]]
-            if ends:
-                stack.pop()
-                boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            if stack and name in _SELF_CLOSING.get(stack[-1][0], ()):
+                open_tags[stack.pop()[0]] -= 1
+                _, boiler, article, place = stack[-1] if stack else _OUTSIDE
             names, hidden = _marks(attributes)
             own_article = article or name in ("article", "main") or bool(names & _ARTICLE_WORDS)
             in_header = name == "header" and not article
             starts_article = name in ("article", "main", "body", "html") or bool(names & {"articlebody"})
-            drop = boiler or hidden or name in _DROPPED or in_header or (bool(names & _BOILER) and not starts_article)
+            drop = boiler or hidden or name in _DROPPED or in_header or (not starts_article and bool(names) and _named_away(names, article))
             if name not in _INLINE or drop != boiler:
                 yield (TAG if name in _INLINE else BREAK), name, "", drop, own_article
             else:
@@ -119,20 +134,20 @@ def events(html: str) -> Iterator[tuple[int, str, str, bool, bool]]:
                 at = end.end()
                 continue
             if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
-                stack.append((name, drop, own_article))
-        boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        place = _place(stack)
+                stack.append((name, drop, own_article, _place(name, place)))
+                open_tags[name] += 1
+        _, boiler, article, place = stack[-1] if stack else _OUTSIDE
+
+
+#: Where the page's text stands outside all elements.
+_OUTSIDE = ("", False, False, "body")
 
 
-def _place(stack: list[tuple[str, bool, bool]]) -> str:
+def _place(name: str, around: str) -> str:
     """The innermost block element and the link inside it, if any: what a word's weight depends on."""
-    link = ""
-    for name, _, _ in reversed(stack):
-        if name == "a":
-            link = ">a"
-        if name not in _INLINE:
-            return name + link
-    return "body" + link
+    if name not in _INLINE:
+        return name
+    return around if name != "a" or around.endswith(">a") else around + ">a"
 
 
 def _clean(text: str) -> str:
@@ -219,7 +234,7 @@ def learn_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[st
             keys = list(seen)
             yield pa.record_batch([pa.array([k for k, _ in keys]), pa.array([i for _, i in keys]), pa.array([seen[k] for k in keys], pa.int64())], ["key", "inside", "n"])
 
-    rows = sample.mapInArrow(gather, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(sample, gather, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n")).collect()
     return weights_of({(r["key"], r["inside"]): r["n"] for r in rows})
 
 
@@ -236,4 +251,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
             texts = [main_text(h.as_py(), weights) for h in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=_OUT)
 
-    return pages.mapInArrow(scan, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages, scan, "page_id long, url string, text string, n_chars long")
