@@ -17,12 +17,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import map_arrow, text_or_empty
 
 #: The base kinds, in the order of the contract, then those that only the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -32,7 +33,8 @@ _RANK = {kind: i for i, kind in enumerate(KINDS)}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _REGION = re.compile(r"[0-9 ().+-]*")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: A match starts where a run of digits does: from inside the run it would end as the run's own match does.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
@@ -48,8 +50,11 @@ _STREET = re.compile(
 )
 _FRACTION = re.compile(r"[0-9]\.")
 _GROUP = re.compile(r"[0-9]+")
-_LABELLED = re.compile(r"(?:[ :#=.-]|(?:no|number|nr|num|id|code)\b){0,6}([A-Z]{0,2}[0-9][0-9A-Z -]{4,32}[0-9A-Z])")
+_LABELLED = re.compile(r"(?:[ :#=.-]|(?i:no|number|nr|num|id|code)\b){0,6}([A-Z]{0,2}[0-9][0-9A-Z -]{4,32}[0-9A-Z])")
 _CUES = ("ssn", "iban", "passport", "account", "acct", "tax id", "social security", "licence", "license no", "national id")
+#: Cues of the credentials of an account, and what may stand between them and the value.
+_SECRETS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "credential")
+_CREDENTIAL = re.compile(r"[\"']?[ ]{0,3}(?:=>|:=|[:=])[ ]{0,3}[\"']?([A-Za-z0-9+/_.~=-]{12,})")
 #: The same at the start of a word, so that a long word is read once.
 _SPELT_WORD = re.compile(r"(?<![A-Za-z0-9._%+-])" + _SPELT.pattern)
 #: What spelt addresses are made of, in a row.
@@ -58,6 +63,12 @@ _SPELT_RUN = re.compile(r"[A-Za-z0-9._%+@\[\]() -]*")
 _SPELT_ANCHORS = ("[at]", "(at)", " dot ", "[dot]", "(dot)", " DOT ", "[AT]", "(AT)")
 
 
+def _forms(cue: str) -> set[str]:
+    """A cue with each of its words in lower case, in capitals, or with a capital first."""
+    parts = re.split(r"([ _])", cue)
+    return {"".join(x) for x in product(*({p, p.upper(), p.capitalize()} for p in parts))}
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -71,9 +82,10 @@ def _automaton():
         found.add_word(word, ("spelt", len(word)))
     for scheme in ("mailto:", "://"):
         found.add_word(scheme, ("scheme", len(scheme)))
-    for cue in _CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+    for kind, cues in (("cue", _CUES), ("secret", _SECRETS)):
+        for cue in cues:
+            for form in _forms(cue):
+                found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
 
@@ -163,7 +175,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
-    email_end = region_end = colon_end = spelt_end = 0
+    email_end = region_end = colon_end = spelt_end = secret_end = 0
     for last, (kind, length) in _automaton().iter(text):
         first = last - length + 1
         if kind == "digit":
@@ -202,6 +214,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
                     pass
                 else:
                     more.append(("ip", start, colon_end))
+        elif kind == "secret":
+            m = _CREDENTIAL.match(text, last + 1) if last >= secret_end else None
+            if m:
+                secret_end = m.end()
+                value = m[1].rstrip(".")
+                if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                    more.append(("account", m.start(1), m.start(1) + len(value)))
         elif kind == "cue":
             m = _LABELLED.match(text, last + 1)
             if m and 6 <= sum(c.isdigit() for c in m[1]) <= 30:
@@ -244,12 +263,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
-_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_spans", pa.string()), ("spans", pa.string())])
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_spans string, spans string"
+_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in (*BASE_KINDS, "spans")), ("base_spans", pa.string()), ("spans", pa.string())])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, base spans and all spans as ``kind:start:end``."""
+    """One row per document: counts of the base kinds and of all spans, base spans and all spans as ``kind:start:end``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,18 +277,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 base, more = find(text.as_py())
                 counts = [sum(s[0] == kind for s in base) for kind in BASE_KINDS]
                 every = sorted(base + more, key=lambda s: (s[1], _RANK[s[0]], s[2])) if more else base
-                rows.append((doc_id, *counts, joined(base), joined(every)))
+                rows.append((doc_id, *counts, len(every), joined(base), joined(every)))
             columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), scan, SCHEMA)
 
 
 def op1_pii(docs: DataFrame) -> DataFrame:
-    """The contract's columns: digest of the base spans, and all spans."""
+    """The contract's columns: digest of the base spans, and all spans.  ``n_spans`` counts the spans of every kind."""
     found = find_pii(docs)
     return found.select(
-        "doc_id", *(f"n_{k}" for k in BASE_KINDS), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
+        "doc_id", *(f"n_{k}" for k in BASE_KINDS), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_spans"
     )
 
 
