@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from .shared import remove, written
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of orderable nodes, in any direction, with repeats.  Gives (node, root): root is the
-    smallest node of the component.  Nodes without an edge to another do not appear."""
+    smallest node of the component.  Nodes without an edge to another, and null ends, do not appear; no edges give no
+    rows.  A round that moves no label is the last; each other one lowers a label, so the rounds end."""
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = written(both, "links")
     labels = written(links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:
         of = labels.select(F.col("node").alias("b"), F.col("root").alias("near"))
         best = links.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         met = labels.join(best, "node").select("node", F.least("root", "near").alias("via"), F.col("root").alias("was"))
@@ -32,4 +33,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         labels = step.select("node", "root")
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import SAMPLE_PER_LABEL, labelled_features
-from .shared import text_or_empty
+from .shared import map_arrow, text_or_empty
 from .stats import DECREASING, FEATURES, base_counts, features
 
 TREES = 40
@@ -49,7 +49,7 @@ class Forest:
     def margin(self, x: np.ndarray) -> np.ndarray:
         at = np.repeat(self.roots[None, :], len(x), axis=0)
         rows = np.arange(len(x))[:, None]
-        for _ in range(DEPTH):
+        while (self.feature[at] >= 0).any():
             feature = self.feature[at]
             goes_left = x[rows, np.maximum(feature, 0)] <= self.threshold[at]
             at = np.where(feature < 0, at, np.where(goes_left, self.left[at], self.right[at]))
@@ -145,7 +145,7 @@ def judge(docs: DataFrame, forest: Forest, keep: float = KEEP) -> DataFrame:
             columns = [batch.column(0), *(pa.array(n[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & (score >= keep)), pa.array(score)]
             yield pa.record_batch(columns, schema=_OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), scan, SCHEMA)
 
 
 def op6_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
