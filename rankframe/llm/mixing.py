@@ -11,7 +11,8 @@ common level are full.  Sources are ordered by code point, null last.
 
 A source of target T and size S takes each document floor(T / S) times, and once more under the
 threshold.  Defined results: null text has size 0; a null source is a source; a source of size 0 has
-target 0 and takes none; an empty table gives no rows; repeated rows share a hash and a fate.
+target 0 and takes none; an empty table gives no rows; rows of the same id and text share a hash and a
+fate; columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ BITS = 60
 STEP = 10
 
 
-def hash_of(doc_id: Column) -> Column:
-    """The first 60 bits of md5 of the id's text; 0 for a null id."""
-    digest = F.md5(doc_id.cast("string").cast("binary"))
-    return F.coalesce(F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long"), F.lit(0))
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of md5 of the id and the text (nulls: empty), so that rows of one id, or of none, are told apart."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -43,7 +44,7 @@ def words_of(text: Column) -> Column:
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, hash."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash")
     )
 
 
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Every row of ``docs``, all columns, as often as the mix takes it."""
     plan, n_sources = source_plan(written(sizes(docs), "mix-sizes"), weights, share, cap)
-    taken = with_copies(docs, plan, n_sources, hash_of(docs["doc_id"]))
+    taken = with_copies(docs, plan, n_sources, hash_of(docs["doc_id"], docs["text"]))
     copies = F.array_repeat(F.lit(1), F.col(taken.columns[-1]).cast("int"))
     return taken.withColumn(unused(taken, "mix_copy"), F.explode(copies)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
@@ -145,7 +146,7 @@ def op7_mixing(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
