@@ -9,6 +9,10 @@ A bucket of more than ``HOT`` fingerprints is not paired out.  Its members are l
 equality: two fingerprints differ in at most two bits if and only if they share a word of their
 radius-one balls, so each member joins the smallest member of each of its 65 words; the work is linear.
 
+``similar_documents`` links texts whose shingle sets have a true similarity of 0.8 or more.  Such sets
+differ in up to 16 of 64 bits, which bit segments do not reach, so there the signature is cut by shingle
+instead: see its text.
+
 Defined results: null and empty texts, and texts of white space, have fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; repeated rows share a fingerprint; an empty table
 gives no rows.  A null doc_id never becomes a component's id unless all of its ids are null.
@@ -16,11 +20,13 @@ gives no rows.  A null doc_id never becomes a component's id unless all of its i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -114,6 +120,145 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, car
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "mark", "root")
 
 
+#: Mean shingles of a group (up to twice as many), groups that are indexed, and hubs of a crowded bucket.
+GROUP_SHINGLES, GROUPS, HUBS = 2, 12, 4
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("digest", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), ("groups", pa.list_(pa.int64()))])
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; fewer words make one shingle, no words none."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams] if words else [], np.uint64))
+
+
+def group_signatures(hashes: np.ndarray, similarity: float) -> list[int]:
+    """A hash for each of the first ``GROUPS`` groups that the set is dealt to by the leading bits of its hashes.
+
+    The number of groups is a power of two that fits the size of the set; a set whose size lies near the next power has
+    the groups of both, so that two sets of the wanted similarity always share a number of groups."""
+    import xxhash
+
+    n, found = len(hashes), []
+    reach = similarity**-0.5
+    for bits in sorted({max(0, int(np.floor(np.log2(n * f / GROUP_SHINGLES)))) for f in (1 / reach, reach)} if n else ()):
+        step = 1 << (64 - bits)
+        cuts = np.searchsorted(hashes, np.array([min(i * step, (1 << 64) - 1) for i in range(1, min(GROUPS, 1 << bits) + 1)], np.uint64))
+        cuts[-1] = n if 1 << bits <= GROUPS else cuts[-1]
+        start = 0
+        for number, end in enumerate(cuts.tolist()):
+            if end > start:
+                value = xxhash.xxh64_intdigest(hashes[start:end].tobytes(), bits * GROUPS + number)
+                found.append(value - (value >> 63 << 64))
+            start = end
+    return found
+
+
+def sketches(docs: DataFrame, shingle: int, similarity: float, carry: Column | None) -> DataFrame:
+    """doc_id, mark, digest of the text, node (digest of the shingle set), n (its size), fp and group signatures of every row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                data = text.as_buffer().to_pybytes()
+                hashes = shingle_set(data, shingle)
+                fp = fingerprint(data, shingle)
+                rows.append((hashlib.sha256(hashes.tobytes()).digest()[:16], len(hashes), fp - (fp >> 63 << 64), group_signatures(hashes, similarity)))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, f.type) for c, f in zip(columns, list(_SKETCH)[3:]))], schema=_SKETCH)
+
+    mark = F.lit(None).cast("binary") if carry is None else carry
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), mark.alias("mark"), F.xxhash64(text_or_empty()).alias("digest"))
+    return map_arrow(source, scan, "doc_id long, mark binary, digest long, node binary, n long, fp long, groups array<long>")
+
+
+def _bucket_pairs(points: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes that share a group signature and could reach the similarity by their sizes.
+
+    A bucket of more than ``hot`` nodes is not paired out: each member meets the bucket's hubs, those of its nodes that
+    stand in most crowded buckets, as the text that many others are copies of does."""
+    index = points.select(F.struct("n", "node").alias("p"), F.explode("groups").alias("bucket"))
+    fits = lambda x, y: F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"])
+    buckets = index.groupBy("bucket").agg(F.count("*").alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("c > 1")
+    buckets = written(buckets, "similar-buckets")
+    two = buckets.where("c = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y"))
+    more = buckets.where("c > 2").select("bucket", "c")
+    members = written(index.join(maybe_broadcast(more, more.count()), "bucket"), "similar-members")
+    few = members.where(F.col("c") <= hot)
+    paired = few.select("bucket", F.col("p").alias("x")).join(few.select("bucket", F.col("p").alias("y")), "bucket").where("x.node < y.node").select("x", "y")
+    crowd = members.where(F.col("c") > hot).select("bucket", "p")
+    score = crowd.groupBy("p").agg(F.count("*").alias("score"))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("score"), "p"))
+    hubs = crowd.join(score, "p").withColumn("place", place).where(F.col("place") <= HUBS).select("bucket", F.col("p").alias("x"))
+    hubs = written(hubs, "similar-hubs")
+    starred = crowd.select("bucket", F.col("p").alias("y")).join(maybe_broadcast(hubs, hubs.count(), longs=6), "bucket").where("x.node <> y.node").select("x", "y")
+    every = two.unionByName(paired).unionByName(starred).where(fits(F.col("x"), F.col("y")))
+    return every.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _fingerprint_pairs(points: DataFrame, hot: int) -> DataFrame:
+    """Candidate pairs of nodes whose fingerprints are equal or near: by deletion variants."""
+    first = written(points.groupBy("fp").agg(F.min("node").alias("node")), "similar-fp")
+    same = points.select("fp", F.col("node").alias("b")).join(first.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    links = near_links(first.select("fp"), hot).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    named = links.join(first.select(F.col("fp").alias("fa"), F.col("node").alias("a")), "fa").join(first.select(F.col("fp").alias("fb"), F.col("node").alias("b")), "fb")
+    return same.unionByName(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the similarity.  Only texts of candidates are read again, one for each node."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(points.join(needed, "node").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.digest").alias("of_digest")), "similar-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    side = maybe_broadcast(wanted, wanted.count(), longs=6)
+    met = texts.join(side, texts["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64(texts["text"]) == F.col("of_digest"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_buffer().to_pybytes(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.record_batch({"node": batch.column(0), "hashes": pa.array(found, pa.binary())})
+
+    known = written(map_arrow(met, sets, "node binary, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "similar-sets")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return map_arrow(both.select("a", "b", "x", "y"), compare, "a binary, b binary")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = HOT, carry: Column | None = None) -> DataFrame:
+    """doc_id, mark, root: texts whose sets of word shingles have the similarity (shared over all shingles) or more, and
+    all that such links reach, have one root.
+
+    Candidates are of two kinds.  Fingerprints within two bits, by deletion variants as above.  And, as sets of similarity
+    0.8 have fingerprints many bits apart, sets that agree in one group of shingles: a set is dealt to groups by hash, a
+    fifth of other shingles leaves about half of the groups whole, and each of at most 12 groups is an equality key.  Every
+    candidate is verified by its true similarity, so no other texts are linked.  Of pairs at 0.8 more than 0.99 share a key.
+
+    Defined results: texts of the same shingle set are one node, empty texts among them; repeated rows share a root; an
+    empty table gives no rows; null ids are ids like others; columns other than doc_id, text and those of ``carry`` are
+    not read."""
+    marked = written(sketches(docs, shingle, similarity, carry), "similar-sketches")
+    points = marked.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("groups").alias("groups"))
+    points = written(points, "similar-points")
+    pairs = written(_bucket_pairs(points, similarity, hot).unionByName(_fingerprint_pairs(points, hot)).distinct(), "similar-pairs")
+    links = written(verified(docs, points, pairs, shingle, similarity), "similar-links")
+    roots = connected_components(links)
+    n_roots = roots.count()
+    named = marked.join(maybe_broadcast(roots, n_roots, longs=4), "node", "left")
+    return named.select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
+
+
 def op5_simhash(docs: DataFrame) -> DataFrame:
     """The contract's columns; the fingerprint as 16 lower-case hex digits."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -493,6 +493,76 @@ def test_near_links_keep_every_link(spark, hot):
     assert {p: got.get(p, p) for p in signed} == want
 
 
+def shingles(text, k=5):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(text)
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+def edited(rng, words, share):
+    """A copy with a share of words changed one by one, a block left out, or words added at an end."""
+    words, kind = list(words), rng.randrange(3)
+    if kind == 0:
+        for _ in range(max(1, int(len(words) * share / 10))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    elif kind == 1:
+        at = rng.randrange(len(words))
+        del words[at : at + int(len(words) * share)]
+    else:
+        words += [f"y{rng.randrange(10**6)}" for _ in range(int(len(words) * share))]
+    return words
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_similar_documents_equal_brute_force(spark, hot):
+    rng = random.Random(6)
+    texts = [t for t in ODD_TEXTS] + ["  ", "Word " * 3000]
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 7, 12, 30, 80, 300, 1500]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            words = edited(rng, words, rng.choice([0.02, 0.1, 0.2, 0.4])) or ["z"]
+            texts.append(" ".join(words))
+    rows = [(i, t, "b") for i, t in enumerate(texts)] + [(0, texts[0], "b"), (25, texts[25], "b")]
+    out = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3), hot=hot).collect()
+    assert len(out) == len(rows)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = brute_components(sets, lambda a, b: similar(sets[a], sets[b]))
+    roots = {}
+    for r in out:
+        assert roots.setdefault(r["doc_id"], r["root"]) == r["root"]
+    classes = {}
+    for i, root in roots.items():
+        classes.setdefault(root, []).append(i)
+    assert sorted(map(sorted, classes.values())) == sorted(sorted(i for i in want if want[i] == c) for c in set(want.values()))
+    assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+def test_similar_documents_of_a_crowd(spark):
+    """Many copies of one text, each edited in its own way: like the text itself, unlike each other; and documents that
+    share a long passage and nothing else."""
+    rng = random.Random(10)
+    origin = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+    rows = [(5000, " ".join(origin))]
+    for i in range(600):
+        words = list(origin)
+        for at in rng.sample(range(5, 195), 3):
+            words[at] = f"x{i}x{at}"
+        rows.append((i, " ".join(words)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(6000 + i, " ".join(f"q{i}q{j}" for j in range(40)) + " " + passage) for i in range(300)]
+    out = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    roots = {r["doc_id"]: r["root"] for r in out}
+    sets = {d: shingles(t) for d, t in rows}
+    alike = [d for d in range(600) if similar(sets[d], sets[5000])]
+    assert len(alike) > 400 and sum(roots[d] == roots[5000] for d in alike) >= 0.99 * len(alike)
+    assert len({roots[6000 + i] for i in range(300)}) == 300
+
+
 def test_components_of_chains(spark):
     rng = random.Random(9)
     order = list(range(300))

@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from rankframe.llm import quality
-from test_corpus_ops import brute_components, brute_fingerprint, brute_mix, junk
+from test_corpus_ops import brute_components, brute_mix, junk, shingles, similar
 
 NAMES = ["quality", "exact_dedup", "near_dedup", "mix", "pack"]
 
@@ -56,8 +56,9 @@ def test_stages(spark, tmp_path):
         least[norm(r[1])] = min(r[0], least.get(norm(r[1]), r[0]))
     assert sorted(out["exact_dedup"]) == sorted({r for r in out["quality"] if least[norm(r[1])] == r[0]})
 
-    marks = {r[0]: brute_fingerprint(r[1]) for r in out["exact_dedup"]}
-    component = brute_components(marks, lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 2)
+    sets = {r[0]: shingles(r[1]) for r in out["exact_dedup"]}
+    component = brute_components(sets, lambda a, b: similar(sets[a], sets[b]))
+    assert sum(component[d] != d for d in sets) > 15
     assert sorted(out["near_dedup"]) == sorted(r for r in out["exact_dedup"] if component[r[0]] == r[0])
 
     size, totals, target = brute_mix([(r[0], r[1], r[3]) for r in out["near_dedup"]])
