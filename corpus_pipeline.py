@@ -1,7 +1,8 @@
 """The corpus pipeline: quality filter, exact dedup, near dedup, source mix, packing.
 
 Every stage reads the whole of what its predecessor kept.  All but the last return the columns of
-``documents``.  Stages call the operators of ``rankframe.llm`` and are not expressible in SQL.
+``documents``, extra ones with any names included; an empty table gives an empty one.  Stages call the operators of
+``rankframe.llm`` and are not expressible in SQL.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from rankframe.llm.shared import maybe_broadcast, table, text_or_empty, unused,
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking model accepts; the model is fitted to the labelled rows outside the held-out fold."""
+    """Documents that the ranking model accepts; the model is fitted to the labelled rows outside the held-out fold.
+
+    Null texts score as empty ones; repeated rows are judged each; without both labels every document scores 0.5 and stays."""
     model = quality.train(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
     return quality.accepted(docs, model)
 
@@ -41,16 +44,20 @@ def _keep(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of texts equal but for white space the row with the smallest doc_id stays; of rows of that id and text one.
+
+    A null text is an empty one; a null id stays only where all ids of its group are null."""
     marks = written(exact_dedup.exact_duplicates(docs, carry=exact_dedup.sha256_digest(text_or_empty())).select("doc_id", "mark", "kept"), "pipeline-exact")
     return _keep(docs, marks)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, of the smallest doc_id.
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more, and all that such links reach) one
+    row stays, of the smallest doc_id.
 
-    Groups are told apart by their root: component_id is null or shared where ids are null or repeated."""
-    found = written(simhash.near_duplicates(docs, carry=exact_dedup.sha256_digest(text_or_empty())), "pipeline-near")
+    Empty and null texts are one group; ties on doc_id go to the smaller content digest; a null id stays only where all
+    ids of its group are null."""
+    found = written(simhash.similar_documents(docs, carry=exact_dedup.sha256_digest(text_or_empty())), "pipeline-near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     best = written(found.groupBy("root").agg(F.min(order).alias("best")), "pipeline-best")
     marks = found.join(best, "root").select(
@@ -60,12 +67,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: none, once or twice."""
+    """Each row as often as the mix takes it: none, once or twice.  A null source is a source; rows without a word are not taken beyond whole passes."""
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed windows."""
+    """Pieces of fixed windows of all documents, in the order of the scan; a null text is its end mark alone."""
     return packing.pack(docs)
 
 
