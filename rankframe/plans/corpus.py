@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seeds, text
-from ..operators import assembly, evaluation, grading, ledger, planning
+from ..operators import assembly, evaluation, grading, ledger, planning, relations
 from ..sources import files
 from ..streaming import ledger as streams
 from . import base
@@ -178,7 +178,7 @@ SELECT CASE WHEN lang = 'es' THEN 'track_dropped' WHEN n_chars < 500 THEN 'too_s
     lambda s, d: load(s, d, "documents").select(planning.first_reason((F.col("lang") == "es", "track_dropped"), (F.col("n_chars") < 500, "too_short"), (~F.col("source").isin("src1", "src2", "src3"), "source_not_allowed")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 )
 query("p9_value_renames", "SELECT CASE lang WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE lang END AS lang, count(*) AS n FROM documents GROUP BY 1")(
-    lambda s, d: load(s, d, "documents").select(F.coalesce(F.create_map(*map(F.lit, ("fr", "french", "de", "german")))[F.col("lang")], F.col("lang")).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+    lambda s, d: load(s, d, "documents").select(relations.renamed_values(F.col("lang"), {"fr": "french", "de": "german"}).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
 )
 query("p10_synthetic_filter", "SELECT count(*) AS n FROM documents WHERE doc_id % 9 <> 0")(
     lambda s, d: load(s, d, "documents").select(F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("synth:"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("work_id")).where(~F.startswith("work_id", F.lit("synth:"))).agg(F.count("*").alias("n"))
@@ -207,8 +207,10 @@ def richest(s, d):
 
 query("p22_usable_pools", "SELECT qid, count(*) AS n FROM grades WHERE grade >= 3 GROUP BY qid HAVING count(*) >= 14", "grades")(lambda s, d: base.grades(s, d).where("grade >= 3").groupBy("qid").agg(F.count("*").alias("n")).where("n >= 14"))
 query("p24_template_choice", "SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'short_' ELSE 'long_' END || CASE WHEN doc_id % 2 = 0 THEN 'pasted' ELSE 'typed' END AS template FROM documents")(
-    lambda s, d: load(s, d, "documents").select("doc_id", F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("length"), (F.col("doc_id") % 2 == 0).alias("pasted")).join(
-        F.broadcast(s.createDataFrame([("short", True, "short_pasted"), ("short", False, "short_typed"), ("long", True, "long_pasted"), ("long", False, "long_typed")], "length string, pasted boolean, template string")), ["length", "pasted"]).select("doc_id", "template")
+    lambda s, d: relations.chosen_template(
+        load(s, d, "documents").select("doc_id", F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("length"), (F.col("doc_id") % 2 == 0).alias("pasted")),
+        {(n, p): f"{n}_{'pasted' if p else 'typed'}" for n in ("short", "long") for p in (True, False)}, "length", "pasted",
+    ).select("doc_id", "template")
 )
 query("f1_norm_ws", r"SELECT conv_id, turn, lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS t FROM conversations")(lambda s, d: load(s, d, "conversations").select("conv_id", "turn", text.norm_ws(F.col("text")).alias("t")))
 query("f2_leak_hit", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^0-9A-Za-z_À-ÿ])license([^0-9A-Za-z_À-ÿ]|$)') THEN 'License' WHEN regexp_matches(text, '(^|[^0-9A-Za-z_À-ÿ])THE([^0-9A-Za-z_À-ÿ]|$)') THEN 'THE' END AS hit FROM documents")(
@@ -279,13 +281,13 @@ query("f25_ratio_cycle", "SELECT i AS place, CASE WHEN i < 2 THEN 6 ELSE 5 END A
 
 # ---- joins
 
-query("j2_inner_lookup", "SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)")(lambda s, d: load(s, d, "documents", "doc_id").join(load(s, d, "labels", "doc_id", "quality"), "doc_id"))
+query("j2_inner_lookup", "SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)")(lambda s, d: relations.inner_lookup(load(s, d, "documents", "doc_id"), load(s, d, "labels"), "doc_id", "quality"))
 query("j3_left_lookup", "SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")(
-    lambda s, d: load(s, d, "documents", "doc_id").join(load(s, d, "labels", "doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    lambda s, d: relations.left_lookup(load(s, d, "documents", "doc_id"), load(s, d, "labels"), "doc_id", quality=-1)
 )
 query("j4_resume_anti", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")(lambda s, d: ledger.resume(load(s, d, "documents", "doc_id"), load(s, d, "labels"), "doc_id"))
 query("j5_missing_grades", "SELECT qid, did FROM run ANTI JOIN (SELECT qid, did FROM grades WHERE grade > 4) USING (qid, did)", "run", "grades")(
-    lambda s, d: base.run(s, d).select("qid", "did").join(base.grades(s, d).where("grade > 4").select("qid", "did"), ["qid", "did"], "left_anti")
+    lambda s, d: relations.missing_pairs(base.run(s, d), base.grades(s, d).where("grade > 4"), "qid", "did")
 )
 query("j7_not_yet_shown", "SELECT user_id AS qid, event_type AS did, arg_min(event_id, event_id) AS rank FROM events GROUP BY ALL")(
     lambda s, d: evaluation.unseen(load(s, d, "events").select(F.col("user_id").alias("qid"), F.lit(1).alias("hop"), F.col("event_id").alias("rank"), F.col("event_type").alias("did"))).select("qid", "did", "rank")
@@ -308,10 +310,10 @@ query("j10_four_way_convert", "SELECT qid, count(*) AS n, max(grade) AS top, any
     lambda s, d: base.grades(s, d).join(load(s, d, "labels").select(F.col("doc_id").alias("qid"), "quality"), "qid", "left").groupBy("qid").agg(F.count("*").alias("n"), F.max("grade").alias("top"), F.max("quality").alias("quality"))
 )
 query("j11_positional_zip", "SELECT n_nationkey, 1 AS place, n_name AS text, n_regionkey AS meta FROM nation UNION ALL SELECT n_nationkey, 2, lower(n_name), -1::BIGINT FROM nation")(
-    lambda s, d: load(s, d, "nation").select("n_nationkey", F.posexplode(F.arrays_zip(F.array("n_name", F.lower("n_name")).alias("text"), F.array("n_regionkey", F.lit(-1).cast("long")).alias("meta"))).alias("place", "z")).select("n_nationkey", (F.col("place") + 1).alias("place"), "z.text", "z.meta")
+    lambda s, d: relations.zipped(load(s, d, "nation"), "n_nationkey", text=F.array("n_name", F.lower("n_name")), meta=F.array("n_regionkey", F.lit(-1).cast("long")))
 )
 query("j12_composite_key", "SELECT a.conv_id, a.turn, b.role AS next_role FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")(
-    lambda s, d: load(s, d, "conversations", "conv_id", "turn").join(load(s, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role")), ["conv_id", "turn"], "left")
+    lambda s, d: relations.followed_by(load(s, d, "conversations"), "conv_id", "turn", next_role="role")
 )
 
 
@@ -449,7 +451,7 @@ query("a29_truncation", "SELECT count(*) AS n, count(*) FILTER (n_chars > 4000)
     lambda s, d: load(s, d, "documents").agg(F.count("*").alias("n"), F.count(F.when(F.col("n_chars") > 4000, 1)).alias("truncated"), F.max("n_chars").alias("longest"), F.sum(F.expr("n_chars div 4")).alias("tokens"))
 )
 query("a35_lane_counts", "SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role <> 'user') AS others FROM conversations GROUP BY conv_id")(
-    lambda s, d: load(s, d, "conversations").groupBy("conv_id").agg(F.count(F.when(F.col("role") == "user", 1)).alias("users"), F.count(F.when(F.col("role") != "user", 1)).alias("others"))
+    lambda s, d: relations.role_counts(load(s, d, "conversations"), "conv_id", "role", "user").withColumnRenamed("with", "users")
 )
 query("a36_ragged_batches", "SELECT count(DISTINCT n) = 1 AS even FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)")(lambda s, d: load(s, d, "conversations").groupBy("conv_id").count().agg((F.countDistinct("count") == 1).alias("even")))
 query("a38_source_totals", "SELECT lang, count(*) AS planned, sum(n_chars)::BIGINT AS chars, count(*) FILTER (n_chars = 0) AS empty FROM documents GROUP BY lang")(
@@ -486,7 +488,7 @@ JOIN (SELECT unnest(range(64)) AS k) ON i = CASE WHEN k = 63 THEN n - 1 ELSE flo
     lambda s, d: planning.evenly_spaced(load(s, d, "embeddings", "vec_id"), "vec_id", 64)
 )
 query("w18_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY sha1('run|' || doc_id), doc_id) AS place FROM documents")(lambda s, d: planning.shuffled(load(s, d, "documents", "doc_id"), "doc_id", "run").select("doc_id", "place"))
-query("w19_best_of", "SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM orders GROUP BY o_custkey")(lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best")))
+query("w19_best_of", "SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM orders GROUP BY o_custkey")(lambda s, d: relations.best_of(load(s, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice", "o_orderkey").withColumnRenamed("o_orderkey", "best"))
 @query("w20_best_match", """
 SELECT p_partkey AS cid, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN 10 * p_partkey ELSE 10 * p_partkey + 1 END AS did,
        CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN 0 ELSE 2 END::INT AS edits, CASE WHEN p_partkey % 4 < 3 THEN p_partkey % 4 < 2 END AS accepted FROM part""")
@@ -501,7 +503,7 @@ def best_match(s, d):
 
 
 query("w21_label_choice", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 ELSE 1 END, p_size, p_partkey DESC) = 1")(
-    lambda s, d: load(s, d, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1), "p_size", -F.col("p_partkey"))).alias("p_partkey"))
+    lambda s, d: relations.best_of(load(s, d, "part"), "p_brand", "p_partkey", F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1), "p_size", -F.col("p_partkey"))
 )
 _BM25 = """
 , t AS (SELECT doc_id AS did, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
@@ -511,7 +513,7 @@ SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
   SELECT qid, did, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN df USING (term), n GROUP BY qid, did)
 QUALIFY rank <= 10"""
 query("w22_bm25", "WITH " + _BM25.lstrip("\n, "))(lambda s, d: evaluation.bm25(load(s, d, "documents").select(F.col("doc_id").alias("did"), "text"), load(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
-query("w24_snapshots", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")(lambda s, d: load(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn")))
+query("w24_snapshots", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")(lambda s, d: relations.last_of(load(s, d, "conversations"), "conv_id", "turn"))
 _LIST = """
 SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY place)::INT AS rank, (count(*) OVER (PARTITION BY qid) - row_number() OVER (PARTITION BY qid ORDER BY place) + 1)::DOUBLE AS score FROM (
   SELECT user_id AS qid, CASE WHEN event_id % 4 = 0 THEN 'UNMAPPED_' || event_id ELSE event_type END AS did, min(event_id) AS place FROM events GROUP BY ALL)"""
@@ -526,19 +528,14 @@ query("w26_score_from_position", f"SELECT qid, did, score FROM ({_LIST})")(lambd
 query("w27_impute_omitted", "SELECT r.qid, r.did, coalesce(g.grade, 1) AS grade, g.grade IS NULL AS imputed FROM run r LEFT JOIN (SELECT * FROM grades WHERE did % 3 <> 0) g USING (qid, did)", "run", "grades")(
     lambda s, d: grading.impute_omitted(base.run(s, d).select("qid", "did"), base.grades(s, d).where("did % 3 <> 0").select("qid", "did", "grade")).select("qid", "did", "grade", "imputed")
 )
-@query("w28_call_windows", "SELECT source, (row_number() OVER (PARTITION BY source ORDER BY sha1('run|' || doc_id), doc_id) - 1) // 10 AS part, doc_id FROM documents")
-def _windows(s, d) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("source").orderBy(seeds.order_key("run", F.col("doc_id")), "doc_id"))
-    return load(s, d, "documents", "doc_id", "source").select("source", F.floor((place - 1) / 10).alias("part"), "doc_id")
-
-
+query("w28_call_windows", "SELECT source, (row_number() OVER (PARTITION BY source ORDER BY sha1('run|' || doc_id), doc_id) - 1) // 100 AS part, doc_id FROM documents")(
+    lambda s, d: relations.call_windows(load(s, d, "documents"), "source", "doc_id", 100, "run")
+)
 query("w30_exemplar_draw", f"""
 SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha1('run|' || source || '|' || doc_id), doc_id) AS i FROM documents) WHERE i <= 3 + {H12.format("'k|' || source")} % 3""")(
     lambda s, d: planning.draw_from_group(load(s, d, "documents", "doc_id", "source"), "source", "doc_id", F.pmod(seeds.seed_int("k", F.col("source")), F.lit(3)) + 3, "run").select("source", "doc_id")
 )
-query("w31_first_n", "SELECT event_id FROM events ORDER BY event_id LIMIT 100")(lambda s, d: load(s, d, "events", "event_id").orderBy("event_id").limit(100))
+query("w31_first_n", "SELECT event_id FROM events ORDER BY event_id LIMIT 100")(lambda s, d: relations.first_n(load(s, d, "events", "event_id"), 100, "event_id"))
 _BATCHES = """
 , b AS (SELECT row_number() OVER (ORDER BY sha1('run|' || doc_id), doc_id) AS place FROM documents WHERE lang = 'en'), g AS (SELECT row_number() OVER (ORDER BY sha1('run|' || doc_id), doc_id) AS place FROM documents WHERE lang <> 'en'),
 c AS (SELECT i, CASE WHEN i % 6 < 2 THEN 6 ELSE 5 END AS ng FROM range(100000) t(i)), u AS (SELECT i, sum(ng) OVER (ORDER BY i) AS gu, sum(32 - ng) OVER (ORDER BY i) AS bu, ng FROM c),
@@ -556,9 +553,9 @@ FROM (SELECT source, printf('%s-%s-%04d', source, 'u', unnest(range(share))) AS
 
 # ---- sets and composites
 
-query("u3_corpus_dedupe", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")(lambda s, d: load(s, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")))
+query("u3_corpus_dedupe", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")(lambda s, d: relations.distinct_texts(load(s, d, "documents"), "text", "doc_id"))
 query("u4_exclusion_lists", "SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority))[1] AS first, count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey")(
-    lambda s, d: load(s, d, "orders").where("o_orderpriority <> '5-LOW'").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("x")).select("o_custkey", F.col("x")[0].alias("first"), F.size("x").cast("long").alias("n"))
+    lambda s, d: relations.listed_once(load(s, d, "orders").where("o_orderpriority <> '5-LOW'"), "o_custkey", "o_orderpriority").select("o_custkey", F.col("listed")[0].alias("first"), F.size("listed").cast("long").alias("n"))
 )
 query("u5_distinct_gold", "SELECT DISTINCT o_custkey AS qid, o_orderstatus AS did FROM orders")(lambda s, d: load(s, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderstatus").alias("did")).distinct())
 query("u6_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")(lambda s, d: load(s, d, "documents", "doc_id").subtract(load(s, d, "labels", "doc_id")))
@@ -566,10 +563,10 @@ query("u7_later_grade_wins", "SELECT user_id, event_type, arg_max(value, event_i
 query("u8_round_union", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0")(
     lambda s, d: load(s, d, "documents", "doc_id").where("doc_id % 2 = 0").unionByName(load(s, d, "documents", "doc_id").where("doc_id % 3 = 0"))
 )
-query("u11_distinct_texts", "SELECT DISTINCT text FROM documents")(lambda s, d: load(s, d, "documents", "text").distinct())
+query("u11_distinct_texts", "SELECT DISTINCT text FROM documents")(lambda s, d: relations.distinct_texts(load(s, d, "documents"), "text"))
 query("u12_id_union", "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")(lambda s, d: load(s, d, "documents", "doc_id").union(load(s, d, "labels", "doc_id")).distinct())
 query("u13_ordered_distinct", "SELECT user_id, count(*) AS listed, count(*) - count(DISTINCT event_type) AS repeats FROM events GROUP BY user_id")(
-    lambda s, d: load(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("c")).groupBy("user_id").agg(F.sum("c").alias("listed"), (F.sum("c") - F.count("*")).alias("repeats"))
+    lambda s, d: relations.repeats(load(s, d, "events"), "user_id", "event_type")
 )
 query("c11_zero_shot", f"""
 WITH r AS (SELECT item_id // 4 AS qid, item_id AS place, CASE WHEN item_id % 4 < 2 THEN did END AS did FROM {_RECORD} WHERE item_id % 4 < 3),

@@ -3,9 +3,11 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from rankframe import plans
-from rankframe.operators import assembly, planning
+from rankframe.operators import assembly, evaluation, planning, vector
+from rankframe.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,94 @@ def test_even_sample_goes_by_position(spark, n):
     rows = spark.createDataFrame([(i,) for i in ids], "vec_id long").repartition(5)
     want = [ids[i] for i in np.linspace(0, n - 1, 64, dtype=np.int64)] if n else []
     assert sorted(r["vec_id"] for r in planning.evenly_spaced(rows, "vec_id", 64).collect()) == want
+
+
+@pytest.mark.parametrize("k, block", [(3, 1024), (40, 7), (400, 50)])
+def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, k, block):
+    """Few different vectors, so that most scores are tied; every task gives k rows a query at most."""
+    monkeypatch.setattr(vector, "CORPUS_BLOCK", 16)
+    rng = np.random.default_rng(k)
+    kinds = rng.normal(size=(5, 4))
+    corpus = [(i, kinds[rng.integers(5)].tolist()) for i in range(300)] + [(900, [0.0] * 4)]
+    queries = [(1000 + i, rng.normal(size=4).tolist()) for i in range(20)] + [(7, corpus[7][1])]
+    x, q = (np.array([v for _, v in rows]) for rows in (corpus, queries))
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1), 1e-12)[:, None]
+    scores = np.round(unit(q) @ unit(x).T, 6)
+    want = {}
+    for (qid, _), row in zip(queries, scores):
+        best = sorted((-s, i) for (i, _), s in zip(corpus, row) if i != qid)[:k]
+        want |= {(qid, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
+    asked, table = spark.createDataFrame(queries, "qid long, vec array<double>"), spark.createDataFrame(corpus, "id long, vec array<double>").repartition(3)
+    got = vector.top_k(asked, table, k, skip_self=True, block=block).collect()
+    assert {(r["qid"], r["rank"]): (r["did"], pytest.approx(r["score"])) for r in got} == want
+    blocks = vector._with_bytes(spark.createDataFrame([(0, [i for i, _ in queries], [v for _, v in queries])], "block long, qids array<long>, vecs array<array<double>>"))
+    packed = vector._packed(table.select("id", F.col("id").alias("as_id"), "vec"), 16)
+    assert vector._scan(packed, blocks, k, True, 6, False).count() <= 3 * k * len(queries)
+    names = table.select("id", (F.col("id") % 50).alias("did"))
+    distinct = vector.top_k_distinct(asked, table, k, names, block=block).collect()
+    for (qid, _), row in zip(queries, scores):
+        best = {}
+        for (i, _), s in zip(corpus, row):
+            best[i % 50] = max(s, best.get(i % 50, -2.0))
+        expected = [i for _, i in sorted((-s, i) for i, s in best.items())][:k]
+        assert [r["did"] for r in sorted(distinct, key=lambda r: r["rank"]) if r["qid"] == qid] == expected
+
+
+def test_running_sums_over_many_parts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(3)) or None, i, int(rng.integers(10))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "lane long, at long, n long").repartition(7)
+    want, sums = {}, {}
+    for lane, at, n in rows:
+        want[at] = sums.get(lane, 0)
+        sums[lane] = want[at] + n
+    assert {r["at"]: r["before"] for r in planning.running_before(frame, ["lane"], ["at"], "n").collect()} == want
+    total = planning.running_before(frame, [], ["at"], "n")
+    assert {r["at"]: r["before"] for r in total.collect()} == {i: sum(n for _, _, n in rows[:i]) for i in range(3000)}
+    assert planning.running_before(frame.limit(0), ["lane"], ["at"], "n").collect() == []
+
+
+def test_raw_shards(spark, tmp_path):
+    rows = [(i * 3, [float(i), 0.5]) for i in range(50)]
+    files.write_raw_vectors(spark.createDataFrame(rows, "id long, vec array<float>").repartition(3), f"file://{tmp_path}/index", shard_rows=7)
+    back = files.read_raw_vectors(spark, f"file://{tmp_path}/index", 2)
+    assert sorted((r["id"], r["vec"]) for r in back.collect()) == rows
+    shard = next((tmp_path / "index" / "vectors").glob("*.fp16"))
+    whole = shard.read_bytes()
+    (tmp_path / "index" / "vectors" / f".{shard.name}.crc").unlink(missing_ok=True)
+    for content, message in ((whole[:-4], "vectors but"), (np.array([np.nan, 1] * (len(whole) // 4), "<f2").tobytes(), "not finite")):
+        shard.write_bytes(content)
+        with pytest.raises(Exception, match=message):
+            files.read_raw_vectors(spark, f"file://{tmp_path}/index", 2).count()
+
+
+def test_zero_shot_lists(spark):
+    papers = spark.createDataFrame(
+        [(1, "A Study of Things", 50, ""), (2, "a study of things.", 1, "77"), (3, "Other matters entirely", 2, None), (4, "Other matters entirely", 9, None), (5, "", 1, "1")],
+        "did long, title string, cited int, pmid string",
+    )
+    lists = [(1, 0, " A study of thinks "), (1, 1, "A study of things"), (1, 2, "Invented by a model"), (1, 3, "A study of things"), (1, 4, ""), (1, 5, None), (1, 6, "Other matters: entirely"), (2, 0, "Other matter entirely")]
+    found = evaluation.zero_shot(spark.createDataFrame(lists, "qid long, place long, title string"), papers, keep=1)
+    got = {(r["qid"], r["place"]): (r["did"], r["edits"], r["kept"]) for r in found.collect()}
+    assert got == {(1, 0): (2, 2, 1), (1, 1): (2, 0, None), (1, 2): (None, None, None), (1, 6): (4, 0, None), (2, 0): (4, 1, 1)}
+    rates = {r["qid"]: (r["listed"], r["unresolved"], r["rate"]) for r in evaluation.hallucination_rate(found, "qid").collect()}
+    assert rates == {1: (4, 1, 0.25), 2: (1, 0, 0.0)}
+
+
+def test_best_match(spark):
+    cited = spark.createDataFrame([(1, "Some title here.", "2001", "Smith A"), (2, "Else", "", "")], "cid long, title string, year string, author string")
+    records = [(1, 0, 10, "Some title here", "1990", "Smith"), (1, 1, 11, "Some titles here", "2002", "SMITH"), (1, 2, 12, "Some title heres", "2000", "smith"), (1, 3, 13, "Some title here", "2001", "Jones")]
+    frame = spark.createDataFrame(records, "cid long, place long, did long, title string, year string, author string")
+    got = {r["cid"]: (r["did"], r["edits"], r["accepted"]) for r in evaluation.best_match(cited, frame, "cid").collect()}
+    assert got == {1: (11, 1, True), 2: (None, None, None)}
+
+
+def test_replace_is_all_or_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    files.replace_table(spark.range(3), path)
+    before = files.read_current(spark, path)
+    with pytest.raises(Exception, match="half way"):
+        files.replace_table(spark.range(9).select(F.when(F.col("id") > 4, F.raise_error(F.lit("half way"))).otherwise(F.col("id")).alias("id")), path)
+    assert files.read_current(spark, path).count() == 3
+    files.replace_table(spark.range(5), path)
+    assert (files.read_current(spark, path).count(), before.count()) == (5, 3)
