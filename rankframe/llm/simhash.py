@@ -85,8 +85,11 @@ def variants(points: DataFrame) -> DataFrame:
 
 
 def near_links(points: DataFrame, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all pairs within the radius."""
-    index = variants(points)
+    """Edges (a, b) between distinct fingerprints whose components are those of all pairs within the radius.
+
+    Fingerprints are few bytes but 64 variants each, so they are dealt to as many tasks as a shuffle has."""
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(points.repartition(tasks, "fp"))
     buckets = written(
         index.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "simhash-buckets"
     )
@@ -120,8 +123,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, car
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "mark", "root")
 
 
-#: Mean shingles of a group (up to twice as many), groups that are indexed, and hubs of a crowded bucket.
-GROUP_SHINGLES, GROUPS, HUBS = 2, 12, 4
+#: Mean shingles of a group (up to twice as many), groups that are indexed, hubs of a crowded bucket, and members in a
+#: block of one that are compared at once.
+GROUP_SHINGLES, GROUPS, HUBS, BLOCK = 2, 12, 4, 256
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("digest", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), ("groups", pa.list_(pa.int64()))])
 
 
@@ -175,11 +179,12 @@ def sketches(docs: DataFrame, shingle: int, similarity: float, carry: Column | N
     return map_arrow(source, scan, "doc_id long, mark binary, digest long, node binary, n long, fp long, groups array<long>")
 
 
-def _bucket_pairs(points: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes that share a group signature and could reach the similarity by their sizes.
+def _bucket_pairs(points: DataFrame, similarity: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of nodes that share a group signature and could reach the similarity by their sizes, and the
+    members (bucket, c, node) of crowded buckets.
 
     A bucket of more than ``hot`` nodes is not paired out: each member meets the bucket's hubs, those of its nodes that
-    stand in most crowded buckets, as the text that many others are copies of does."""
+    stand in most crowded buckets, as the text that many others are copies of does.  ``_rest_links`` takes the rest."""
     index = points.select(F.struct("n", "node").alias("p"), F.explode("groups").alias("bucket"))
     fits = lambda x, y: F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"])
     buckets = index.groupBy("bucket").agg(F.count("*").alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("c > 1")
@@ -196,7 +201,8 @@ def _bucket_pairs(points: DataFrame, similarity: float, hot: int) -> DataFrame:
     hubs = written(hubs, "similar-hubs")
     starred = crowd.select("bucket", F.col("p").alias("y")).join(maybe_broadcast(hubs, hubs.count(), longs=6), "bucket").where("x.node <> y.node").select("x", "y")
     every = two.unionByName(paired).unionByName(starred).where(fits(F.col("x"), F.col("y")))
-    return every.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = every.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs, members.where(F.col("c") > hot).select("bucket", "c", F.col("p.node").alias("node"))
 
 
 def _fingerprint_pairs(points: DataFrame, hot: int) -> DataFrame:
@@ -208,10 +214,10 @@ def _fingerprint_pairs(points: DataFrame, hot: int) -> DataFrame:
     return same.unionByName(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the similarity.  Only texts of candidates are read again, one for each node."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(points.join(needed, "node").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.digest").alias("of_digest")), "similar-wanted")
+def shingle_sets(docs: DataFrame, points: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (sorted 64-bit numbers) of the listed nodes: one text is read again for each."""
+    wanted = points.join(nodes.distinct(), "node").select("node", F.col("first.doc_id").alias("of_id"), F.col("first.digest").alias("of_digest"))
+    wanted = written(wanted, "similar-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     side = maybe_broadcast(wanted, wanted.count(), longs=6)
     met = texts.join(side, texts["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64(texts["text"]) == F.col("of_digest"))).select("node", "text")
@@ -221,8 +227,12 @@ def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int,
             found = [shingle_set(t.as_buffer().to_pybytes(), shingle).tobytes() for t in batch.column(1)]
             yield pa.record_batch({"node": batch.column(0), "hashes": pa.array(found, pa.binary())})
 
-    known = written(map_arrow(met, sets, "node binary, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "similar-sets")
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return map_arrow(met, sets, "node binary, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +246,46 @@ def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int,
     return map_arrow(both.select("a", "b", "x", "y"), compare, "a binary, b binary")
 
 
+def _rest_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the classes that hubs left apart: of each crowded bucket, the members outside its largest class
+    are compared with all its members, in blocks.  One link of each member to each other class is given."""
+    placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("c").alias("c"))
+    largest = classes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.max("c").alias("all")).where(F.col("top.n") < F.col("all"))
+    largest = written(largest.select("bucket", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")), "similar-open")
+    members = placed.join(maybe_broadcast(largest, largest.count(), longs=6), "bucket").join(sets, "node")
+
+    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK))
+        return rows.groupBy("bucket", number.alias(f"{name}_block")).agg(F.collect_list(F.struct("node", "root", "hashes")).alias(name))
+
+    met = blocks(members.where("root <> top"), "rest", "x").join(blocks(members, "c", "y"), "bucket").select("x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda rows: [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        for batch in batches:
+            links: list[tuple[bytes, bytes]] = []
+            for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                theirs = numbers(ys)
+                sizes = np.array([len(t) for t in theirs])
+                every, owner = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), sizes)
+                order = np.argsort(every, kind="stable")
+                every, owner = every[order], owner[order]
+                for x, own in zip(xs, numbers(xs)):
+                    start, end = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                    counts = end - start
+                    at = np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                    common = np.bincount(owner[at], minlength=len(theirs))
+                    seen = {x["root"]}
+                    for i in np.flatnonzero(common >= similarity * (len(own) + sizes - common)).tolist():
+                        if ys[i]["root"] not in seen:
+                            seen.add(ys[i]["root"])
+                            links.append((x["root"], ys[i]["root"]))
+            yield pa.record_batch({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return map_arrow(met, compare, "a binary, b binary")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = HOT, carry: Column | None = None) -> DataFrame:
     """doc_id, mark, root: texts whose sets of word shingles have the similarity (shared over all shingles) or more, and
     all that such links reach, have one root.
@@ -243,7 +293,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Candidates are of two kinds.  Fingerprints within two bits, by deletion variants as above.  And, as sets of similarity
     0.8 have fingerprints many bits apart, sets that agree in one group of shingles: a set is dealt to groups by hash, a
     fifth of other shingles leaves about half of the groups whole, and each of at most 12 groups is an equality key.  Every
-    candidate is verified by its true similarity, so no other texts are linked.  Of pairs at 0.8 more than 0.99 share a key.
+    candidate is verified by its true similarity, so no other texts are linked.  Of pairs at 0.8 more than 0.99 share a key,
+    and every link between texts that share one is found, in crowded groups too.
 
     Defined results: texts of the same shingle set are one node, empty texts among them; repeated rows share a root; an
     empty table gives no rows; null ids are ids like others; columns other than doc_id, text and those of ``carry`` are
@@ -251,12 +302,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     marked = written(sketches(docs, shingle, similarity, carry), "similar-sketches")
     points = marked.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("groups").alias("groups"))
     points = written(points, "similar-points")
-    pairs = written(_bucket_pairs(points, similarity, hot).unionByName(_fingerprint_pairs(points, hot)).distinct(), "similar-pairs")
-    links = written(verified(docs, points, pairs, shingle, similarity), "similar-links")
-    roots = connected_components(links)
-    n_roots = roots.count()
-    named = marked.join(maybe_broadcast(roots, n_roots, longs=4), "node", "left")
-    return named.select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
+    found, crowd = _bucket_pairs(points, similarity, hot)
+    pairs = written(found.unionByName(_fingerprint_pairs(points, hot)).distinct(), "similar-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node"))
+    sets = written(shingle_sets(docs, points, nodes, shingle), "similar-sets")
+    roots = connected_components(written(verified(pairs, sets, similarity), "similar-links"))
+    rest = written(_rest_links(crowd, roots, sets, similarity), "similar-rest")
+    # What the rest joins are whole classes: their roots get a root of their own.
+    joined = connected_components(rest).select(F.col("root").alias("last"), F.col("node").alias("root"))
+    named = marked.join(maybe_broadcast(roots, roots.count(), longs=4), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(maybe_broadcast(joined, joined.count(), longs=4), "root", "left")
+    return named.select("doc_id", "mark", F.coalesce("last", "root").alias("root"))
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:

@@ -517,7 +517,7 @@ def edited(rng, words, share):
     return words
 
 
-@pytest.mark.parametrize("hot", [2, 32])
+@pytest.mark.parametrize("hot", [1, 2, 32])
 def test_similar_documents_equal_brute_force(spark, hot):
     rng = random.Random(6)
     texts = [t for t in ODD_TEXTS] + ["  ", "Word " * 3000]
@@ -559,7 +559,7 @@ def test_similar_documents_of_a_crowd(spark):
     roots = {r["doc_id"]: r["root"] for r in out}
     sets = {d: shingles(t) for d, t in rows}
     alike = [d for d in range(600) if similar(sets[d], sets[5000])]
-    assert len(alike) > 400 and sum(roots[d] == roots[5000] for d in alike) >= 0.99 * len(alike)
+    assert len(alike) > 400 and all(roots[d] == roots[5000] for d in alike)
     assert len({roots[6000 + i] for i in range(300)}) == 300
 
 
