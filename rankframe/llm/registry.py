@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, token_counts
+from . import chat, exact_dedup, hard_negatives, html_text, mixing, neighbours, packing, pii, prefix_trie, quality, rules, simhash, token_counts
 from .shared import table
 
 
@@ -26,6 +26,12 @@ QUERIES = {
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.op8_exact_dedup(_documents(spark, sf_dir)),
     "op9_html": lambda spark, sf_dir: html_text.extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"])),
     "op10_token_counts": lambda spark, sf_dir: token_counts.count_tokens(_documents(spark, sf_dir)),
+    "op11_hard_negatives": lambda spark, sf_dir: hard_negatives.op11_hard_negatives(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])),
+    "op12_prefix_trie": lambda spark, sf_dir: prefix_trie.op12_prefix_trie(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])),
+    "op13_neighbours": lambda spark, sf_dir: neighbours.op13_neighbours(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])),
 }
 
-ORACLES = {"op3_chat": chat.ORACLE_SQL, "op3_chat_calls": chat.CALLS_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {
+    "op3_chat": chat.ORACLE_SQL, "op3_chat_calls": chat.CALLS_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+}
