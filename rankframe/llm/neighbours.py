@@ -42,8 +42,9 @@ from .shared import map_arrow, maybe_broadcast, written
 
 #: Tables; cells' width in expected distances; share of neighbours to be found by the model; rows of the sample.
 TABLES, CELL, RECALL, SAMPLE = 8, 2.7, 0.95, 2048
-#: Rows and queries of one part; a part with more is split.
-PART_ROWS, PART_QUERIES = 32_768, 16_384
+#: Rows and queries of one part, a part with more is split; parts of a small table.  A query brings back its best rows from
+#: each part that it visits, so parts are as many as the rows need and not as many as a shuffle has.
+PART_ROWS, PART_QUERIES, LEAST_PARTS = 32_768, 16_384, 16
 _DEALT = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("raw", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 _FOUND = "query_id long, rep long, score double"
 
@@ -271,7 +272,6 @@ def _dealt(rows: DataFrame, kind: str, width: int, family: Family, largest: floa
 def nearest(table: DataFrame, asked: Column, k: int, id: str = "id", vector: str = "vec", tables: int = TABLES, recall: float = RECALL, sample: int = SAMPLE, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """The k rows of the largest inner product with each row for which ``asked`` (of a column ``id``) holds, but itself:
     query_id, rank from 1, id, score.  To the driver come counts, the largest norm and the sample."""
-    spark = table.sparkSession
     packed, kind, width = _packed(table, id, vector)
     one = packed.groupBy("id").agg(F.min("raw").alias("raw"))
     of_copies = W.partitionBy("raw").orderBy("id")
@@ -284,7 +284,7 @@ def nearest(table: DataFrame, asked: Column, k: int, id: str = "id", vector: str
     norm = lambda batches: (pa.record_batch({"m": pa.array([np.linalg.norm(_matrix(b.column(0).to_pylist(), kind, width), axis=1).max()])}) for b in batches if b.num_rows)
     largest = map_arrow(index.select("raw"), norm, "m double").agg(F.max("m").alias("m")).first()["m"] or 1.0
     family = Family(width, max(2, min(16, round(math.log2(max(n, 2))) - 4)), tables, _sampled(index, kind, width, max(n, 1), k, sample))
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // part_rows))
+    n_parts = max(LEAST_PARTS, -(-n * tables // part_rows))
     wanted = 1 - (1 - recall) ** (1 / tables)
     queries = rows.where(asked)
     search = lambda left, right: _search(left, right, k + 1, kind, width, part_rows, part_queries)
