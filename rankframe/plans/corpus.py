@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seeds, text
-from ..operators import assembly, evaluation, grading, ledger, planning, relations
-from ..sources import files
+from ..operators import assembly, evaluation, grading, inverted, ledger, planning, relations
+from ..operators import labels as drug_labels_of
+from ..sources import files, raw_vectors
 from ..streaming import ledger as streams
+from ..streaming import spend as budgets
 from . import base
 from .base import load, query
 
@@ -38,12 +40,15 @@ query("s4_pruned_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_c
 )
 
 
-@query("s5_raw_vector_shards", "SELECT vec_id AS id, 64 AS dim, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0.9 AS near_unit FROM embeddings")
-def raw_vectors(s, d):
+@query("s5_raw_vector_shards", """
+SELECT vec_id AS id, 64 AS dim, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0.9 AS near_unit FROM embeddings""")
+def raw_vectors_read(s, d):
+    """One shard a task of the writer; each is read as ranges of 128 rows."""
     path = files.scratch(s, "vectors")
-    files.write_raw_vectors(base.points(s, d), path, shard_rows=300)
-    back = files.read_raw_vectors(s, path, 64)
-    return back.select("id", F.size("vec").alias("dim"), (F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")) > 0.9).alias("near_unit"))
+    raw_vectors.write_raw_vectors(base.points(s, d), path)
+    back = raw_vectors.read_raw_vectors(s, path, 64, range_rows=128)
+    squares = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    return back.select("id", F.size("vec").alias("dim"), (squares > 0.9).alias("near_unit"))
 
 
 _SHARDS = "SELECT DISTINCT label AS family, CASE WHEN vec_id % 5 = 4 AND label = 3 THEN 0 ELSE vec_id % 5 END AS n FROM embeddings"
@@ -512,7 +517,71 @@ q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text)
 SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INT AS rank FROM (
   SELECT qid, did, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN df USING (term), n GROUP BY qid, did)
 QUALIFY rank <= 10"""
-query("w22_bm25", "WITH " + _BM25.lstrip("\n, "))(lambda s, d: evaluation.bm25(load(s, d, "documents").select(F.col("doc_id").alias("did"), "text"), load(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
+
+
+def kept_index(s, d, *fields: str) -> str:
+    """All documents: the even ids first, then the others appended."""
+    path, docs = files.scratch(s, "index"), load(s, d, "documents").select(F.col("doc_id").alias("did"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), "text")
+    for rest in (0, 1):
+        inverted.append_index(docs.where(F.col("did") % 2 == rest), path, fields)
+    return path
+
+
+def benchmark_queries(s, d) -> DataFrame:
+    return load(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+query("w22_bm25", "WITH " + _BM25.lstrip("\n, "))(lambda s, d: inverted.search_index(s, kept_index(s, d, "text"), benchmark_queries(s, d)))
+query("w22_bm25_title_and_text", """
+WITH d AS (
+  SELECT doc_id AS did, 'title' AS field, split_part(text, '.', 1) AS x FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents),
+t AS (SELECT did, field, regexp_extract_all(lower(coalesce(x, '')), '[a-z0-9]+') AS w FROM d), n AS (SELECT field, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY field),
+i AS (SELECT did, field, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT did, field, dl, term, count(*) AS tf FROM i GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM f GROUP BY ALL),
+q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark)
+SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did)::INT AS rank FROM (
+  SELECT qid, did, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * dl / avgdl))), 6) AS score
+  FROM q JOIN f USING (term) JOIN df USING (field, term) JOIN n USING (field) GROUP BY qid, did)
+QUALIFY rank <= 10""")(lambda s, d: inverted.search_index(s, kept_index(s, d, "title", "text"), benchmark_queries(s, d)))
+
+
+def drug_labels(s, d) -> DataFrame:
+    """Parts as labels: brands, types and names as brand and generic names, some under original applications."""
+    part, key = load(s, d, "part"), F.col("p_partkey")
+    kind = F.when(key % 3 == 0, "NDA").when(key % 3 == 1, "ANDA").otherwise("BLA")
+    application = F.concat(kind, F.lpad((key % 37 + 1).cast("string"), 5, "0"))
+    return part.select(
+        key.cast("string").alias("label_id"), F.array("p_brand").alias("brand_names"), F.array("p_name", "p_type").alias("generic_names"),
+        F.when(key % 5 > 0, F.array(application)).otherwise(F.array().cast("array<string>")).alias("applications"), F.format_string("20%02d", F.col("p_size") % 10).alias("effective_time"),
+    )
+
+
+@query("w21_label_tiers", """
+WITH l AS (
+  SELECT p_partkey::VARCHAR AS label_id, p_brand AS brand, [p_name, p_type] AS generic, p_partkey % 5 > 0 AS filed, format('20{:02d}', p_size % 10) AS t,
+         CASE p_partkey % 3 WHEN 0 THEN 'NDA' WHEN 1 THEN 'ANDA' ELSE 'BLA' END || lpad((p_partkey % 37 + 1)::VARCHAR, 5, '0') AS application, p_partkey % 37 + 1 AS number
+  FROM part),
+a AS (SELECT DISTINCT unnest([p_brand, p_name, p_type, split_part(p_name, ' ', 2), upper(split_part(p_name, ' ', 1)), 'Brand', 'no such']) AS name FROM part),
+m AS (
+  SELECT a.name, l.*, unnest(list_filter([CASE WHEN lower(brand) = lower(name) THEN 0 END, CASE WHEN list_contains(list_transform(generic, lambda g: lower(g)), lower(name)) THEN 1 END,
+    CASE WHEN contains(' ' || replace(lower(brand), '#', ' ') || ' ', ' ' || replace(lower(name), '#', ' ') || ' ') THEN 2 END,
+    CASE WHEN len(list_filter(generic, lambda g: contains(' ' || lower(g) || ' ', ' ' || replace(lower(name), '#', ' ') || ' '))) > 0 THEN 3 END], lambda x: x IS NOT NULL)) AS tier
+  FROM a, l),
+w AS (SELECT name, min(tier) AS tier FROM m WHERE filed GROUP BY name),
+h AS (SELECT m.* FROM m JOIN w USING (name, tier)),
+o AS (SELECT name, arg_min(application, (number, application)) AS application FROM h WHERE filed AND application NOT LIKE 'A%' GROUP BY name),
+c AS (
+  SELECT o.name, o.application, l.label_id, l.t FROM o JOIN l ON l.filed AND l.application = o.application
+  UNION ALL SELECT name, NULL, label_id, t FROM h ANTI JOIN o USING (name)),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY t DESC, label_id) = 1)
+SELECT a.name, ['brand', 'generic', 'in brand', 'in generic'][w.tier + 1] AS tier, b.application, b.label_id FROM a LEFT JOIN w USING (name) LEFT JOIN b USING (name)""")
+def label_tiers(s, d):
+    """Whole and partial names of the parts; some tiers hold no original application, some labels no application."""
+    second, first = F.get(F.split("p_name", " "), F.lit(1)), F.upper(F.get(F.split("p_name", " "), F.lit(0)))
+    asked = load(s, d, "part").select(F.explode(F.array("p_brand", "p_name", "p_type", second, first, F.lit("Brand"), F.lit("no such"))).alias("name"))
+    return drug_labels_of.choose_label(asked, drug_labels(s, d))
+
+
 query("w24_snapshots", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")(lambda s, d: relations.last_of(load(s, d, "conversations"), "conv_id", "turn"))
 _LIST = """
 SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY place)::INT AS rank, (count(*) OVER (PARTITION BY qid) - row_number() OVER (PARTITION BY qid ORDER BY place) + 1)::DOUBLE AS score FROM (
@@ -592,6 +661,24 @@ def resume(s, d):
     return s.read.parquet(out)
 
 
+@query("x3_hard_abort", """
+WITH b AS (SELECT user_id AS lane, event_id, abs(value) AS amount, event_id * 8 // (SELECT max(event_id) + 1 FROM events) AS batch FROM events),
+r AS (SELECT *, round(sum(amount) OVER (PARTITION BY lane ORDER BY event_id), 4) AS total, row_number() OVER (PARTITION BY lane ORDER BY event_id) AS calls FROM b)
+SELECT lane, event_id, total, calls, CASE WHEN total >= 400 THEN 'abort' WHEN total >= 250 THEN 'warn' ELSE 'ok' END AS state
+FROM r WHERE total - amount < 399.99999 AND batch <= coalesce((SELECT min(batch) FROM r WHERE total >= 400), 8)""")
+def hard_abort(s, d):
+    """The calls of all lanes come in eight batches; the first crossing of a lane's budget ends the stream.  It is asked
+    to run again, and does not."""
+    source, out, at = (files.scratch(s, f"budget-{x}") for x in ("in", "out", "at"))
+    calls = load(s, d, "events").select(F.col("user_id").alias("lane"), F.col("event_id").alias("at"), F.abs("value").alias("amount"))
+    last = calls.agg(F.max("at")).first()[0] + 1
+    for part in range(8):
+        calls.where(F.floor(F.col("at") * 8 / last) == part).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        through = budgets.guarded_spend(s, source, "lane long, at long, amount double", out, at, "lane", "at", "amount", 250, 400)
+    return through.select("lane", F.col("at").alias("event_id"), F.round("total", 4).alias("total"), "calls", "state")
+
+
 @query("x3_running_spend", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def spend(s, d):
     source, out, checkpoint = (files.scratch(s, f"spend-{x}") for x in ("in", "out", "at"))

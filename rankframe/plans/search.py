@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import fusion, losses, metrics, vector
+from ..operators import fusion, losses, metrics, pooling, vector
 from . import base
 from .base import load, points, qrels, query, query_points, run
 
@@ -54,6 +55,42 @@ def pooled(s, d):
     return mean.select("id", F.round(F.col("m")[0], 6).alias("first"), F.round(F.col("m")[31], 6).alias("last"))
 
 
+def token_vectors(s, d) -> DataFrame:
+    """Vectors cut into eight tokens of eight parts: 1 to 8 of them are real, and the first is not always pooled."""
+    at = F.sequence(F.lit(1), F.lit(8))
+    real = F.transform(at, lambda i: (i <= F.col("id") % 8 + 1).cast("int"))
+    pooled = F.transform(at, lambda i: ((i <= F.col("id") % 8 + 1) & ((i > 1) | (F.col("id") % 3 > 0))).cast("int"))
+    return points(s, d).select("id", F.transform(at, lambda i: F.slice("vec", 8 * i - 7, 8)).alias("hidden"), real.alias("attention"), pooled.alias("mask"))
+
+
+def latent_head(width: int = 8, heads: int = 2, latents: int = 4) -> pooling.LatentHead:
+    """A head of seeded weights, in the place of trained ones."""
+    rng = np.random.default_rng(0)
+    w = lambda *shape: rng.normal(0, 0.3, shape)
+    norms = tuple((1 + w(width), w(width)) for _ in range(3))
+    return pooling.LatentHead(heads, w(latents, width), w(width, 2 * width), w(width, 4 * width), w(2 * width, width), norms, w(width, 8 * width), w(8 * width), w(4 * width, width), w(width))
+
+
+def pooled_parts(s, d, how: str, head=None) -> DataFrame:
+    found = pooling.pool(token_vectors(s, d), how, head).select("id", F.posexplode("vec").alias("part", "value"))
+    return found.select("id", "part", F.round("value", 6).alias("value"))
+
+
+_TOKENS = """
+WITH t AS (
+  SELECT vec_id AS id, i, embedding[8 * i - 7:8 * i]::DOUBLE[] AS v, i <= vec_id % 8 + 1 AS real, i <= vec_id % 8 + 1 AND (i > 1 OR vec_id % 3 > 0) AS pooled
+  FROM embeddings, range(1, 9) r(i)),
+p AS (SELECT id, i, real, pooled, j - 1 AS part, v[j] AS x, sqrt(list_inner_product(v, v)) AS norm FROM t, range(1, 9) p(j))
+"""
+for _how, _value, _rows in (
+    ("last", "max(x)", "WHERE i = id % 8 + 1"), ("cls", "max(x)", "WHERE i = 1"),
+    ("mean", "coalesce(sum(x) FILTER (pooled), 0) / greatest(count(*) FILTER (pooled), 1)", ""),
+    ("mean_tokennorm", "coalesce(sum(x / greatest(norm, 1e-12)) FILTER (pooled), 0) / greatest(count(*) FILTER (pooled), 1)", ""),
+):
+    query(f"f21_pool_{_how}", f"{_TOKENS} SELECT id, part::INT AS part, round({_value}, 6) AS value FROM p {_rows} GROUP BY id, part")(lambda s, d, how=_how: pooled_parts(s, d, how))
+query("f21_pool_latent")(lambda s, d: pooled_parts(s, d, "latent", latent_head()))
+
+
 @query("a30_self_check", """
 SELECT count(*) AS n, round(median(c), 4) AS median, round(min(c), 4) AS least FROM (
   SELECT list_cosine_similarity(v, list_transform(v, lambda x: round(x, 1))) AS c FROM e)""", "e")

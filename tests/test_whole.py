@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe import plans
 from rankframe.operators import assembly, evaluation, planning, vector
-from rankframe.sources import files
+from rankframe.sources import files, raw_vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,16 +117,27 @@ def test_running_sums_over_many_parts(spark):
 
 def test_raw_shards(spark, tmp_path):
     rows = [(i * 3, [float(i), 0.5]) for i in range(50)]
-    files.write_raw_vectors(spark.createDataFrame(rows, "id long, vec array<float>").repartition(3), f"file://{tmp_path}/index", shard_rows=7)
-    back = files.read_raw_vectors(spark, f"file://{tmp_path}/index", 2)
+    path = f"file://{tmp_path}/index"
+    raw_vectors.write_raw_vectors(spark.createDataFrame(rows, "id long, vec array<float>").repartition(3), path, shard_rows=7)
+    back = raw_vectors.read_raw_vectors(spark, path, 2)
     assert sorted((r["id"], r["vec"]) for r in back.collect()) == rows
     shard = next((tmp_path / "index" / "vectors").glob("*.fp16"))
     whole = shard.read_bytes()
-    (tmp_path / "index" / "vectors" / f".{shard.name}.crc").unlink(missing_ok=True)
-    for content, message in ((whole[:-4], "vectors but"), (np.array([np.nan, 1] * (len(whole) // 4), "<f2").tobytes(), "not finite")):
+    for content, message in ((whole[:-4], rf"{shard.stem}: \d+ vectors but"), (whole[:-1], "vectors but"), (whole[:-4] + np.array([np.nan, 1], "<f2").tobytes(), rf"{shard.stem}: vector row {len(whole) // 4 - 1} is not finite")):
         shard.write_bytes(content)
         with pytest.raises(Exception, match=message):
-            files.read_raw_vectors(spark, f"file://{tmp_path}/index", 2).count()
+            raw_vectors.read_raw_vectors(spark, path, 2).count()
+    shard.unlink()
+    with pytest.raises(Exception, match="no ids, or ids but no vectors"):
+        raw_vectors.read_raw_vectors(spark, path, 2).count()
+
+
+def test_one_shard_is_read_by_many_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/one"
+    raw_vectors.write_raw_vectors(spark.range(1000).select("id", F.array(F.col("id") % 100, F.lit(0.25)).alias("vec")).coalesce(1), path)
+    back = raw_vectors.read_raw_vectors(spark, path, 2, range_rows=64)
+    assert back.rdd.getNumPartitions() == 16 and len(list((tmp_path / "one" / "vectors").glob("*.fp16"))) == 1
+    assert {(r["row_index"], r["id"], *r["vec"]) for r in back.collect()} == {(i, i, i % 100, 0.25) for i in range(1000)}
 
 
 def test_zero_shot_lists(spark):
