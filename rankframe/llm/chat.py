@@ -8,9 +8,10 @@ else keeps its turn.  It is given as sort columns, one row a message, so no conv
 
 Defined results: of several calls with one identifier the earliest (turn, then place) counts and the
 others are ``duplicate``; a result without a call is ``orphan`` and keeps its turn; several results of a
-call are all linked, by turn; a null text is empty, a null role ``""``; a call that is not JSON stays in the
-message's text, which is else as it was without its calls; an unknown tool is invalid; repeated rows each give a
-row; columns other than conv_id, turn, role and text are not read.
+call are all linked, by turn; a null text is empty, a null role ``""``; a call that is not a JSON object stays in the
+message's text, which is else as it was without its calls; further fields of a call or result are its message's
+``more``; an unknown tool is invalid; repeated rows each give a row; columns other than conv_id, turn, role and text are
+not read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,16 @@ def _field(variant: str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(variant), path, kind)
 
 
+def _is_object(json: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(json).startswith("OBJECT"), F.lit(False))
+
+
+def _more(*known: str) -> Column:
+    """What ``json`` holds besides the known fields, as an object; null without any."""
+    rest = F.map_filter(F.try_variant_get("json", "$", "map<string,variant>"), lambda key, _: ~key.isin(*known))
+    return F.when(F.size(rest) > 0, F.to_variant_object(rest))
+
+
 def _problem(tools) -> Column:
     """The first thing wrong with the arguments ``args`` of tool ``name``; null if nothing is."""
     out = F.when(F.col("name").isNull(), "no name")
@@ -65,22 +76,23 @@ def messages(turns: DataFrame) -> DataFrame:
 
 
 def calls(turns: DataFrame, tools=TOOLS) -> DataFrame:
-    """conv_id, turn, place, call_id, name, arguments (canonical), problem, rank among equal identifiers."""
+    """conv_id, turn, place, call_id, name, arguments (canonical), more, problem."""
     spoken = messages(turns).where((F.col("role") == "assistant") & F.col("text").contains("<tool_call>"))
     each = spoken.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(CALL_RE), F.lit(1))).alias("place", "raw"))
-    each = each.withColumn("json", F.try_parse_json("raw")).where("json IS NOT NULL")
+    each = each.withColumn("json", F.try_parse_json("raw")).where(_is_object(F.col("json")))
     each = each.select(
         "conv_id", "turn", "place", _field("json", "$.id").alias("call_id"), _field("json", "$.name").alias("name"),
         F.try_variant_get("json", "$.arguments", "map<string,variant>").alias("given"), F.to_json(F.try_variant_get("json", "$.arguments", "variant")).alias("arguments"),
+        _more("id", "name", "arguments").alias("more"),
     )
     return each.withColumn("problem", _problem(tools)).drop("given")
 
 
 def _spoken() -> Column:
-    """The text without the blocks that are calls; a block that does not parse stays as it is."""
+    """The text without the blocks that are calls; a block that is not a JSON object stays as it is."""
     blocks, between = F.regexp_extract_all("text", F.lit(CALL_RE), F.lit(0)), F.split("text", CALL_RE)
     body = lambda block: F.regexp_extract(block, CALL_RE, 1)
-    left = F.transform(blocks, lambda block: F.when(F.try_parse_json(body(block)).isNull(), block).otherwise(""))
+    left = F.transform(blocks, lambda block: F.when(_is_object(F.try_parse_json(body(block))), "").otherwise(block))
     pieces = F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(left, i), F.lit(""))))
     return F.when(F.col("text").contains("<tool_call>"), F.array_join(pieces, "")).otherwise(F.col("text"))
 
@@ -96,7 +108,7 @@ def link(turns: DataFrame, tools=TOOLS) -> DataFrame:
         "conv_id", "turn", "role", F.lit("result").alias("kind"), F.coalesce("call.turn", "turn").alias("order_turn"), F.coalesce("call.place", F.lit(-1)).alias("order_place"),
         F.when(F.col("call").isNull(), 0).otherwise(2).alias("order_kind"), F.col("result_of").alias("call_id"),
         F.when(F.col("call").isNull(), "orphan").otherwise("linked").alias("status"),
-        F.to_json(F.struct(F.coalesce(F.to_json(F.try_variant_get("json", "$.content", "variant")), F.lit("null")).alias("content"), F.col("call.name").alias("name"), "role", F.col("result_of").alias("tool_call_id"))).alias("message"),
+        F.to_json(F.struct(F.coalesce(F.to_json(F.try_variant_get("json", "$.content", "variant")), F.lit("null")).alias("content"), _more("tool_call_id", "content").alias("more"), F.col("call.name").alias("name"), "role", F.col("result_of").alias("tool_call_id"))).alias("message"),
     )
     call_keys = first.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("call.turn").alias("first_turn"), F.col("call.place").alias("first_place"))
     ranked = called.join(call_keys, called["conv_id"].eqNullSafe(call_keys["c"]) & (called["call_id"] == call_keys["i"]), "left")
@@ -106,7 +118,7 @@ def link(turns: DataFrame, tools=TOOLS) -> DataFrame:
     )
     call_rows = ranked.select(
         "conv_id", "turn", F.lit("assistant").alias("role"), F.lit("call").alias("kind"), F.col("turn").alias("order_turn"), F.col("place").alias("order_place"), F.lit(1).alias("order_kind"), "call_id", status.alias("status"),
-        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "name")).alias("message"),
+        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "more", "name")).alias("message"),
     )
     plain = said.where("result_of IS NULL").select(
         "conv_id", "turn", "role", F.lit("message").alias("kind"), F.col("turn").alias("order_turn"), F.lit(-1).alias("order_place"), F.lit(0).alias("order_kind"), F.lit(None).cast("string").alias("call_id"), F.lit("plain").alias("status"),

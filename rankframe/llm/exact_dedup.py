@@ -137,14 +137,14 @@ def exact_duplicates(
 
     ``digest`` narrows the sha256 to the state's key.  ``state``: a shared folder that keeps the state from call to
     call; documents are then compared with those of all earlier calls, and keep_id and group_size are as of now.
-    Their files must still be there.  ``increment`` names this call's documents: a call that is repeated with the same
+    Their ids and texts are kept there too, as the caller passed them, so that full bytes can be compared.  ``increment`` names this call's documents: a call that is repeated with the same
     name counts them once.  ``carry``: a column of the text."""
     spark = docs.sparkSession
     home = state or fresh_dir(spark, "dedup")
     name = increment or uuid.uuid4().hex
     own_path = f"{home}/records/{name}"
-    if state and not docs.inputFiles():
-        docs = _kept_content(docs, f"{home}/content/{name}")
+    if state:
+        docs = _kept_content(docs.select("doc_id", "text"), f"{home}/content/{name}")
     rows, of_key = _rows(docs), lambda df: df.where(digest(sha256_digest(F.col("text"))) == F.col("digest"))
     mark = F.lit(None).cast("binary") if carry is None else carry
     if "_SUCCESS" not in _children(spark, own_path):
@@ -179,7 +179,7 @@ def exact_duplicates(
 
 
 def _kept_content(docs: DataFrame, path: str) -> DataFrame:
-    """Rows that no file holds, written so that later calls find them by their locator."""
+    """The rows as the caller made them, written so that later calls find them by their locator."""
     spark = docs.sparkSession
     if "_SUCCESS" not in _children(spark, path):
         docs.write.mode("overwrite").parquet(path)

@@ -50,6 +50,14 @@ _AROUND = frozenset(
     " responses respond share sharing social follow related recommended recommendations more trending subscribe subscription signup login search form skip".split()
 )
 _ANY = _BOILER | _AROUND
+#: Words that name it as any part of a compound: reader comments and adverts everywhere, the others outside a marked article.
+_COMMENTS_ADS = frozenset("comment comments disqus ad ads adv advert adverts advertisement advertising sponsored sponsor".split())
+_PARTS = _COMMENTS_ADS | frozenset(
+    "header footer nav navbar navigation menu sidebar related recommended recommendations share sharing social breadcrumb breadcrumbs pagination"
+    " newsletter cookie cookies consent gdpr promo popup modal masthead replies".split()
+)
+#: A header or footer with one of these is the article's own; a compound with one of those says that something is absent or near.
+_OWN_EDGE, _ONLY_SAID = frozenset("article entry post story content title".split()), frozenset("has with no not without is free".split())
 _ARTICLE_WORDS = frozenset("article articlebody post-content entry-content main".split())
 
 WORD, TAG, BREAK = 0, 1, 2
@@ -74,12 +82,18 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
 
 
 def _named_away(names: set[str], article: bool) -> bool:
-    """Whether a whole token names what is not the article, or all the words of one do and one of them everywhere."""
+    """Whether a whole token names what is not the article, or a compound does: by one word of those that name it in any
+    compound, or by all its words together."""
     for name in names:
         if name in _BOILER or (name in _AROUND and not article):
             return True
         words = re.split(r"[-_]+", name)
-        if len(words) > 1 and all(w in _ANY for w in words) and (not article or any(w in _BOILER for w in words)):
+        if len(words) < 2 or any(w in _ONLY_SAID for w in words):
+            continue
+        parts = {w for w in words if w in (_COMMENTS_ADS if article else _PARTS)}
+        if any(w in _OWN_EDGE for w in words):
+            parts -= {"header", "footer"}
+        if parts or (all(w in _ANY for w in words) and (not article or any(w in _BOILER for w in words))):
             return True
     return False
 
@@ -159,36 +173,56 @@ def evidence(html: str) -> Counter:
     seen: Counter = Counter()
     for kind, key, text, boiler, inside in events(html):
         weight = len(text.split()) if kind == WORD else 1
-        if weight and not (boiler and inside):
+        if weight and not boiler:
             seen[("w " if kind == WORD else "t ") + key, inside] += weight
     return seen if any(inside for _, inside in seen) else Counter()
 
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds of lying inside, within limits; tags also pay a fixed price, so they score negative unless
-    they hardly occur elsewhere, and are cut to at most -0.1."""
+    """Log odds of lying inside, within limits and drawn to the tag class's own weight where they rest on few tokens; tags
+    also pay a fixed price, so they score negative unless they hardly occur elsewhere, and are cut to at most -0.1."""
     weights = {}
     for key in {k for k, _ in counts}:
-        odds = math.log((counts.get((key, True), 0) + 1) / (counts.get((key, False), 0) + 1))
-        weights[key] = max(-4.0, min(4.0, odds)) if key[0] == "w" else max(-4.0, min(-0.1, odds - 1.0))
+        inside, outside = counts.get((key, True), 0), counts.get((key, False), 0)
+        odds, trust = math.log((inside + 1) / (outside + 1)), (inside + outside) / (inside + outside + _TRUSTED)
+        drawn = trust * (odds if key[0] == "w" else odds - 1.0) + (1 - trust) * _by_class(key)
+        weights[key] = max(-4.0, min(4.0, drawn)) if key[0] == "w" else max(-4.0, min(-0.1, drawn))
     return weights
 
 
+#: Tokens of a key at which its own odds and its class's weight count alike.
+_TRUSTED = 200
+#: Elements that an article's matter stands in.
+_MATTER = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot caption tr td th blockquote pre figure figcaption div section article main details summary address hr".split())
+
+
+def _by_class(key: str) -> float:
+    """The weight of a kind of place or tag without evidence of its own, by its tag's class."""
+    tag = key[2:].lstrip("/").split(">")[0]
+    if key[0] == "w":
+        return _UNKNOWN_WORD * (0.25 if key.endswith(">a") else 1.0)
+    return -0.25 if tag in _MATTER or tag in _INLINE else _UNKNOWN_TAG
+
+
 def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The best contiguous region's blocks, joined by two newlines."""
+    """The best contiguous region's blocks, joined by two newlines.
+
+    Inside a marked article no word scores less than its class's weight and no tag costs more, and a region that meets a
+    marked article reaches to its edges: what the page itself marks is left out only by name."""
     if not html:
         return ""
     best, best_span = 0.0, None
     running, start, index = 0.0, 0, 0
-    tokens: list[tuple[int, str, bool]] = []
+    tokens: list[tuple[int, str, bool, bool]] = []
     for kind, key, text, boiler, inside in events(html):
         if boiler:
             score = 0.0 if inside else _LEFT_OUT * (len(text.split()) if kind == WORD else 1)
-        elif kind == WORD:
-            score = weights.get("w " + key, _UNKNOWN_WORD) * len(text.split())
         else:
-            score = weights.get("t " + key, _UNKNOWN_TAG)
-        tokens.append((kind, text, boiler))
+            key = ("w " if kind == WORD else "t ") + key
+            score = weights.get(key, _by_class(key))
+            score = max(score, _by_class(key)) if inside else score
+            score *= len(text.split()) if kind == WORD else 1
+        tokens.append((kind, text, boiler, inside))
         if running <= 0:
             running, start = 0.0, index
         running += score
@@ -200,12 +234,17 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     blocks: list[str] = []
     parts: list[str] = []
     low, high = best_span
+    if any(t[3] for t in tokens[low:high]):
+        while low > 0 and tokens[low][3] and tokens[low - 1][3]:
+            low -= 1
+        while high < len(tokens) and tokens[high - 1][3] and tokens[high][3]:
+            high += 1
     # A region that starts or ends inside a block takes the whole block.
     while low > 0 and tokens[low - 1][0] != BREAK:
         low -= 1
     while high < len(tokens) and tokens[high][0] != BREAK:
         high += 1
-    for kind, text, boiler in tokens[low:high]:
+    for kind, text, boiler, _ in tokens[low:high]:
         if kind == BREAK:
             block = _clean("".join(parts))
             if block:

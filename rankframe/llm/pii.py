@@ -50,7 +50,9 @@ _STREET = re.compile(
 )
 _FRACTION = re.compile(r"[0-9]\.")
 _GROUP = re.compile(r"[0-9]+")
-_LABELLED = re.compile(r"(?:[ :#=.-]|(?i:no|number|nr|num|id|code)\b){0,6}([A-Z]{0,2}[0-9][0-9A-Z -]{4,32}[0-9A-Z])")
+#: A labelled number goes on, whatever its length, while words hold digits or are letter groups before digits.
+_LABELLED = re.compile(r"(?:[ :#=._-]|(?i:no|number|nr|num|id|code|is)(?![A-Za-z])){0,6}([A-Z]{0,2}[0-9][0-9A-Z-]*(?: (?:[A-Z]{1,4} (?=[0-9]))?(?=[A-Z-]*[0-9])[0-9A-Z-]+)*)")
+_LABELLED_IBAN = re.compile(r"(?:[ :#=._-]|(?i:no|number|nr|code|is)(?![A-Za-z])){0,6}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])")
 _CUES = ("ssn", "iban", "passport", "account", "acct", "tax id", "social security", "licence", "license no", "national id")
 #: Cues of the credentials of an account, and what may stand between them and the value.
 _SECRETS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "credential")
@@ -175,7 +177,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
-    email_end = region_end = colon_end = spelt_end = secret_end = 0
+    email_end = region_end = colon_end = spelt_end = secret_end = label_end = 0
     for last, (kind, length) in _automaton().iter(text):
         first = last - length + 1
         if kind == "digit":
@@ -222,13 +224,17 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
                 if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
                     more.append(("account", m.start(1), m.start(1) + len(value)))
         elif kind == "cue":
+            if last < label_end:
+                continue
+            m = _LABELLED_IBAN.match(text, last + 1) if text[first : last + 1].lower() == "iban" else None
+            if m and _iban(m[1].upper()):
+                more.append(("account", *m.span(1)))
+                label_end = m.end(1)
+                continue
             m = _LABELLED.match(text, last + 1)
-            if m and 6 <= sum(c.isdigit() for c in m[1]) <= 30:
-                value = m[1].split("  ")[0]
-                words = value.split(" ")
-                while len(words) > 1 and not any(c.isdigit() for c in words[-1]):
-                    words.pop()
-                more.append(("account", m.start(1), m.start(1) + len(" ".join(words))))
+            if m and sum(c.isdigit() for c in m[1]) >= 6:
+                more.append(("account", m.start(1), m.start(1) + len(m[1].rstrip("-"))))
+            label_end = m.end() if m else label_end
         elif text.startswith("://", first):
             stop = re.compile(r"[^\s/@]*").match(text, last + 1).end()
             if stop < len(text) and text[stop] == "@" and stop > last + 1:
