@@ -24,8 +24,22 @@ def ranking_list(sources: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(by.orderBy("place"))).withColumn("score", (F.count("*").over(by) - F.col("rank") + 1).cast("double")).drop("place")
 
 
-#: Listed titles up to which their variants are broadcast to the papers.
-LISTED_ROWS = 10_000
+def hop_rankings(sources: DataFrame) -> DataFrame:
+    """``sources(qid, hop, place, did)``, what each hop of a search adds → (qid, hop, did, rank), the ranking after each hop.
+
+    A ranking holds what the hops so far have found, each id once, in the order of its first appearance; so one order serves
+    all hops of a question, and a hop's ranking is its head.  ``hop`` is text: hops of digits come first, in the order
+    of their numbers, then the others by name.  A place that repeats goes by did; null ids and hops are left out."""
+    key = F.struct((~F.col("hop").rlike("^[0-9]+$")).alias("named"), F.when(F.col("hop").rlike("^[0-9]+$"), F.col("hop").cast("decimal(38,0)")).alias("number"), "hop")
+    usable = sources.where("hop IS NOT NULL AND did IS NOT NULL").withColumn("at", key)
+    first = usable.groupBy("qid", "did").agg(F.min(F.struct("at", "place", "did")).alias("first"))
+    ranked = first.select("qid", "did", F.col("first.at").alias("since"), F.row_number().over(W.partitionBy("qid").orderBy("first")).alias("rank"))
+    hops = usable.select(F.col("qid").alias("of"), "hop", "at").distinct()
+    return hops.join(ranked, F.col("of").eqNullSafe(F.col("qid")) & (F.col("since") <= F.col("at"))).select("qid", "hop", "did", "rank")
+
+
+#: Bytes of variants of listed titles that are broadcast to the papers.
+LISTED_BYTES = 64 << 20
 
 
 def resolve_titles(listed: DataFrame, papers: DataFrame, limit: int = 3) -> DataFrame:
@@ -51,7 +65,10 @@ def resolve_titles(listed: DataFrame, papers: DataFrame, limit: int = 3) -> Data
     low, high = from_(F.col("i")), to(F.col("i"))
     placed = sized.select("a", "m", "i", (high - low).alias("size"), F.explode(F.sequence(F.greatest(F.lit(0), low - limit), low + limit)).alias("place"))
     variants = placed.select("a", "m", "i", F.substring(F.col("a"), F.col("place") + 1, F.col("size")).alias("key")).where(F.length("key") == F.col("size")).distinct()
-    if wanted.count() <= LISTED_ROWS:
+    # A title of n characters has at most (2 limit + 1)^2 pieces times its variants, each a row with the title and a piece.
+    rows = (limit + 1) * (2 * limit + 1) ** 2
+    size = wanted.agg(F.sum((F.octet_length("a") * (1 + 1 / (limit + 1)) + 32) * rows)).first()[0] or 0
+    if size <= LISTED_BYTES:
         variants = F.broadcast(variants)
     met = cut.join(variants, ["m", "i", "key"]).select("a", "b", "rank").distinct()
     scored = met.where(F.levenshtein("a", "b", limit) >= 0).withColumn("edits", edits(F.col("a"), F.col("b"))).where(F.col("edits") <= limit)

@@ -16,8 +16,9 @@ from ..functions.vectors import dot
 
 #: Queries in one block, and corpus rows in one: a pair of blocks is what one matrix product sees.
 QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
-#: Query rows that one pass over the corpus answers (1 GB of 32-bit vectors of 256 parts); more take further passes.
-PASS_QUERIES = 1 << 20
+#: Bytes of query vectors that one pass over the corpus is sent, and of best rows that a task may hold in it; more queries
+#: take further passes.
+SENT_BYTES, HELD_BYTES = 256 << 20, 512 << 20
 _HITS = "qid long, did long, score double"
 
 
@@ -60,12 +61,24 @@ class _Best:
         return pa.record_batch({"qid": self.qids[self.kept[0]], "did": self.kept[1], "score": self.kept[2]})
 
 
-def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+def _kind(*tables: DataFrame) -> str:
+    """32-bit parts where all tables hold no more."""
+    return "<f4" if all(dict(t.dtypes)["vec"] == "array<float>" for t in tables) else "<f8"
 
 
-def _packed(vectors: DataFrame, size: int) -> DataFrame:
-    """Rows (id, as_id, vec) as blocks of at most ``size``: their ids, the width and the 64-bit parts as bytes.  Nothing moves."""
+def _matrix(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+
+
+def pass_queries(dim: int, k: int, block: int, part_bytes: int) -> int:
+    """Queries of one pass, in whole blocks: their vectors and ids, and k rows (place, id, score) a query with as many
+    waiting, stay within the budgets."""
+    rows = min(SENT_BYTES // (dim * part_bytes + 8), HELD_BYTES // (2 * 24 * k))
+    return max(1, rows // block) * block
+
+
+def _packed(vectors: DataFrame, size: int, kind: str = "<f8") -> DataFrame:
+    """Rows (id, as_id, vec) as blocks of at most ``size``: their ids, the width and the parts as bytes.  Nothing moves."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +88,7 @@ def _packed(vectors: DataFrame, size: int) -> DataFrame:
                 widths = set(pc.list_value_length(vec).to_pylist())
                 if len(widths) > 1 or None in widths:
                     raise ValueError("vectors of one table differ in width, or one is null")
-                x = vec.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                x = vec.flatten().to_numpy(zero_copy_only=False).astype(kind)
                 if not np.isfinite(x).all():
                     raise ValueError("a vector has a part that is not finite")
                 ids, names = (pa.array([part.column(i).to_pylist()], pa.list_(pa.int64())) for i in (0, 1))
@@ -85,7 +98,7 @@ def _packed(vectors: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(pack, "ids array<long>, names array<long>, dim int, raw binary")
 
 
-def _scan(corpus: DataFrame, blocks: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool) -> DataFrame:
+def _scan(corpus: DataFrame, blocks: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, kind: str = "<f8") -> DataFrame:
     """Every block of queries meets every block of the corpus where that lies; each task gives its own k best a query."""
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -98,7 +111,7 @@ def _scan(corpus: DataFrame, blocks: DataFrame, k: int, cosine: bool, digits: in
                 if block not in best:
                     best[block] = _Best(np.array(qids, np.int64), k)
                 known, ids, names = best[block].qids, np.array(ids, np.int64), np.array(names, np.int64)
-                scores = np.round(unit(_matrix(queries, dim)) @ unit(_matrix([raw], dim)).T, digits)
+                scores = np.round(unit(_matrix(queries, dim, kind)) @ unit(_matrix([raw], dim, kind)).T, digits)
                 if skip_self:
                     scores[known[:, None] == ids[None, :]] = -np.inf
                 best[block].add(*_top(scores, names, k))
@@ -131,17 +144,19 @@ def _top(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, block: int, shared_ids: bool = False) -> DataFrame:
     asked = queries.select(F.col("qid").cast("long").alias("id"), F.col("qid").cast("long").alias("as_id"), "vec")
-    n = asked.count()
+    kind = _kind(queries, corpus)
+    n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    per_pass = pass_queries(max(dim, 1), k, block, int(kind[-1])) // block
     # Queries are dealt to blocks by digest: about ``block`` in each, and the blocks of a pass are broadcast.
     n_blocks = max(1, -(-n // block))
     of_block = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
-    packed = _packed(corpus, CORPUS_BLOCK)
+    packed = _packed(corpus, CORPUS_BLOCK, kind)
     passes = []
-    for low in range(0, n_blocks, max(1, PASS_QUERIES // block)):
-        mine = asked.withColumn("block", of_block).where((F.col("block") >= low) & (F.col("block") < low + max(1, PASS_QUERIES // block)))
+    for low in range(0, n_blocks, per_pass):
+        mine = asked.withColumn("block", of_block).where((F.col("block") >= low) & (F.col("block") < low + per_pass))
         raw = mine.select("block", "id", F.col("vec").cast("array<double>").alias("vec"))
         blocks = raw.groupBy("block").agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select("block", F.col("rows.id").alias("qids"), F.col("rows.vec").alias("vecs"))
-        passes.append(_scan(packed, _with_bytes(blocks), k, cosine, digits, skip_self))
+        passes.append(_scan(packed, _with_bytes(blocks, kind), k, cosine, digits, skip_self, kind))
     found = reduce(DataFrame.unionByName, passes)
     if shared_ids:
         # Another task may have met the same id.  Dealt by query once, for this and for the ranking.
@@ -149,10 +164,10 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits:
     return ranked(found, k)
 
 
-def _with_bytes(blocks: DataFrame) -> DataFrame:
+def _with_bytes(blocks: DataFrame, kind: str = "<f8") -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [[np.asarray(v, "<f8").tobytes() for v in vecs] for vecs in batch.column(2).to_pylist()]
+            raw = [[np.asarray(v, kind).tobytes() for v in vecs] for vecs in batch.column(2).to_pylist()]
             yield pa.record_batch({"block": batch.column(0), "qids": batch.column(1), "queries": pa.array(raw, pa.list_(pa.binary()))})
 
     return blocks.mapInArrow(pack, "block long, qids array<long>, queries array<binary>")
@@ -191,3 +206,21 @@ def top_k_distinct(queries: DataFrame, corpus: DataFrame, k: int, aliases: DataF
 def without(run: DataFrame, excluded: DataFrame, depth: int) -> DataFrame:
     """A run without each query's excluded ids (qid, did), ranked anew to ``depth``."""
     return ranked(run.drop("rank").join(excluded, ["qid", "did"], "left_anti"), depth)
+
+
+def self_check(stored: DataFrame, fresh: DataFrame, wanted: int, floor: float) -> DataFrame:
+    """Whether an encoder makes an index's own vectors again: n, median and least cosine, in one row.
+
+    ``stored(id, vec)`` is looked at in twice ``wanted`` evenly spaced positions by id; the first ``wanted`` of those that
+    ``fresh(id, vec)`` has are compared.  Fails, when it is read, where fewer than half of the wanted are there or the
+    median is below ``floor``.  Nulls and vectors of another width count as cosine 0."""
+    from ..functions.vectors import cosine
+    from .planning import evenly_spaced
+
+    picked = evenly_spaced(stored.select("id", "vec"), "id", 2 * wanted).distinct()
+    both = picked.join(fresh.select("id", F.col("vec").alias("again")), "id").orderBy("id").limit(wanted)
+    alike = F.when(F.size("vec") == F.size("again"), F.coalesce(cosine(F.col("vec"), F.col("again")), F.lit(0.0))).otherwise(0.0)
+    found = both.select(alike.alias("c")).agg(F.count("*").alias("n"), F.percentile("c", F.lit(0.5)).alias("median"), F.min("c").alias("least"))
+    bad = (F.col("n") < wanted // 2) | F.col("median").isNull() | (F.col("median") < floor)
+    said = F.format_string(f"the encoder does not reproduce the index: %d of {wanted} rows, median cosine %s, floor {floor}", "n", F.col("median").cast("string"))
+    return found.withColumn("n", F.when(bad, F.raise_error(said)).otherwise(F.col("n")))

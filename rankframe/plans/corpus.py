@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seeds, text
-from ..operators import assembly, evaluation, grading, inverted, ledger, planning, relations
+from ..operators import assembly, evaluation, grading, inverted, ledger, naming, planning, relations
 from ..operators import labels as drug_labels_of
 from ..sources import files, raw_vectors
 from ..streaming import ledger as streams
@@ -354,6 +354,17 @@ def fuzzy(s, d):
 
 query("j16_banned_terms", r"SELECT doc_id, regexp_matches(text, '(?i)(^|[^0-9A-Za-z_À-ÿ])' || source || '([^0-9A-Za-z_À-ÿ]|$)') AS hit FROM documents")(lambda s, d: load(s, d, "documents").select("doc_id", text.leak_hit(F.col("text"), F.array("source")).isNotNull().alias("hit")))
 query("j17_concept_naming", "SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), 'que') AS named FROM conversations")(lambda s, d: load(s, d, "conversations").select("conv_id", "turn", text.names_found(F.col("text"), F.array(F.lit("The"), F.lit("QUE"))).alias("named")))
+@query("j17_names_in_documents", """
+WITH n AS (SELECT DISTINCT p_partkey AS cid, lower(trim(unnest([p_name, p_type, p_brand, split_part(p_name, ' ', 1), right(p_name, 2)]))) AS name FROM part),
+w AS (SELECT DISTINCT name FROM n), h AS (SELECT doc_id, name FROM documents JOIN w ON contains(lower(coalesce(text, '') || ' ' || coalesce(source, '')), name))
+SELECT cid, count(DISTINCT doc_id) AS n FROM n JOIN h USING (name) GROUP BY cid""")
+def names_in_documents(s, d):
+    names = F.array("p_name", "p_type", "p_brand", F.get(F.split("p_name", " "), F.lit(0)), F.right("p_name", F.lit(2)))
+    concepts = load(s, d, "part").select(F.col("p_partkey").alias("cid"), F.explode(names).alias("name"))
+    found = naming.named_concepts(load(s, d, "documents").withColumnRenamed("doc_id", "did"), concepts, ("text", "source"))
+    return found.groupBy("cid").agg(F.count("*").alias("n"))
+
+
 query("j18_hits_with_papers", "SELECT count(*) AS hits, count(doc_id) AS found FROM run LEFT JOIN documents ON doc_id = did AND lang = 'en'", "run")(
     lambda s, d: base.run(s, d).join(load(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("did"), F.lit(1).alias("x")), "did", "left").agg(F.count("*").alias("hits"), F.count("x").alias("found"))
 )
@@ -583,6 +594,20 @@ def label_tiers(s, d):
 
 
 query("w24_snapshots", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")(lambda s, d: relations.last_of(load(s, d, "conversations"), "conv_id", "turn"))
+@query("w24_hop_rankings", """
+WITH s AS (
+  SELECT user_id AS qid, ['2', '10', '1', 'final', '007', 'again'][event_id % 6 + 1] AS hop, event_id AS place, event_id * 7 % 23 AS did FROM events WHERE event_id % 11 > 0),
+k AS (SELECT *, (NOT regexp_full_match(hop, '[0-9]+'), coalesce(TRY_CAST(hop AS BIGINT), 0), hop) AS pos FROM s),
+f AS (SELECT qid, did, min((pos, place, did)) AS first, min(pos) AS since FROM k GROUP BY qid, did),
+r AS (SELECT qid, did, since, row_number() OVER (PARTITION BY qid ORDER BY first)::INT AS rank FROM f),
+h AS (SELECT DISTINCT qid, hop, pos FROM k)
+SELECT h.qid, h.hop, r.did, r.rank FROM h JOIN r ON h.qid = r.qid AND r.since <= h.pos""")
+def hops(s, d):
+    hop = F.get(F.array(*map(F.lit, ("2", "10", "1", "final", "007", "again"))), (F.col("event_id") % 6).cast("int"))
+    rows = load(s, d, "events").where("event_id % 11 > 0")
+    return evaluation.hop_rankings(rows.select(F.col("user_id").alias("qid"), hop.alias("hop"), F.col("event_id").alias("place"), (F.col("event_id") * 7 % 23).alias("did")))
+
+
 _LIST = """
 SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY place)::INT AS rank, (count(*) OVER (PARTITION BY qid) - row_number() OVER (PARTITION BY qid ORDER BY place) + 1)::DOUBLE AS score FROM (
   SELECT user_id AS qid, CASE WHEN event_id % 4 = 0 THEN 'UNMAPPED_' || event_id ELSE event_type END AS did, min(event_id) AS place FROM events GROUP BY ALL)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import fusion, losses, metrics, pooling, vector
+from ..sources import files
 from . import base
 from .base import load, points, qrels, query, query_points, run
 
@@ -99,6 +100,18 @@ def self_check(s, d):
     return points(s, d).select(c.alias("c")).agg(F.count("*").alias("n"), F.round(F.percentile("c", F.lit(0.5)), 4).alias("median"), F.round(F.min("c"), 4).alias("least"))
 
 
+@query("a30_checked_vectors", """
+WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
+k AS (SELECT DISTINCT CASE WHEN k = 63 THEN n - 1 ELSE floor(k * ((n - 1) / 63::DOUBLE))::BIGINT END AS i FROM range(64) r(k), (SELECT count(*) AS n FROM embeddings)),
+c AS (SELECT list_cosine_similarity(v, list_transform(v, lambda x: round(x, 1))) AS c FROM p JOIN k USING (i) WHERE vec_id % 3 > 0 ORDER BY vec_id LIMIT 32)
+SELECT count(*) AS n, round(median(c), 4) AS median, round(min(c), 4) AS least FROM c""")
+def checked_vectors(s, d):
+    """Vectors cut to one digit stand for an encoder's; a third of the rows has none."""
+    at = points(s, d).select("id", "vec")
+    fresh = at.where("id % 3 > 0").select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 1)).alias("vec"))
+    return vector.self_check(at, fresh, 32, 0.85).select("n", F.round("median", 4).alias("median"), F.round("least", 4).alias("least"))
+
+
 def scored(s, d) -> DataFrame:
     return metrics.per_query(run(s, d, base.METRIC_DEPTH), qrels(s, d))
 
@@ -175,9 +188,9 @@ query("u9_query_intersection", "SELECT qid FROM run WHERE score > 0.3 INTERSECT
 )
 
 
-def runs(s, d) -> DataFrame:
+def runs(s, d, full: DataFrame | None = None) -> DataFrame:
     named = lambda df, n: df.select(F.lit(n).alias("retriever"), "qid", "did", "rank")
-    return named(run(s, d), "full").unionByName(named(base.half_run(s, d, 1), "left")).unionByName(named(base.half_run(s, d, 33), "right"))
+    return named(run(s, d) if full is None else full, "full").unionByName(named(base.half_run(s, d, 1), "left")).unionByName(named(base.half_run(s, d, 33), "right"))
 
 
 _FUSED = """
@@ -185,8 +198,8 @@ SELECT * FROM (SELECT qid, did, rrf, row_number() OVER (PARTITION BY qid ORDER B
   SELECT qid, did, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM runs GROUP BY qid, did)) WHERE place <= 30"""
 
 
-def fused(s, d) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(runs(s, d), keep=30)
+def fused(s, d, full: DataFrame | None = None) -> DataFrame:
+    return fusion.reciprocal_rank_fusion(runs(s, d, full), keep=30)
 
 
 query("w5_reciprocal_rank_fusion", _FUSED, "runs")(lambda s, d: fused(s, d).select("qid", "did", "rrf", "place"))
@@ -197,8 +210,8 @@ SELECT * FROM (SELECT r.qid, r.retriever, r.did, quota,
 FROM runs r JOIN ({_FUSED}) f USING (qid, did) LEFT JOIN (VALUES ('full', 8), ('left', 5), ('other', 4)) t(retriever, quota) ON t.retriever = r.retriever) WHERE quota IS NULL OR rank <= quota"""
 
 
-def lists(s, d) -> DataFrame:
-    return fusion.retriever_lists(fused(s, d), s.createDataFrame(_QUOTAS, "retriever string, quota int"))
+def lists(s, d, full: DataFrame | None = None) -> DataFrame:
+    return fusion.retriever_lists(fused(s, d, full), s.createDataFrame(_QUOTAS, "retriever string, quota int"))
 
 
 query("w6_per_retriever_best", f"SELECT qid, retriever, did, rank FROM ({_LISTS}) WHERE quota IS NOT NULL", "runs")(lambda s, d: lists(s, d).where("quota IS NOT NULL").select("qid", "retriever", "did", "rank"))
@@ -216,8 +229,10 @@ LEFT JOIN ({_LISTS}) l ON l.qid = a.qid AND l.retriever = a.retriever GROUP BY A
 
 
 def pooled_lists(s, d) -> DataFrame:
-    frozen = fusion.head(run(s, d), 6).select("qid", "did", F.lit("question").alias("slot"), F.lit("frozen").alias("retriever"), "rank")
-    return fusion.pool(frozen.unionByName(lists(s, d).where("quota IS NOT NULL").select("qid", "did", F.lit("question").alias("slot"), "retriever", "rank")))
+    """The frozen head and the lists come from one search of each retriever."""
+    full = files.kept(run(s, d), "run")
+    frozen = fusion.head(full, 6).select("qid", "did", F.lit("question").alias("slot"), F.lit("frozen").alias("retriever"), "rank")
+    return fusion.pool(frozen.unionByName(lists(s, d, full).where("quota IS NOT NULL").select("qid", "did", F.lit("question").alias("slot"), "retriever", "rank")))
 
 
 _POOL = f"""
@@ -249,7 +264,8 @@ def hold_out(s, d):
 
 
 def graded(s, d) -> DataFrame:
-    return base.grades(s, d)
+    """Grades of one search, whatever joins them with themselves."""
+    return files.kept(base.grades(s, d), "grades")
 
 
 query("w23_position_weight", "SELECT qid, did, round(pow(1.0::DOUBLE / row_number() OVER (PARTITION BY qid ORDER BY score DESC, did), 0.25), 6) AS pi FROM grades", "grades")(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankframe import plans
-from rankframe.operators import assembly, evaluation, planning, vector
+from rankframe.operators import assembly, evaluation, naming, planning, vector
 from rankframe.sources import files, raw_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +170,42 @@ def test_replace_is_all_or_nothing(spark, tmp_path):
     assert files.read_current(spark, path).count() == 3
     files.replace_table(spark.range(5), path)
     assert (files.read_current(spark, path).count(), before.count()) == (5, 3)
+
+
+@pytest.mark.parametrize("budget", [1, 200])
+def test_names_in_texts_take_as_many_passes_as_they_need(spark, budget):
+    names = [(1, "Heart"), (1, " art "), (2, "ÉCOLE"), (3, ""), (4, None), (5, "a b"), (6, "heart")]
+    texts = [(1, "HEARTH", None), (2, "école a", "b"), (3, None, None), (4, "nothing", "art art"), (1, "hearth", "x")]
+    found = naming.named_concepts(spark.createDataFrame(texts, "did long, title string, body string"), spark.createDataFrame(names, "cid long, name string"), ("title", "body"), most_bytes=budget)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 6), (2, 2), (2, 5), (4, 1)]
+    assert naming.named_concepts(spark.createDataFrame(texts, "did long, title string, body string"), spark.createDataFrame([], "cid long, name string"), ("title",)).collect() == []
+
+
+def test_searches_of_a_small_budget_take_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "id long, vec array<float>")
+    asked = table.select(F.col("id").alias("qid"), "vec")
+    whole = sorted(map(tuple, vector.top_k(asked, table, 5, skip_self=True, block=16).collect()))
+    assert vector.pass_queries(4, 5, 16, 4) > 120 and vector.pass_queries(1024, 1000, 1024, 8) < 32768
+    monkeypatch.setattr(vector, "HELD_BYTES", 2 * 24 * 5 * 40)
+    found = vector.top_k(asked, table, 5, skip_self=True, block=16)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4
+    assert sorted(map(tuple, found.collect())) == whole
+
+
+def test_self_check_refuses(spark):
+    stored = spark.createDataFrame([(i, [1.0, float(i % 5)]) for i in range(400)], "id long, vec array<float>")
+    assert tuple(vector.self_check(stored, stored, 16, 0.999).first()) == (16, pytest.approx(1.0), pytest.approx(1.0))
+    turned = stored.select("id", F.reverse("vec").alias("vec"))
+    few = stored.where("id < 60")
+    for fresh in (turned, few, stored.limit(0), stored.select("id", F.slice("vec", 1, 1).alias("vec"))):
+        with pytest.raises(Exception, match="does not reproduce"):
+            vector.self_check(stored, fresh, 16, 0.999).collect()
+
+
+def test_rankings_after_each_hop(spark):
+    rows = [("q", "10", 0, "d"), ("q", "2", 1, "b"), ("q", "2", 0, "a"), ("q", "end", 0, "a"), ("q", "end", 1, "e"), ("q", "10", 1, "a"), ("q", None, 0, "z"), ("q", "2", 5, None), ("r", "x", 0, "a")]
+    found = {(r["qid"], r["hop"], r["rank"], r["did"]) for r in evaluation.hop_rankings(spark.createDataFrame(rows, "qid string, hop string, place long, did string")).collect()}
+    lists = {("q", "2"): "ab", ("q", "10"): "abd", ("q", "end"): "abde", ("r", "x"): "a"}
+    assert found == {(q, h, i, did) for (q, h), dids in lists.items() for i, did in enumerate(dids, 1)}
