@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seeds, text
-from ..operators import assembly, evaluation, grading, inverted, ledger, naming, planning, relations
+from ..operators import assembly, evaluation, grading, inverted, judging, ledger, naming, planning, relations, vector
 from ..operators import labels as drug_labels_of
 from ..sources import files, raw_vectors
 from ..streaming import ledger as streams
@@ -139,6 +139,20 @@ SELECT 'selected' AS shard, row_number() OVER (ORDER BY label, vec_id) - 1 AS ro
     lambda s, d: (lambda index: files.assemble_index(index, index.where("id % 4 = 0"), "selected"))(
         load(s, d, "embeddings").select(F.col("label").alias("shard"), F.col("vec_id").alias("row_index"), F.col("vec_id").alias("id")))
 )
+
+
+@query("s24_linked_index", "SELECT qid, did, score, rank FROM run WHERE qid % 4 <> 1 AND rank <= 5", "run")
+def linked_index(s, d):
+    """Three shards stay where they are, a fourth is left out and its rows come anew; the run searches the result."""
+    base_path, out = files.scratch(s, "base"), files.scratch(s, "assembled")
+    at = base.points(s, d).select("id", "vec")
+    for part in range(4):
+        raw_vectors.write_raw_vectors(at.where(F.col("id") % 4 == part).coalesce(1), base_path, dtype="<f4", prefix=f"shard{part}-")
+    raw_vectors.assemble_index([base_path], at.where("id % 4 = 2").coalesce(1), out, ("shard2-000000-0000",), dtype="<f4")
+    corpus = raw_vectors.read_assembled(s, out, 64, range_rows=128, dtype="<f4").select("id", "vec")
+    return vector.top_k(at.where("id % 4 <> 1").select(F.col("id").alias("qid"), "vec"), corpus, 5, skip_self=True)
+
+
 query("s25_lane_union", "SELECT lang AS lane, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang")(
     lambda s, d: files.union_lanes({x: load(s, d, "documents", "doc_id", "lang").where(F.col("lang") == x) for x in ("en", "fr")}).groupBy("lane").agg(F.count("*").alias("n"))
 )
@@ -146,6 +160,18 @@ query("s26_manifest_guard", f"""
 SELECT count(*) AS rows, sum({H12.format("x").replace("sha1", "sha256")}::HUGEINT)::VARCHAR AS digest FROM (SELECT n_nationkey || chr(1) || n_name AS x FROM nation)""")(
     lambda s, d: files.manifest(load(s, d, "nation"), "n_nationkey", "n_name")
 )
+
+
+@query("s26_pinned_table", f"""
+SELECT count(*) AS rows, sum({H12.format("x").replace("sha1", "sha256")}::HUGEINT)::VARCHAR AS digest FROM (SELECT o_orderkey || chr(1) || o_orderstatus AS x FROM orders)""")
+def pinned_table(s, d):
+    """A copy of a table passes only with the manifest of the table it was made from."""
+    path, columns = files.scratch(s, "copy"), ("o_orderkey", "o_orderstatus")
+    pinned = files.manifest(load(s, d, "orders"), *columns).first()
+    load(s, d, "orders", *columns).repartition(3).write.parquet(path)
+    return files.same_manifest(files.manifest(s.read.parquet(path), *columns), pinned["rows"], pinned["digest"])
+
+
 query("s27_expect", "SELECT count(*) AS n FROM nation")(lambda s, d: files.expect(load(s, d, "nation").agg(F.count("*").alias("n")), n=25))
 
 
@@ -191,6 +217,7 @@ query("p10_synthetic_filter", "SELECT count(*) AS n FROM documents WHERE doc_id
 query("p11_question_slot", f"SELECT scan_id FROM ({_SKETCHES}) WHERE text <> '' AND slot = 'question'")(lambda s, d: sketches(s, d).where("slot = 'question' OR (slot IS NULL AND NOT contains(scan_id, '#'))").select("scan_id"))
 query("p13_abstract_presence", "SELECT doc_id, length(trim(coalesce(text, ''))) >= 50 AS has FROM documents")(lambda s, d: load(s, d, "documents").select("doc_id", text.has_abstract(F.col("text")).alias("has")))
 query("p15_blank_gate", "SELECT count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS blank FROM documents")(lambda s, d: load(s, d, "documents").agg(F.count("*").alias("n"), F.count(F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1)).alias("blank")))
+query("p15_refused_blanks", "SELECT count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS blank FROM documents")(lambda s, d: files.no_blanks(load(s, d, "documents"), "text", 0.5))
 query("p16_split_filter", "SELECT doc_id FROM labels WHERE coalesce(toxic = 0, true)")(lambda s, d: load(s, d, "labels").where("coalesce(toxic = 0, true)").select("doc_id"))
 query("p18_citation_cleanup", """
 SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'PMID:' || user_id ELSE 'FDA:' || event_type END AS kept FROM events""")(
@@ -671,6 +698,44 @@ SELECT r.qid, r.place, r.did, k.kept::INT AS kept FROM r LEFT JOIN k ON k.qid =
 query("c12_judge_inputs", "SELECT user_id, least(count(*) FILTER (event_type = 'click'), count(*) FILTER (event_type = 'view'), 3) AS n FROM events GROUP BY user_id")(
     lambda s, d: evaluation.equal_length(load(s, d, "events").groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("a"), F.collect_list(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("b")), "a", "b", 3).select("user_id", F.size("a").cast("long").alias("n"))
 )
+
+
+def judged_lists(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users as questions, their clicks and views as two lists; two in three sources are records, documents here."""
+    events = load(s, d, "events").where("event_type IN ('click', 'view')")
+    work = F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 200)
+    sources = events.select(
+        F.col("user_id").alias("qid"), F.when(F.col("event_type") == "click", "ours").otherwise("other").alias("side"), F.col("event_id").alias("place"), work.alias("work_id"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), F.col("event_type").alias("venue"), (F.col("event_id") % 30 + 1990).cast("string").alias("year"),
+    )
+    questions = load(s, d, "events").select(F.col("user_id").alias("qid")).distinct().withColumn("question", F.concat(F.lit("Which for "), F.col("qid").cast("string"), F.lit("?")))
+    records = load(s, d, "documents").select(F.col("doc_id").alias("work_id"), F.col("source").alias("title"), F.col("lang").alias("venue"), F.col("n_chars").cast("string").alias("year"), F.col("text").alias("abstract"))
+    return questions, sources, records
+
+
+@query("c12_judge_prompts", """
+WITH s AS (
+  SELECT user_id AS qid, CASE event_type WHEN 'click' THEN 'ours' ELSE 'other' END AS side, event_id, CASE WHEN event_id % 3 > 0 THEN event_id % 200 END AS work_id,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n, event_type
+  FROM events WHERE event_type IN ('click', 'view')),
+m AS (SELECT user_id AS qid, coalesce(min(k), 0) AS most FROM (SELECT DISTINCT user_id FROM events) u
+      LEFT JOIN (SELECT q.user_id AS qid, t.side, count(s.n) AS k FROM (SELECT DISTINCT user_id FROM events) q CROSS JOIN (VALUES ('ours'), ('other')) t(side)
+                 LEFT JOIN s ON s.qid = q.user_id AND s.side = t.side AND s.n <= 6 GROUP BY ALL) c ON c.qid = u.user_id GROUP BY user_id),
+l AS (
+  SELECT s.qid, side, n, '[' || n || '] ' || CASE WHEN work_id IS NULL THEN 'event ' || event_id || ', ' || event_type || ' ' || (event_id % 30 + 1990)
+         ELSE coalesce(source, '') || ' (' || coalesce(n_chars::VARCHAR, '') || ') ' || coalesce(lang, '') || chr(10) || coalesce(text, '') END AS line
+  FROM s JOIN m ON m.qid = s.qid AND n <= most LEFT JOIN documents ON doc_id = work_id),
+t AS (SELECT qid, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (side = 'ours'), '') AS ours, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (side = 'other'), '') AS other FROM l GROUP BY qid),
+f AS (SELECT m.*, coalesce(ours, '') AS ours, coalesce(other, '') AS other, ('0x' || substr(sha1('judge|' || m.qid), 1, 12))::BIGINT / 281474976710656.0::DOUBLE >= 0.5 AS first FROM m LEFT JOIN t USING (qid))
+SELECT qid, CASE WHEN first THEN 'A' ELSE 'B' END AS ours_is, most AS n_ours, most AS n_other,
+       sha256('Q: Which for ' || qid || '?' || chr(10) || 'A:' || chr(10) || CASE WHEN first THEN ours ELSE other END || chr(10) || 'B:' || chr(10) || CASE WHEN first THEN other ELSE ours END) AS digest
+FROM f""")
+def judge_prompts(s, d):
+    lines = {"record_line": "[{{n}}] {{title}} ({{year}}) {{venue}}\n{{abstract}}", "other_line": "[{{n}}] {{title}}, {{venue}} {{year}}"}
+    made = judging.judge_inputs(*judged_lists(s, d), "Q: {{question}}\nA:\n{{list_a}}\nB:\n{{list_b}}", run="judge", keep=6, same_length=True, flip=True, **lines)
+    return made.select("qid", "ours_is", "n_ours", "n_other", F.sha2("prompt", 256).alias("digest"))
+
+
 query("c14_benchmark_preparation", "SELECT item_id::VARCHAR AS _id, '' AS title, text FROM benchmark")(lambda s, d: files.aliased(load(s, d, "benchmark"), _id=("_id", "item_id"), title=("title",), text=("text", "contents")).select(F.col("_id").cast("string").alias("_id"), F.coalesce(F.col("title").cast("string"), F.lit("")).alias("title"), "text"))
 
 # ---- streams

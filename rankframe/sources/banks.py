@@ -53,14 +53,14 @@ def read_index(spark: SparkSession, path: str, dim: int) -> DataFrame:
 def query_vectors(rows: DataFrame, order: str | None = None) -> DataFrame:
     """(qid, vec): a table's own ids as text, or its row numbers from 0 in ``order`` where it has none.
 
-    Numbering takes one task; query sets are small beside the corpus."""
+    Numbers come from a range sort with an offset a part, so no task numbers all rows."""
     if "id" in rows.columns:
         return rows.select(F.col("id").cast("string").alias("qid"), "vec")
-    from pyspark.sql import Window as W
-
     if order is None:
         raise ValueError("vectors without ids need a column that orders them")
-    return rows.select((F.row_number().over(W.orderBy(order)) - 1).cast("string").alias("qid"), "vec")
+    from ..operators.planning import positions
+
+    return positions(rows, order).select(F.col("position").cast("string").alias("qid"), "vec")
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, name: str, revision: str) -> None:

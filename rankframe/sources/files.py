@@ -140,3 +140,32 @@ def expect(df: DataFrame, **counts: int) -> DataFrame:
         message = F.concat(F.lit(f"{name}: expected {value}, found "), F.col(name).cast("string"))
         df = df.withColumn(name, F.when(F.col(name) == value, F.col(name)).otherwise(F.raise_error(message)))
     return df
+
+
+def refuse(df: DataFrame, bad: Column, message: str) -> DataFrame:
+    """``df``, which fails when it is read if ``bad`` holds for a row of it: the guard before a step that must not run."""
+    first = df.columns[0]
+    return df.withColumn(first, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message))).otherwise(F.col(first)))
+
+
+def same_manifest(found: DataFrame, rows: int, digest: str) -> DataFrame:
+    """``found``, a manifest, if it is that of the table that was pinned."""
+    return refuse(found, ~F.col("rows").eqNullSafe(F.lit(rows)) | ~F.col("digest").eqNullSafe(F.lit(digest)), "the table is not the one that was pinned")
+
+
+def no_blanks(docs: DataFrame, column: str, most: float = 0.0) -> DataFrame:
+    """n and blank, the texts that are null or white space; fails if their share is above ``most``."""
+    found = docs.agg(F.count("*").alias("n"), F.count(F.when(F.trim(F.coalesce(column, F.lit(""))) == "", 1)).alias("blank"))
+    return refuse(found, F.col("blank") > F.col("n") * most, f"more than {most:.0%} of the texts are blank")
+
+
+def even_groups(rows: DataFrame, key: str) -> DataFrame:
+    """groups, least and most rows of a group; fails unless all are of one size."""
+    found = rows.groupBy(key).count().agg(F.count("*").alias("groups"), F.min("count").alias("least"), F.max("count").alias("most"))
+    return refuse(found, F.col("least") != F.col("most"), f"groups by {key} differ in size")
+
+
+def all_settled(units: DataFrame, settled: Column) -> DataFrame:
+    """units and open, those not settled; fails while any is open: the next round is not planned on half a round."""
+    found = units.agg(F.count("*").alias("units"), F.count(F.when(~F.coalesce(settled, F.lit(False)), 1)).alias("open"))
+    return refuse(found, F.col("open") > 0, "units of the round are not settled")

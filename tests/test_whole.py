@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankframe import plans
-from rankframe.operators import assembly, evaluation, naming, planning, vector
+from rankframe.operators import assembly, evaluation, judging, naming, planning, vector
 from rankframe.sources import files, raw_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -209,3 +209,56 @@ def test_rankings_after_each_hop(spark):
     found = {(r["qid"], r["hop"], r["rank"], r["did"]) for r in evaluation.hop_rankings(spark.createDataFrame(rows, "qid string, hop string, place long, did string")).collect()}
     lists = {("q", "2"): "ab", ("q", "10"): "abd", ("q", "end"): "abde", ("r", "x"): "a"}
     assert found == {(q, h, i, did) for (q, h), dids in lists.items() for i, did in enumerate(dids, 1)}
+
+
+def test_assembled_index_refers_to_its_shards(spark, tmp_path):
+    base, out = f"file://{tmp_path}/base", f"file://{tmp_path}/out"
+    rows = spark.range(60).select("id", F.array(F.col("id"), F.lit(1)).alias("vec"))
+    for part in range(3):
+        raw_vectors.write_raw_vectors(rows.where(f"id % 3 = {part}").coalesce(1), base, prefix=f"s{part}-")
+    added = spark.range(100, 105).select("id", F.array(F.lit(0), F.col("id")).alias("vec"))
+    raw_vectors.assemble_index([base], added.coalesce(1), out, ("s1-000000-0000",))
+    back = raw_vectors.read_assembled(spark, out, 2, range_rows=8)
+    assert {r["id"] for r in back.collect()} == {i for i in range(60) if i % 3 != 1} | set(range(100, 105)) and back.rdd.getNumPartitions() == 7
+    assert [p.name for p in (tmp_path / "out" / "vectors").glob("*.fp16")] == ["added000000-0000.fp16"]
+    for bases, left_out, message in (([base], ("none",), "no shard none"), ([base, base], (), "two shards of one name")):
+        with pytest.raises(ValueError, match=message):
+            raw_vectors.assemble_index(bases, added.coalesce(1), f"file://{tmp_path}/{len(bases)}", left_out)
+    (tmp_path / "base" / "vectors" / "s0-000000-0000.fp16").unlink()
+    with pytest.raises(Exception, match="named, but not in"):
+        raw_vectors.read_assembled(spark, out, 2).count()
+
+
+def test_guards_refuse(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (2, " ", 1), (3, None, 2), (4, "b", 2)], "k long, text string, g int")
+    assert tuple(files.no_blanks(docs, "text", 0.5).first()) == (4, 2) and tuple(files.even_groups(docs, "g").first()) == (2, 2, 2)
+    pinned = files.manifest(docs, "k", "text").first()
+    assert files.same_manifest(files.manifest(docs.repartition(3), "k", "text"), *pinned).first() == pinned
+    assert tuple(files.all_settled(docs, planning.settled(F.col("k"), F.col("k"), F.lit(0))).first()) == (4, 0)
+    for refused in (
+        files.no_blanks(docs, "text", 0.4), files.even_groups(docs.where("k > 1"), "g"), files.same_manifest(files.manifest(docs.where("k < 4"), "k", "text"), *pinned),
+        files.same_manifest(files.manifest(docs.withColumn("text", F.lit("a")), "k", "text"), *pinned), files.all_settled(docs, planning.settled(F.col("k"), F.lit(1), F.lit(0))),
+    ):
+        with pytest.raises(Exception, match="blank|differ in size|not the one|not settled"):
+            refused.collect()
+
+
+def test_judge_inputs(spark):
+    questions = spark.createDataFrame([("q1", "why {{n}}"), ("q2", "what"), ("q3", None)], "qid string, question string")
+    sources = [("q1", "ours", 2, "w2", None, None, None), ("q1", "ours", 1, None, "T", "V", "1999"), ("q1", "ours", 3, "w1", None, None, None), ("q1", "other", 1, "w1", None, None, None), ("q1", "other", 1, "gone", None, None, None), ("q2", "other", 1, "w2", None, None, None), ("no", "ours", 1, "w1", None, None, None)]
+    frame = spark.createDataFrame(sources, "qid string, side string, place int, work_id string, title string, venue string, year string")
+    records = spark.createDataFrame([("w1", "One", "v1", "2001", "abs {{n}}"), ("w2", "Two", None, "2002", "abs2")], "work_id string, title string, venue string, year string, abstract string")
+    shown = {}
+    for flip in (False, True):
+        for name, more in (("all", {}), ("even", {"same_length": True}), ("records", {"records_only": True, "keep": 2})):
+            made = judging.judge_inputs(questions, frame, records, "{{question}}|{{list_a}}|{{list_b}}", "{{n}} {{title}}/{{venue}}/{{abstract}}", "{{n}}: {{title}}, {{year}}", "r", flip=flip, **more)
+            shown |= {(name, r["qid"], flip): (r["ours_is"], r["n_ours"], r["n_other"], r["prompt"]) for r in made.collect()}
+    for qid in ("q1", "q2", "q3"):
+        assert shown["all", qid, False][0] != shown["all", qid, True][0]
+    lists = {("all", "q1"): ("1: T, 1999\n2 Two//abs2\n3 One/v1/abs {{n}}", "1 //\n2 One/v1/abs {{n}}"), ("even", "q1"): ("1: T, 1999\n2 Two//abs2", "1 //\n2 One/v1/abs {{n}}"), ("records", "q1"): ("1 Two//abs2", "1 //\n2 One/v1/abs {{n}}"), ("all", "q2"): ("", "1 Two//abs2"), ("even", "q2"): ("", "")}
+    for (name, qid), (ours, other) in lists.items():
+        for flip in (False, True):
+            first, n_ours, n_other, prompt = shown[name, qid, flip]
+            assert prompt == "|".join(({"q1": "why {{n}}", "q2": "what"}[qid], *((ours, other) if first == "A" else (other, ours))))
+            assert (n_ours, n_other) == tuple(len(x.splitlines()) for x in (ours, other))
+    assert shown["all", "q3", False][1:] == (0, 0, "||")
