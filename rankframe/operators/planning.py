@@ -51,9 +51,9 @@ def round_plan(rows: DataFrame, min_yield: float = 0.35, max_overgen: float = 3.
 def sample_to_target(rows: DataFrame, unit: list[str], key: str, target: str, run: str) -> DataFrame:
     """At most ``target`` rows of each unit in seeded order; rows of units without a target are dropped.
 
-    Adds ``selected``.  The order depends on the key alone, not on the input's order."""
-    place = F.row_number().over(W.partitionBy(*unit).orderBy(order_key(F.lit(run), F.lit("subsample"), *map(F.col, unit), F.col(key)), key))
-    return rows.withColumn("selected", F.coalesce(place <= F.col(target), F.lit(False)))
+    Adds ``selected``.  The order depends on the key alone, not on the input's order; a unit of any size is spread over tasks."""
+    placed = places(rows, unit, [order_key(F.lit(run), F.lit("subsample"), *map(F.col, unit), F.col(key)), F.col(key)])
+    return placed.withColumn("selected", F.coalesce(F.col("place") <= F.col(target), F.lit(False))).drop("place")
 
 
 def sample_report(selected: DataFrame, unit: list[str], target: str) -> DataFrame:
@@ -109,6 +109,12 @@ def running_before(rows: DataFrame, lane: list[str], order: list[str | Column],
     return out.withColumn(name, F.col("_base") + F.col("_own")).select(*rows.columns, name)
 
 
+def places(rows: DataFrame, lane: list[str], order: list[str | Column]) -> DataFrame:
+    """Adds ``place``, 1, 2, … in each lane, by the range sort of ``running_before``: no lane is one task."""
+    counted = running_before(rows.withColumn("_one", F.lit(1)), lane, order, "_one", "place")
+    return counted.withColumn("place", F.col("place") + 1).drop("_one")
+
+
 #: Rows that one task of a seeded shuffle sorts, about.
 SHUFFLE_ROWS = 1_000_000
 
@@ -151,8 +157,7 @@ def draw_cells(units: DataFrame, run: str, lengths: dict[str, float], styles: di
 
 def draw_from_group(rows: DataFrame, group: str, key: str, k: Column, run: str) -> DataFrame:
     """k members of each group in seeded order (k may be a column)."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(order_key(F.lit(run), F.col(group), F.col(key)), key))
-    return rows.withColumn("place", place).where(F.col("place") <= k)
+    return places(rows, [group], [order_key(F.lit(run), F.col(group), F.col(key)), F.col(key)]).where(F.col("place") <= k)
 
 
 def first_reason(*tests: tuple[Column, str]) -> Column:

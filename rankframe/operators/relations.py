@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeds import order_key
+from .planning import places
 
 
 def inner_lookup(rows: DataFrame, table: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -68,9 +68,9 @@ def repeats(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def call_windows(rows: DataFrame, group: str, key: str, size: int, run: str) -> DataFrame:
-    """Each group in seeded order, cut to windows of ``size`` rows: group, part, key."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(order_key(run, F.col(key)), key))
-    return rows.select(group, F.floor((place - 1) / size).alias("part"), key)
+    """Each group in seeded order, cut to windows of ``size`` rows: group, part, key.  A group is spread over tasks."""
+    placed = places(rows.select(group, key), [group], [order_key(run, F.col(key)), F.col(key)])
+    return placed.select(group, F.floor((F.col("place") - 1) / size).alias("part"), key)
 
 
 def best_of(rows: DataFrame, group: str, value: str, *order: Column | str) -> DataFrame:
