@@ -184,7 +184,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
 
 def all_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
     """Every query against every row: qid, did and the dot product.  As many rows as both counts multiplied, so it is for
-    a stated, bounded query set; ``top_k`` is the way to keep the best."""
+    a stated, bounded query set; ``top_k`` is the way to keep the best.  More than one pass can be sent is an error."""
+    n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    if n * (dim + 1) * 8 > SENT_BYTES:
+        raise ValueError(f"{n} queries of {dim} parts are too many for all scores")
     at = F.broadcast(queries.select("qid", F.col("vec").alias("asked")))
     return corpus.select(F.col("id").alias("did"), "vec").join(at).select("qid", "did", F.round(dot(F.col("asked"), F.col("vec")), digits).alias("score"))
 

@@ -477,7 +477,7 @@ SELECT user_id, round(sum(value), 4) AS usd, sum(event_id)::BIGINT AS in_tok, (3
     lambda s, d: ledger.lane_spend(load(s, d, "events").withColumns({"out": F.lit(3), "guess": F.col("event_type") == "click"}), "user_id", "value", "event_id", "out", "guess")
 )
 query("a25_limit_crossings", """
-WITH t AS (SELECT ts, event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events)
+WITH t AS (SELECT ts, event_id, round(sum(abs(value)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events)
 SELECT 'warn' AS "limit", arg_min(event_id, (ts, event_id)) AS event_id, min(total) AS total FROM t WHERE total >= 250 HAVING count(*) > 0
 UNION ALL SELECT 'abort', arg_min(event_id, (ts, event_id)), min(total) FROM t WHERE total >= 400 HAVING count(*) > 0""")(
     lambda s, d: ledger.crossings(load(s, d, "events").withColumn("value", F.abs("value")), ["ts", "event_id"], "value", 250, 400).select("limit", "event_id", "total")
