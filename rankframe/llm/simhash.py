@@ -126,6 +126,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, car
 #: Mean shingles of a group (up to twice as many), groups that are indexed, hubs of a crowded bucket, and members in a
 #: block of one that are compared at once.
 GROUP_SHINGLES, GROUPS, HUBS, BLOCK = 2, 12, 4, 256
+#: Slots in which shingles are counted, to tell rare from frequent ones.
+SLOTS = 1 << 18
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("digest", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), ("groups", pa.list_(pa.int64()))])
 
 
@@ -246,20 +248,70 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), compare, "a binary, b binary")
 
 
-def _rest_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the classes that hubs left apart: of each crowded bucket, the members outside its largest class
-    are compared with all its members, in blocks.  One link of each member to each other class is given."""
-    placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("c").alias("c"))
-    largest = classes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.max("c").alias("all")).where(F.col("top.n") < F.col("all"))
-    largest = written(largest.select("bucket", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")), "similar-open")
-    members = placed.join(maybe_broadcast(largest, largest.count(), longs=6), "bucket").join(sets, "node")
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall in each of ``SLOTS`` hash slots: a table of fixed size, on the driver."""
 
-    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK))
-        return rows.groupBy("bucket", number.alias(f"{name}_block")).agg(F.collect_list(F.struct("node", "root", "hashes")).alias(name))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                np.add.at(total, np.frombuffer(row.as_buffer(), np.uint64) % SLOTS, 1)
+        found = np.flatnonzero(total)
+        yield pa.record_batch({"slot": pa.array(found), "n": pa.array(total[found])})
+
+    sums = map_arrow(sets.select("hashes"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+
+
+def _rare_prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """The rarest shingles (key) of every set, as many as two sets of the similarity can't all differ in, with the set's
+    node, class (kin), size n and the size ``most`` of the largest set that could have this shingle as the first common one.
+
+    Rare is by slot, then by hash: one order for all sets, so a pair's first common shingle stands in both prefixes, and
+    all that the two share stands behind it."""
 
-    met = blocks(members.where("root <> top"), "rest", "x").join(blocks(members, "c", "y"), "bucket").select("x", "y")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, owner, sizes, most = [], [], [], []
+            for row, text in enumerate(batch.column(2)):
+                own = np.frombuffer(text.as_buffer(), np.uint64)
+                n = len(own)
+                order = np.lexsort((own, counts[own % SLOTS]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                keys.append(own[order].view(np.int64))
+                owner.append(np.full(len(order), row))
+                sizes.append(np.full(len(order), n))
+                most.append(np.floor((n - np.arange(len(order))) * (1 + 1 / similarity) + 1e-9).astype(np.int64) - n)
+            if keys:
+                at = pa.array(np.concatenate(owner))
+                numbers = [pa.array(np.concatenate(c)) for c in (sizes, most)]
+                columns = [pa.array(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), *numbers]
+                yield pa.record_batch(columns, names=["key", "node", "kin", "n", "most"])
+
+    return map_arrow(sets.select("node", "kin", "hashes"), scan, "key long, node binary, kin long, n long, most long")
+
+
+def _open_members(placed: DataFrame) -> DataFrame:
+    """Members (bucket, node, root) of buckets with more than one class, the bucket's largest class (top), and how many
+    members it has (every) and has outside that class (rest)."""
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    largest = classes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("every")).where("top.n < every")
+    sizes = largest.select("bucket", F.col("top.root").alias("top"), "every", (F.col("every") - F.col("top.n")).alias("rest"))
+    sizes = written(sizes, "similar-open")
+    return placed.join(maybe_broadcast(sizes, sizes.count(), longs=6), "bucket")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of classes: the members outside a bucket's largest class are compared with all its members, in blocks.
+    Each pair of blocks has a place of its own, so a bucket is spread over as many tasks as it has blocks."""
+    placed = members.join(sets.select("node", "hashes"), "node")
+    block = lambda size: F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK))
+    held = F.collect_list(F.struct("node", "root", "hashes"))
+    ys = placed.groupBy("bucket", block("every").alias("y_block")).agg(held.alias("y"))
+    rest = placed.where("root <> top").groupBy("bucket", block("rest").alias("x_block")).agg(held.alias("x"), F.max("every").alias("every"))
+    xs = rest.select("bucket", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("every") / BLOCK) - 1)).alias("y_block"))
+    met = xs.join(ys, ["bucket", "y_block"]).select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = lambda rows: [np.frombuffer(r["hashes"], np.uint64) for r in rows]
@@ -286,6 +338,37 @@ def _rest_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
     return map_arrow(met, compare, "a binary, b binary")
 
 
+def _rest_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Links (a, b) between the classes that hubs left apart in crowded buckets, from each text to each other class.
+
+    Two sets of the similarity share one of their rarest shingles, so the members of buckets with several classes meet
+    by those: what a crowd has in common is frequent, hence late in the order, and brings no one together.  Of the texts
+    at a rare shingle only those that fit by size and place are kept.  Up to ``hot`` of them are paired and verified;
+    the members of larger groups are compared in blocks within their buckets."""
+    placed = written(crowd.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "similar-placed")
+    several = _open_members(placed).select("node", "root", F.xxhash64("root").alias("kin")).distinct()
+    several = written(several.join(sets, "node"), "similar-several")
+    entries = written(_rare_prefixes(several, _slot_counts(several), similarity), "similar-prefixes")
+    # Of a pair the smaller set is the one whose shingle allows a partner of its own size.
+    small = F.col("n") <= F.col("most")
+    bounds = entries.groupBy("key").agg(
+        F.min(F.when(small, F.col("n"))).alias("least"), F.max(F.when(small, F.col("most"))).alias("top"), F.min("kin").alias("k0"), F.max("kin").alias("k1")
+    )
+    fit = entries.join(bounds.where("least IS NOT NULL AND k0 <> k1"), "key").where("n <= top AND most >= least")
+    fit = written(fit.select("key", "node", "kin", "n", "most"), "similar-fit")
+    sizes = fit.groupBy("key").agg(F.count("*").alias("c"), F.min("kin").alias("k0"), F.max("kin").alias("k1")).where("k0 <> k1").select("key", "c")
+    met = written(fit.join(sizes, "key"), "similar-met")
+    few = met.where(F.col("c") <= hot).select("key", F.struct("node", "kin", "n", "most").alias("x"))
+    both = few.join(few.withColumnRenamed("x", "y"), "key").where("x.kin <> y.kin AND x.n <= y.n AND y.n <= x.most AND x.n <= y.most")
+    pairs = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = verified(written(pairs, "similar-rare"), several, similarity)
+    of = several.select("node", "root")
+    found = found.join(of.withColumnRenamed("node", "a"), "a").select("b", F.col("root").alias("x")).join(of.withColumnRenamed("node", "b"), "b")
+    many = met.where(F.col("c") > hot).select("node").distinct()
+    blocks = _open_members(written(placed.join(many, "node", "left_semi"), "similar-many"))
+    return found.select(F.col("x").alias("a"), F.col("root").alias("b")).unionByName(_block_links(blocks, several, similarity))
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = HOT, carry: Column | None = None) -> DataFrame:
     """doc_id, mark, root: texts whose sets of word shingles have the similarity (shared over all shingles) or more, and
     all that such links reach, have one root.
@@ -307,7 +390,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node"))
     sets = written(shingle_sets(docs, points, nodes, shingle), "similar-sets")
     roots = connected_components(written(verified(pairs, sets, similarity), "similar-links"))
-    rest = written(_rest_links(crowd, roots, sets, similarity), "similar-rest")
+    rest = written(_rest_links(crowd, roots, sets, similarity, hot), "similar-rest")
     # What the rest joins are whole classes: their roots get a root of their own.
     joined = connected_components(rest).select(F.col("root").alias("last"), F.col("node").alias("root"))
     named = marked.join(maybe_broadcast(roots, roots.count(), longs=4), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -564,6 +564,30 @@ def test_similar_documents_of_a_crowd(spark):
     assert len({roots[6000 + i] for i in range(300)}) == 300
 
 
+@pytest.mark.parametrize("hot", [1, 8, 32])
+def test_similar_documents_within_a_shared_passage(spark, hot):
+    """Texts of several lengths that share one passage, among them pairs, chains and a class of near copies: every link
+    is found, and the passage alone links nothing."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        own = [f"q{i}q{j}" for j in range(rng.choice([8, 14, 20, 40, 90]))]
+        texts.append(own + passage if i % 2 else passage + own)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            texts.append(edited(rng, texts[-1], rng.choice([0.02, 0.05, 0.1])))
+    texts += [edited(rng, texts[0], 0.03) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    sets = {d: shingles(t) for d, t in rows}
+    want = brute_components(sets, lambda a, b: similar(sets[a], sets[b]))
+    assert len(set(want.values())) < 130
+    classes = {}
+    for r in out:
+        classes.setdefault(r["root"], []).append(r["doc_id"])
+    assert sorted(map(sorted, classes.values())) == sorted(sorted(i for i in want if want[i] == c) for c in set(want.values()))
+
+
 def test_components_of_chains(spark):
     rng = random.Random(9)
     order = list(range(300))
