@@ -34,10 +34,10 @@ def _keep(docs: DataFrame, marks: DataFrame) -> DataFrame:
     twice = named.where("kept").groupBy(id_, of).agg(F.count("*").alias("rows")).where("rows > 1").select(id_, of)
     twice = written(twice, "pipeline-twice")
     on = lambda side: keyed["doc_id"].eqNullSafe(side[id_]) & (keyed[mark] == side[of])
-    out = keyed.join(maybe_broadcast(dropped, dropped.count()), on(dropped), "left_anti")
+    out = keyed.join(maybe_broadcast(dropped, dropped.count(), longs=6), on(dropped), "left_anti")
     n_twice = twice.count()
     if n_twice:
-        side = maybe_broadcast(twice, n_twice)
+        side = maybe_broadcast(twice, n_twice, longs=6)
         once = out.join(side, on(side), "left_semi").dropDuplicates(["doc_id", mark])
         out = out.join(side, on(side), "left_anti").unionByName(once)
     return out.drop(mark)
