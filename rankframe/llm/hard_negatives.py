@@ -1,9 +1,10 @@
 """Hard-negative mining by a two-dimensional block matrix product over anchors and rows.
 
-Rows are dealt to shards and their vectors cut into dimension chunks, so a block is (shard, chunk).  Every block of
-anchors meets every block of rows of its chunk under the key (anchor shard, row shard, chunk); the product is a partial
-tile of int64 scores, partial tiles of one (anchor shard, row shard) are shuffled together and added, and the tile is
-reduced to the best of each anchor or window at once, so no score leaves its tile but those.
+Rows are dealt to shards and their vectors cut into dimension chunks, so a block is (shard, chunk).  A shuffle brings the
+blocks of anchors and of rows together under the key (anchor shard, row shard, run of chunks); each chunk's product is a
+partial tile of int64 scores, and the tiles of a run are added where they meet.  Blocks are shuffled, not tiles, as far as the
+chunks of a pair of shards fit one task; of wider vectors the runs' tiles are shuffled by (anchor shard, row shard)
+and added again.  A whole tile is reduced to the best of each anchor or window at once, so no score leaves it but those.
 
 Two products are taken.  The first covers pairs of shards that can share a label and gives each anchor's positives.  The
 second covers pairs of shards that can differ in label; its anchor blocks carry the positives' score windows.  Shards hold
@@ -18,7 +19,7 @@ empty tables give none.  Scores outside 64 bits wrap around.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, written
+from .shared import written
 
-#: Bins of labels; rows and anchors of one shard; chunks a vector is cut into at least; bytes of one block at most.
-BINS, ROWS, ANCHORS, CHUNKS, BLOCK_BYTES = 64, 2048, 512, 2, 4 << 20
+#: Bins of labels; rows and anchors of one shard; chunks a vector is cut into at least; bytes of one block at most, and of
+#: the blocks of rows that one task brings together for a tile.
+BINS, ROWS, ANCHORS, CHUNKS, BLOCK_BYTES, RUN_BYTES = 64, 8192, 512, 2, 4 << 20, 32 << 20
+#: Parts that pairs of shards are dealt to; eight pairs each beyond.
+PARTS = 96
 _BLOCK = "k int, bin int, ids binary, labels binary, raw binary, kind string, n_wins binary, wins binary"
 _TILE = "c int, r int, k int, tile binary, anchors binary, anchor_labels binary, rows binary, row_labels binary, n_wins binary, wins binary"
 
@@ -82,38 +86,61 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _partial_tiles(met: DataFrame, same: bool) -> DataFrame:
-    """A partial tile for each pair of blocks that meet, but where no pair of rows has labels as asked (``same``, or not)."""
+_SIDE = "c int, r int, g int, ours boolean, k int, ids binary, labels binary, raw binary, kind string, n_wins binary, wins binary"
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ours, theirs = set(_ints(row["labels"]).tolist()), set(_ints(row["b_labels"]).tolist())
-                if not (ours & theirs if same else len(ours | theirs) > 1):
-                    continue
-                a = np.frombuffer(row["raw"], f"<{row['kind']}").reshape(len(row["ids"]) // 8, -1)
-                b = np.frombuffer(row["b_raw"], f"<{row['b_kind']}").reshape(len(row["b_ids"]) // 8, -1)
-                tile = {"c": row["c"], "r": row["r"], "k": row["k"], "tile": product(a, b).astype("<i8").tobytes()}
-                if row["k"] == 0:
-                    tile |= {"anchors": row["ids"], "anchor_labels": row["labels"], "rows": row["b_ids"], "row_labels": row["b_labels"], "n_wins": row["n_wins"], "wins": row["wins"]}
-                yield pa.RecordBatch.from_pylist([tile], pa.schema([*((n, pa.int32()) for n in ("c", "r", "k")), *((n, pa.binary()) for n in _TILE.replace(" binary", "").split(", ")[3:])]))
 
-    return map_arrow(met, multiply, _TILE)
+def _tile(group: pa.Table, same: bool) -> dict | None:
+    """The sum of the partial tiles of the blocks that meet, as a row of ``_TILE``; None where no pair of rows has labels as
+    asked (``same``, or not) or one side is empty."""
+    sides: dict[bool, dict] = {True: {}, False: {}}
+    for row in group.to_pylist():
+        sides[row["ours"]][row["k"]] = row
+    if not all(sides.values()):
+        return None
+    ours, theirs = (next(iter(side.values())) for side in (sides[True], sides[False]))
+    a, b = (set(_ints(row["labels"]).tolist()) for row in (ours, theirs))
+    if not (a & b if same else len(a | b) > 1):
+        return None
+    matrix = lambda row: np.frombuffer(row["raw"], f"<{row['kind']}").reshape(len(row["ids"]) // 8, -1)
+    total = np.zeros((len(ours["ids"]) // 8, len(theirs["ids"]) // 8), np.int64)
+    for k in sides[True].keys() & sides[False].keys():
+        total += product(matrix(sides[True][k]), matrix(sides[False][k]))
+    of_rows = {"rows": theirs["ids"], "row_labels": theirs["labels"]}
+    return {"c": ours["c"], "r": ours["r"], "k": ours["g"], "tile": total, "anchors": ours["ids"], "anchor_labels": ours["labels"], "n_wins": ours["n_wins"], "wins": ours["wins"]} | of_rows
+
+
+def _tiles_as_bytes(group: pa.Table, same: bool) -> pa.Table:
+    schema = pa.schema([(n, pa.int32() if kind == "int" else pa.binary()) for n, kind in (c.split() for c in _TILE.split(", "))])
+    tile = _tile(group, same)
+    return pa.Table.from_pylist([tile | {"tile": tile["tile"].tobytes()}] if tile else [], schema)
+
+
+def _heads(tile: dict) -> dict:
+    return {n: _ints(tile[n]) for n in ("anchors", "anchor_labels", "rows", "row_labels", "n_wins", "wins")}
 
 
 def _added(group: pa.Table) -> tuple[np.ndarray, dict]:
-    """The sum of a tile's partial scores, and what its first chunk says of its rows."""
+    """The sum of a pair's tiles, and what they say of its rows."""
     rows = group.to_pylist()
-    head = next(r for r in rows if r["k"] == 0)
-    total = np.zeros(len(head["anchors"]) // 8 * (len(head["rows"]) // 8), np.int64)
-    for r in rows:
-        total += _ints(r["tile"])
-    return total.reshape(len(head["anchors"]) // 8, -1), {n: _ints(head[n]) for n in ("anchors", "anchor_labels", "rows", "row_labels", "n_wins", "wins")}
+    total = sum(_ints(r["tile"]) for r in rows)
+    return total.reshape(len(rows[0]["anchors"]) // 8, -1), _heads(rows[0])
+
+
+def _reduced(met: DataFrame, same: bool, runs: int, best: Callable[[np.ndarray, dict], pa.Table], schema: str) -> DataFrame:
+    """``best`` of every tile: where its blocks meet if one run of chunks is all, else after a shuffle of the runs' tiles."""
+
+    def at_once(group: pa.Table) -> pa.Table:
+        tile = _tile(group, same)
+        return best(tile["tile"], _heads(tile)) if tile else best(np.zeros((0, 0), np.int64), dict.fromkeys(("anchors", "anchor_labels", "rows", "row_labels", "n_wins", "wins"), np.zeros(0, np.int64)))
+
+    if runs == 1:
+        return met.groupBy("c", "r", "g").applyInArrow(at_once, schema)
+    tiles = met.groupBy("c", "r", "g").applyInArrow(lambda g: _tiles_as_bytes(g, same), _TILE)
+    return tiles.groupBy("c", "r").applyInArrow(lambda g: best(*_added(g)), schema)
 
 
-def _best_positives(group: pa.Table, k: int) -> pa.Table:
-    scores, at = _added(group)
-    out: list[tuple[np.ndarray, ...]] = []
+def _best_positives(scores: np.ndarray, at: dict, k: int) -> pa.Table:
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
     for i, anchor in enumerate(at["anchors"]):
         mine = np.flatnonzero((at["row_labels"] == at["anchor_labels"][i]) & (at["rows"] != anchor))
         best = mine[np.argsort(-scores[i, mine], kind="stable")[:k]]  # rows stand by id
@@ -122,8 +149,7 @@ def _best_positives(group: pa.Table, k: int) -> pa.Table:
     return pa.table({n: pa.array(np.concatenate([o[j] for o in out]), pa.int64()) for j, n in enumerate(names)})
 
 
-def _best_negatives(group: pa.Table, k: int, low: int, high: int) -> pa.Table:
-    scores, at = _added(group)
+def _best_negatives(scores: np.ndarray, at: dict, k: int, low: int, high: int) -> pa.Table:
     starts = np.concatenate([[0], np.cumsum(at["n_wins"])])
     wins = at["wins"].reshape(-1, 2)
     out: list[tuple] = [(np.zeros(0, np.int64),) * 5]
@@ -154,9 +180,12 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     width = max((r["w"] for r in counts.values()), default=0)
     chunk = max(1, min(-(-width // CHUNKS), BLOCK_BYTES // (8 * shard_rows)))
     n_chunks = max(1, -(-width // chunk))
+    per_run = max(1, RUN_BYTES // (8 * chunk * shard_rows))
+    runs = -(-n_chunks // per_run)
     # Shards of bin b: from base[b], as many as its rows need.
     n_r = [-(-counts[b]["n"] // shard_rows) if b in counts else 0 for b in range(BINS)]
     n_c = [-(-counts[b]["a"] // shard_anchors) if b in counts else 0 for b in range(BINS)]
+    pairs = sum(n_r) * sum(n_c) * runs
     r_base, c_base = np.concatenate([[0], np.cumsum(n_r)]).tolist(), np.concatenate([[0], np.cumsum(n_c)]).tolist()
     of_bin = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bin") + 1).cast("int")
     shard = lambda base, n: (of_bin(base[:BINS]) + F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(of_bin(n), F.lit(1)))).cast("int")
@@ -169,22 +198,25 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
         return _blocks(cut.select(at.alias(name), "k", "bin", "id", "label", F.slice("x", F.col("k") * chunk + 1, F.lit(chunk)).alias("x"), "wins"), name)
 
     row_blocks = written(blocks(rows.withColumn("wins", no_wins), "r", shard(r_base, n_r)), "row-blocks")
-    theirs = row_blocks.select("r", "k", "bin", F.col("ids").alias("b_ids"), F.col("labels").alias("b_labels"), F.col("raw").alias("b_raw"), F.col("kind").alias("b_kind"))
+    g = F.floor(F.col("k") / per_run).cast("int").alias("g")
+    side = lambda of, ours: of.select("c", "r", g, F.lit(ours).alias("ours"), *_SIDE.replace(",", "").split()[8::2])
 
-    def tiles(ours: DataFrame, same: bool) -> DataFrame:
+    def best_of(ours: DataFrame, same: bool, best: Callable[[np.ndarray, dict], pa.Table], schema: str) -> DataFrame:
         to_r, to_c = (one_of(r_base, n_r), one_of(c_base, n_c)) if same else (every(r_base[-1]), every(c_base[-1]))
-        left = blocks(ours, "c", shard(c_base, n_c)).withColumn("r", F.explode(to_r)).drop("bin")
-        met = left.join(theirs.withColumn("c", F.explode(to_c)).drop("bin"), ["c", "r", "k"])
-        return _partial_tiles(met.select("c", "r", "k", "ids", "labels", "raw", "kind", "n_wins", "wins", "b_ids", "b_labels", "b_raw", "b_kind"), same).groupBy("c", "r")
+        left = blocks(ours, "c", shard(c_base, n_c)).withColumn("r", F.explode(to_r))
+        met = side(left, True).unionByName(side(row_blocks.withColumn("c", F.explode(to_c)), False))
+        # Blocks are small and their products are not: as many parts as pairs of shards ask for, whatever the bytes.
+        met = met.repartition(max(1, min(pairs, max(PARTS, pairs // 8))), "c", "r", "g")
+        return _reduced(met, same, runs, best, schema)
 
     asked = rows.where("is_anchor")
-    found = tiles(asked.withColumn("wins", no_wins), True).applyInArrow(lambda g: _best_positives(g, positives), "anchor_id long, positive_id long, positive_score long")
+    found = best_of(asked.withColumn("wins", no_wins), True, lambda t, at: _best_positives(t, at, positives), "anchor_id long, positive_id long, positive_score long")
     place = F.row_number().over(W.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id"))
     best = found.withColumn("place", place).where(F.col("place") <= positives)
     windows = best.groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("wins"))
     windowed = written(asked.join(windows, F.col("id") == F.col("anchor_id")).drop("anchor_id"), "windows")
     schema = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
-    negative = tiles(windowed, False).applyInArrow(lambda g: _best_negatives(g, negatives, low, high), schema)
+    negative = best_of(windowed, False, lambda t, at: _best_negatives(t, at, negatives, low, high), schema)
     rank = F.row_number().over(W.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
     return negative.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

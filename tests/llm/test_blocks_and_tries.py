@@ -58,6 +58,15 @@ def test_hard_negatives(spark, limits):
     assert sorted(map(tuple, found.collect())) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("run_bytes, shuffled", [(hard_negatives.RUN_BYTES, False), (1, True)])
+def test_tiles_are_shuffled_only_where_their_chunks_do_not_fit_one_task(spark, monkeypatch, run_bytes, shuffled):
+    monkeypatch.setattr(hard_negatives, "RUN_BYTES", run_bytes)
+    rows = hard_rows()
+    found = hard_negatives.mine(hard_negatives.quantised(spark.createDataFrame(rows, VECTORS)), F.col("id") % 100 == 0, shard_rows=64, shard_anchors=4)
+    assert ("tile#" in found._jdf.queryExecution().optimizedPlan().toString()) == shuffled
+    assert sorted(map(tuple, found.collect())) == mined(rows)
+
+
 def test_hard_negatives_edges(spark):
     assert hard_negatives.op11_hard_negatives(spark.createDataFrame([], VECTORS)).collect() == []
     assert hard_negatives.op11_hard_negatives(spark.createDataFrame([(0, [1.0], 1)], VECTORS)).collect() == []
