@@ -1,11 +1,17 @@
 """Errors and edge cases of banks, settings and replaceable parts."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from rankframe.operators import plugins, settings
 from rankframe.sources import banks, files
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def points(spark, *rows):
     return spark.createDataFrame(list(rows), "id long, vec array<float>")
@@ -50,6 +56,22 @@ def test_split_scan_needs_bounds(spark):
         banks.read_database(spark, "jdbc:none", "t", "k")
 
 
+def test_database_is_read_from_other_machines(tmp_path):
+    """Two executors of their own JVMs, which share nothing with the driver but the checkpoint folder."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from rankframe import plans
+spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared")
+    .config("spark.sql.warehouse.dir", "file://{tmp_path}/warehouse").getOrCreate())
+print("rows:", plans.queries()["s12_database_scan"](spark, "/root/testdata/sf0.001").count())
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, cwd=tmp_path)
+    assert "rows: 15" in done.stdout, done.stderr[-2000:]
+
+
 def test_expanded():
     known = {"A": "1", "EMPTY": ""}
     assert settings.expanded({"x": ["${A}-${B:-two}", 3], "y": "${EMPTY:-}", "z": None}, known) == {"x": ["1-two", 3], "y": "", "z": None}
