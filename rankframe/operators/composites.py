@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_abstract
 from . import assembly, evaluation, grading, planning
+from .metrics import unretrieved_of_classes
 
 
 def drawable_subclasses(taxonomy: DataFrame, side_asks: DataFrame, tracks: dict[str, str], drop_types=(), drop_subtypes=()) -> DataFrame:
@@ -140,6 +141,16 @@ def unretrieved_report(positives: DataFrame, run: DataFrame, by: str) -> DataFra
     return out.select(F.when(F.col("overall") == 1, "overall").otherwise(F.col(by).cast("string")).alias("class"), "queries", "positives", "unretrieved", F.round(100.0 * F.col("unretrieved") / F.col("positives"), 1).alias("rate"))
 
 
+def unretrieved_report_of_classes(run: DataFrame, classes: DataFrame) -> DataFrame:
+    """``unretrieved_report`` where a query's positives are the others of its class (``classes(id, cls)``)."""
+    found = unretrieved_of_classes(run, classes, "cls").select("cls", "queries", "n_pos", "n_missed")
+    out = found.groupingSets([[F.col("cls")], []], F.col("cls")).agg(F.grouping("cls").alias("overall"), *(F.sum(c).alias(c) for c in ("queries", "n_pos", "n_missed")))
+    return out.select(
+        F.when(F.col("overall") == 1, "overall").otherwise(F.col("cls").cast("string")).alias("class"), "queries", F.col("n_pos").alias("positives"), F.col("n_missed").alias("unretrieved"),
+        F.round(100.0 * F.col("n_missed") / F.col("n_pos"), 1).alias("rate"),
+    )
+
+
 def grounding(searches: list[DataFrame], picks: DataFrame, keep: int = 3) -> DataFrame:
     """``searches`` in order of preference, each (qid, rank, did); ``picks(qid, rank, seq)``: the picked places.
 

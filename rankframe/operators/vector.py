@@ -19,6 +19,9 @@ QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
 #: Bytes of query vectors that one pass over the corpus is sent, and of best rows that a task may hold in it; more queries
 #: take further passes.
 SENT_BYTES, HELD_BYTES = 256 << 20, 512 << 20
+#: Queries from which on a search no smaller than its corpus is dealt by queries; queries of one part, and bytes of best rows
+#: that it holds.
+DEALT_QUERIES, PART_QUERIES, PART_BYTES = 4096, 2048, 64 << 20
 _HITS = "qid long, did long, score double"
 
 
@@ -142,10 +145,92 @@ def _top(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return at[0], names[at[1]], scores[at]
 
 
+class _Block:
+    """A block of vectors: 64-bit parts (unit length for cosine), their norms, and 32-bit parts for a first look."""
+
+    def __init__(self, raw: bytes, dim: int, kind: str, cosine: bool):
+        x = _matrix([raw], dim, kind)
+        norms = np.linalg.norm(x, axis=1)
+        if cosine:
+            x, norms = x / np.maximum(norms, 1e-12)[:, None], np.ones(len(x))
+        self.x, self.norms = x, norms
+        self.small = bool(np.abs(x).max(initial=0) < 1e15)
+        self.rough = x.astype(np.float32) if self.small else None
+
+
+def _likely(asked: _Block, block: _Block, floor: np.ndarray, digits: int) -> np.ndarray | None:
+    """Flat places of the pairs whose rounded score may reach the floor: those whose 32-bit score does, but for the most that
+    its rounding can be off.  None where no first look is to be had."""
+    if not (asked.small and block.small and np.isfinite(floor).all()):
+        return None
+    off = (asked.x.shape[1] + 4) * 2.0**-23 * asked.norms * block.norms.max(initial=0) + 0.51 * 10.0**-digits
+    least = np.nextafter((floor - off).astype(np.float32), np.float32(-np.inf))
+    return np.flatnonzero((asked.rough @ block.rough.T >= least[:, None]).ravel())
+
+
+def _dealt_scan(blocks: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, kind: str) -> DataFrame:
+    """Blocks of queries, each where it lies, meet all blocks of the corpus: a task ranks its queries whole, and nothing but
+    their best is given on.  Scores are 64-bit; a 32-bit product says first which can matter."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[_Block, _Best]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, dim = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                ids = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                if at not in best:
+                    best[at] = _Block(batch.column(3)[i].as_py(), dim, kind, cosine), _Best(ids(1).copy(), k)
+                asked, held = best[at]
+                block, known, names = _Block(batch.column(5)[i].as_py(), dim, kind, cosine), held.qids, ids(4)
+                found = _likely(asked, block, held.floor, digits)
+                if found is None or len(found) > 2 * k * len(known):
+                    scores = np.round(asked.x @ block.x.T, digits)
+                    if skip_self:
+                        scores[known[:, None] == names[None, :]] = -np.inf
+                    held.add(*_top(scores, names, k))
+                    if not np.isfinite(held.floor).all():
+                        held.cut()
+                    continue
+                q, d = np.divmod(found, len(names))
+                if skip_self:
+                    other = known[q] != names[d]
+                    q, d = q[other], d[other]
+                if len(q):
+                    scores = np.concatenate([np.einsum("ij,ij->i", asked.x[q[j : j + 16384]], block.x[d[j : j + 16384]]) for j in range(0, len(q), 16384)])
+                    held.add(q, names[d], np.round(scores, digits))
+        if best:
+            rows = pa.Table.from_batches([held.rows() for _, held in best.values()])
+            qid, did, score = (rows.column(c).to_numpy() for c in ("qid", "did", "score"))
+            order = np.lexsort((did, -score, qid))
+            qid, did, score = qid[order], did[order], score[order]
+            place = np.arange(len(qid)) - np.searchsorted(qid, qid)
+            first = place < k
+            yield pa.record_batch({"qid": qid[first], "did": did[first], "score": score[first], "rank": (place[first] + 1).astype(np.int32)})
+
+    left = blocks.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("qids"), "dim", F.col("raw").alias("queries"))
+    both = left.join(F.broadcast(corpus.select("names", F.col("raw").alias("vectors"))))
+    return both.select("block", "qids", "dim", "queries", "names", "vectors").mapInArrow(whole, f"{_HITS}, rank int")
+
+
+def _dealt(asked: DataFrame, corpus: DataFrame, n: int, m: int, k: int, dim: int, cosine: bool, digits: int, skip_self: bool, kind: str) -> DataFrame:
+    per_part = max(64, min(PART_QUERIES, PART_BYTES // (2 * 24 * k)))
+    parts = asked.repartition(-(-n // per_part), "id")
+    passes = max(1, -(-m * (dim * int(kind[-1]) + 8) // SENT_BYTES))
+    found = [
+        _dealt_scan(_packed(parts, per_part, kind), _packed(corpus.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else corpus, CORPUS_BLOCK, kind), k, cosine, digits, skip_self, kind)
+        for p in range(passes)
+    ]
+    return found[0] if passes == 1 else ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)
+
+
 def _search(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, block: int, shared_ids: bool = False) -> DataFrame:
     asked = queries.select(F.col("qid").cast("long").alias("id"), F.col("qid").cast("long").alias("as_id"), "vec")
     kind = _kind(queries, corpus)
     n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    if n >= DEALT_QUERIES and not shared_ids:
+        m, width, least = corpus.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.min(F.size("vec")), F.lit(0))).first()
+        if m <= n and least == width == dim:
+            return _dealt(asked, corpus, n, m, k, max(dim, 1), cosine, digits, skip_self, kind)
     per_pass = pass_queries(max(dim, 1), k, block, int(kind[-1])) // block
     # Queries are dealt to blocks by digest: about ``block`` in each, and the blocks of a pass are broadcast.
     n_blocks = max(1, -(-n // block))
@@ -178,7 +263,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
 
     A stated query set meets all rows, in blocks: query blocks are broadcast to the corpus partitions, and each
     task keeps its best k a query over all its rows, so at most k rows a query and task are shuffled, also where
-    one vector is repeated everywhere.  Scores are rounded before ranking and ties go to the smaller id."""
+    one vector is repeated everywhere.  Where the queries are many and no fewer than the rows, the rows are broadcast to parts of
+    the queries instead, and a task ranks its queries whole: no scored row is shuffled.  Scores are rounded before ranking and ties go to the smaller id."""
     return _search(queries, corpus.select("id", F.col("id").alias("as_id"), "vec"), k, metric == "cosine", digits, skip_self, block)
 
 
