@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankframe.operators import composites, metrics, vector
+from rankframe.operators import composites, metrics, naming, vector
 
 
 def near(x, k, cosine, skip_self=True):
@@ -57,3 +57,16 @@ def test_classes_give_what_their_pairs_give(spark):
     assert rows(metrics.unretrieved_of_classes(run, classes).drop("queries")) == rows(metrics.unretrieved(qrels, run))
     assert rows(composites.unretrieved_report_of_classes(run, classes)) == rows(composites.unretrieved_report(qrels, run, "cls").withColumn("class", F.col("class")))
     assert rows(metrics.missed_of_classes(run, classes)) == rows(qrels.select("qid", "did").join(run, ["qid", "did"], "left_anti"))
+
+
+@pytest.mark.parametrize("group", [2, 2048])
+def test_texts_are_counted_by_concept_without_their_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(naming, "GROUP_IDS", group)
+    names = [(1, "Heart"), (1, " art "), (2, "ÉCOLE"), (3, ""), (4, None), (5, "a b"), (6, "heart"), (7, "heart"), (8, "nowhere"), (9, "nowhere"), (9, "o")]
+    texts = [(1, "HEARTH"), (2, "école a b"), (3, None), (4, "nothing art art"), (1, "hearth x"), (5, "heart"), (6, "zzz")]
+    texts, names = spark.createDataFrame(texts, "did long, text string"), spark.createDataFrame(names, "cid long, name string")
+    found = naming.texts_by_concept(texts, names)
+    want = naming.named_concepts(texts, names).groupBy("cid").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 6
+    assert "did" not in str(found._jdf.queryExecution().optimizedPlan().output())
+    assert naming.texts_by_concept(texts, names.limit(0)).collect() == [] and naming.texts_by_concept(texts.limit(0), names).collect() == []
