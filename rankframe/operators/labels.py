@@ -25,14 +25,30 @@ def _phrases(name: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, run)))
 
 
-def label_keys(labels: DataFrame) -> DataFrame:
-    """(key, tier, label_id) of ``labels(label_id, brand_names, generic_names)``: whole names, and the phrases in them."""
+def label_keys(labels: DataFrame, *carried: str) -> DataFrame:
+    """(key, tier, label_id) of ``labels(label_id, brand_names, generic_names)``, and what is carried: whole names, and the phrases in them."""
     whole = lambda names: F.transform(names, lambda n: F.concat(F.lit("="), F.lower(n)))
     inside = lambda names: F.transform(F.array_distinct(F.flatten(F.transform(names, _phrases))), lambda p: F.concat(F.lit("~"), p))
     of = [(0, whole("brand_names")), (1, whole("generic_names")), (2, inside("brand_names")), (3, inside("generic_names"))]
     tiered = lambda tier, keys: F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(k.alias("key"), F.lit(tier).alias("tier")))
     keyed = F.flatten(F.array(*(tiered(tier, keys) for tier, keys in of)))
-    return labels.select("label_id", F.explode(F.array_distinct(keyed)).alias("k")).select("k.key", "k.tier", "label_id")
+    return labels.select("label_id", *carried, F.explode(F.array_distinct(keyed)).alias("k")).select("k.key", "k.tier", "label_id", *carried)
+
+
+def _newest(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """Adds ``newest`` a group: (effective_time, label_id) of the latest time (nulls last), then of the smallest label."""
+    first = rows.groupBy(*by, "effective_time").agg(F.min("label_id").alias("label_id"), *(f.alias(n) for n, f in sums.items()))
+    return first.groupBy(*by).agg(F.max(F.struct("effective_time", "label_id")).alias("newest"), *(f.alias(n) for n, f in sums.items()))
+
+
+def _by_key(labels: DataFrame) -> DataFrame:
+    """(key, tier) with what a choice needs of the labels that have the key: whether one is ``filed``, the best original
+    application ``o`` and the ``newest`` label.  Labels are summed up by key where they lie, before names meet them: no row
+    stands for a match of a name with a label, of which one name can have as many as there are labels."""
+    number = lambda a: F.ltrim(F.regexp_extract(a, ORIGINAL, 2), F.lit("0"))
+    original = F.transform(F.filter("applications", lambda a: F.coalesce(a.rlike(ORIGINAL), F.lit(False))), lambda a: F.struct(F.length(number(a)).alias("size"), number(a).alias("number"), a.alias("application")))
+    facts = labels.select("label_id", "brand_names", "generic_names", "effective_time", (F.size("applications") > 0).alias("filed"), F.array_min(original).alias("o"))
+    return _newest(label_keys(facts, "effective_time", "filed", "o"), ["key", "tier"], filed=F.max("filed"), o=F.min("o"))
 
 
 def choose_label(asked: DataFrame, labels: DataFrame) -> DataFrame:
@@ -49,18 +65,13 @@ def choose_label(asked: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.trim(F.translate("name", '"/', "  "))
     phrase = F.concat(F.lit("~"), F.array_join(_words(text), " "))
     keys = names.select("name", F.explode(F.array(F.concat(F.lit("="), F.lower(text)), phrase)).alias("key")).where("key NOT IN ('=', '~')")
-    facts = labels.select("label_id", F.coalesce("applications", F.array().cast("array<string>")).alias("applications"), "effective_time")
-    hits = keys.join(label_keys(labels), "key").groupBy("name", "label_id").agg(F.min("tier").alias("tier")).join(facts, "label_id")
-    tiered = hits.where(F.size("applications") > 0).groupBy("name").agg(F.min("tier").alias("tier"))
+    facts = labels.withColumn("applications", F.coalesce("applications", F.array().cast("array<string>")))
+    # A name has one key a tier.  Joins go by shuffle: sizes of exploded names cannot be estimated, and what is too large must not be sent.
     # A label counts in every tier in which it matches, so one of a better tier without applications does not hide others.
-    again = keys.join(label_keys(labels), "key").join(tiered, ["name", "tier"]).select("name", "tier", "label_id").distinct().join(facts, "label_id")
-    number = F.ltrim(F.regexp_extract("application", ORIGINAL, 2), F.lit("0"))
-    filed = again.select("name", F.explode("applications").alias("application")).where(F.col("application").rlike(ORIGINAL))
-    original = filed.groupBy("name").agg(F.min(F.struct(F.length(number).alias("size"), number.alias("number"), "application")).alias("o")).select("name", "o.application")
-    under = facts.select("label_id", "effective_time", F.explode("applications").alias("application"))
-    by_application = original.join(under, "application").select("name", "application", "label_id", "effective_time")
-    by_match = again.join(original, "name", "left_anti").select("name", F.lit(None).cast("string").alias("application"), "label_id", "effective_time")
-    newest = F.row_number().over(W.partitionBy("name").orderBy(F.desc_nulls_last("effective_time"), "label_id"))
-    chosen = by_application.unionByName(by_match).withColumn("place", newest).where("place = 1").drop("place", "effective_time")
+    best = F.min(F.when(F.col("filed"), F.col("tier"))).over(W.partitionBy("name"))
+    hits = keys.join(_by_key(facts).hint("merge"), "key").withColumn("best", best).where("tier = best").select("name", "tier", F.col("o.application").alias("application"), "newest")
+    under = _newest(facts.select("label_id", "effective_time", F.explode("applications").alias("application")), ["application"]).withColumnRenamed("newest", "filed_newest")
+    both = hits.join(under.hint("merge"), "application", "left")
+    chosen = both.withColumn("label_id", F.when(F.col("application").isNull(), F.col("newest.label_id")).otherwise(F.col("filed_newest.label_id")))
     named = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
-    return names.join(chosen.join(tiered, "name").select("name", named.alias("tier"), "application", "label_id"), "name", "left")
+    return names.join(chosen.select("name", named.alias("tier"), "application", "label_id").hint("merge"), "name", "left")

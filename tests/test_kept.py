@@ -153,6 +153,15 @@ def test_label_choice(spark):
     assert labels.choose_label(spark.createDataFrame([], "name string"), frame).collect() == []
 
 
+def test_label_choice_lists_no_matches(spark):
+    """Every label matches one name: names meet one row a key and tier, and none is sent whole."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("label_id"), F.array(F.lit("Brand x")).alias("brand_names"), F.array(F.lit("g")).alias("generic_names"), F.array(F.format_string("NDA%05d", F.col("id") % 50 + 1)).alias("applications"), F.format_string("20%02d", F.col("id") % 9).alias("effective_time"))
+    assert labels._by_key(rows).count() == 6 == labels._by_key(rows).where("filed AND o.application = 'NDA00001' AND newest.label_id = '1007'").count()
+    found = labels.choose_label(spark.createDataFrame([("brand",), ("G",)], "name string"), rows)
+    assert sorted(map(tuple, found.collect())) == [("G", "generic", "NDA00001", "1250"), ("brand", "in brand", "NDA00001", "1250")]
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 CALLS = "lane string, at long, usd double"
 
 
