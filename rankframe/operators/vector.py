@@ -22,6 +22,8 @@ SENT_BYTES, HELD_BYTES = 256 << 20, 512 << 20
 #: Queries from which on a search no smaller than its corpus is dealt by queries; queries of one part, and bytes of best rows
 #: that it holds.
 DEALT_QUERIES, PART_QUERIES, PART_BYTES = 4096, 2048, 64 << 20
+#: Queries and rows of one 32-bit product, and pairs scored at once, so that they stay in the processor's caches.
+TILE, PAIRS = (512, 1024), 2048
 _HITS = "qid long, did long, score double"
 
 
@@ -145,6 +147,49 @@ def _top(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return at[0], names[at[1]], scores[at]
 
 
+class _Lists:
+    """``_Best`` for ids that no two rows share: a row of places for each query, with room for two thirds of new ones.
+
+    What is added goes behind a query's best; where a row would be full, all are sorted and cut to k."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.floor, self.last = np.full(len(qids), -np.inf), np.zeros(len(qids), np.int64)
+        self.scores, self.ids = np.full((len(qids), 3 * k), -np.inf), np.zeros((len(qids), 3 * k), np.int64)
+        self.filled = np.zeros(len(qids), np.int64)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows (place of the query, id, score), by place; at most 2 k of a place."""
+        good = (scores > self.floor[at]) | ((scores == self.floor[at]) & (ids < self.last[at]))
+        at, ids, scores = at[good], ids[good], scores[good]
+        if not len(at):
+            return
+        counts = np.bincount(at, minlength=len(self.qids))
+        if (self.filled + counts).max() > 3 * self.k:
+            self.cut()
+        to = self.filled[at] + np.arange(len(at)) - np.searchsorted(at, at)
+        self.scores[at, to], self.ids[at, to] = scores, ids
+        self.filled += counts
+
+    def cut(self) -> None:
+        width = int(self.filled.max(initial=0))
+        for low in range(0, len(self.qids), 256):
+            part = slice(low, low + 256)
+            scores, ids = self.scores[part, :width], self.ids[part, :width]
+            by_id = np.argsort(ids, axis=1)
+            order = np.take_along_axis(by_id, np.argsort(-np.take_along_axis(scores, by_id, axis=1), axis=1, kind="stable"), axis=1)
+            self.scores[part, :width], self.ids[part, :width] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        self.scores[:, self.k :] = -np.inf
+        self.filled = np.minimum(self.filled, self.k)
+        whole = self.filled == self.k
+        self.floor[whole], self.last[whole] = self.scores[whole, self.k - 1], self.ids[whole, self.k - 1]
+
+    def rows(self) -> pa.RecordBatch:
+        self.cut()
+        real = np.arange(self.k) < self.filled[:, None]
+        return pa.record_batch({"qid": np.repeat(self.qids, self.filled), "did": self.ids[:, : self.k][real], "score": self.scores[:, : self.k][real]})
+
+
 class _Block:
     """A block of vectors: 64-bit parts (unit length for cosine), their norms, and 32-bit parts for a first look."""
 
@@ -158,52 +203,99 @@ class _Block:
         self.rough = x.astype(np.float32) if self.small else None
 
 
-def _likely(asked: _Block, block: _Block, floor: np.ndarray, digits: int) -> np.ndarray | None:
-    """Flat places of the pairs whose rounded score may reach the floor: those whose 32-bit score does, but for the most that
-    its rounding can be off.  None where no first look is to be had."""
-    if not (asked.small and block.small and np.isfinite(floor).all()):
-        return None
-    off = (asked.x.shape[1] + 4) * 2.0**-23 * asked.norms * block.norms.max(initial=0) + 0.51 * 10.0**-digits
-    least = np.nextafter((floor - off).astype(np.float32), np.float32(-np.inf))
-    return np.flatnonzero((asked.rough @ block.rough.T >= least[:, None]).ravel())
+def _exact(asked: _Block, block: _Block, known: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, digits: int, skip_self: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, id, score) of the k best of the queries in ``rows``, by all their 64-bit scores, in parts of 256 queries."""
+    for low in range(0, len(rows), 256):
+        part = rows[low : low + 256]
+        scores = np.round(asked.x[part] @ block.x.T, digits)
+        if skip_self:
+            scores[known[part][:, None] == names[None, :]] = -np.inf
+        at, ids, scores = _top(scores, names, k)
+        yield part[at], ids, scores
 
 
-def _dealt_scan(blocks: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, kind: str) -> DataFrame:
+def _least(asked: _Block, block: _Block, floor: np.ndarray, known: np.ndarray, names: np.ndarray, k: int, digits: int, skip_self: bool, unique: bool) -> np.ndarray | None:
+    """The 32-bit score that a pair must have for its rounded score to reach the floor: the floor but for the most that rounding
+    can be off.  A query without a floor takes the k-th best of the block for one.  None where no first look is to be had."""
+    if not (asked.small and block.small):
+        return None
+    off = (asked.x.shape[1] + 4) * 2.0**-23 * asked.norms * block.norms.max(initial=0) + 0.51 * 10.0**-digits
+    least, new = floor - off, np.flatnonzero(np.isneginf(floor))
+    if len(new) and not unique:
+        return None
+    if len(names) > k:
+        for low in range(0, len(new), 256):
+            part = new[low : low + 256]
+            rough = asked.rough[part] @ block.rough.T
+            if skip_self:
+                rough[known[part][:, None] == names[None, :]] = -np.inf
+            least[part] = np.partition(rough, len(names) - k, axis=1)[:, -k] - 2 * off[part]
+    return np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+
+
+def _likely(asked: _Block, block: _Block, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose 32-bit score is ``least`` or more, by query.  They are few: flags are searched eight at a time."""
+    found = []
+    for top in range(0, len(least), TILE[0]):
+        for low in range(0, len(block.rough), TILE[1]):
+            a, b = asked.rough[top : top + TILE[0]], block.rough[low : low + TILE[1]]
+            flags = np.zeros((len(a), -(-len(b) // 8) * 8), bool)
+            np.greater_equal(a @ b.T, least[top : top + TILE[0], None], out=flags[:, : len(b)])
+            words = np.flatnonzero(flags.view(np.uint64))
+            at, bit = np.nonzero(flags.reshape(-1, 8)[words])
+            q, d = np.divmod(words[at] * 8 + bit, flags.shape[1])
+            found.append((q + top, d + low))
+    q, d = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(q, kind="stable")
+    return q[order], d[order]
+
+
+def _meet(asked: _Block, held: _Lists | _Best, block: _Block, names: np.ndarray, k: int, digits: int, skip_self: bool, unique: bool) -> None:
+    """A block of the corpus is held against a block of queries.  Only pairs that a 32-bit product leaves in question are scored
+    in 64 bits; of a query that it leaves more than 2 k of, all are."""
+    known = held.qids
+    least = _least(asked, block, held.floor, known, names, k, digits, skip_self, unique)
+    crowded = np.arange(len(known))
+    if least is not None:
+        q, d = _likely(asked, block, least)
+        counts = np.bincount(q, minlength=len(known))
+        crowded, few = np.flatnonzero(counts > 2 * k), counts[q] <= 2 * k
+        if skip_self:
+            few &= known[q] != names[d]
+        q, d = q[few], d[few]
+        scores = [np.einsum("ij,ij->i", asked.x[q[j : j + PAIRS]], block.x[d[j : j + PAIRS]]) for j in range(0, len(q), PAIRS)]
+        if scores:
+            held.add(q, names[d], np.round(np.concatenate(scores), digits))
+    for rows in _exact(asked, block, known, names, crowded, k, digits, skip_self):
+        held.add(*rows)
+    if not np.isfinite(held.floor).all():
+        held.cut()
+
+
+def _dealt_scan(blocks: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, kind: str, unique: bool) -> DataFrame:
     """Blocks of queries, each where it lies, meet all blocks of the corpus: a task ranks its queries whole, and nothing but
     their best is given on.  Scores are 64-bit; a 32-bit product says first which can matter."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[_Block, _Best]] = {}
+        best: dict[int, tuple[_Block, _Lists | _Best]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 at, dim = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
                 ids = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 if at not in best:
-                    best[at] = _Block(batch.column(3)[i].as_py(), dim, kind, cosine), _Best(ids(1).copy(), k)
+                    best[at] = _Block(batch.column(3)[i].as_py(), dim, kind, cosine), (_Lists if unique else _Best)(ids(1).copy(), k)
                 asked, held = best[at]
-                block, known, names = _Block(batch.column(5)[i].as_py(), dim, kind, cosine), held.qids, ids(4)
-                found = _likely(asked, block, held.floor, digits)
-                if found is None or len(found) > 2 * k * len(known):
-                    scores = np.round(asked.x @ block.x.T, digits)
-                    if skip_self:
-                        scores[known[:, None] == names[None, :]] = -np.inf
-                    held.add(*_top(scores, names, k))
-                    if not np.isfinite(held.floor).all():
-                        held.cut()
-                    continue
-                q, d = np.divmod(found, len(names))
-                if skip_self:
-                    other = known[q] != names[d]
-                    q, d = q[other], d[other]
-                if len(q):
-                    scores = np.concatenate([np.einsum("ij,ij->i", asked.x[q[j : j + 16384]], block.x[d[j : j + 16384]]) for j in range(0, len(q), 16384)])
-                    held.add(q, names[d], np.round(scores, digits))
+                block, names = _Block(batch.column(5)[i].as_py(), dim, kind, cosine), ids(4)
+                _meet(asked, held, block, names, k, digits, skip_self, unique)
         if best:
             rows = pa.Table.from_batches([held.rows() for _, held in best.values()])
             qid, did, score = (rows.column(c).to_numpy() for c in ("qid", "did", "score"))
-            order = np.lexsort((did, -score, qid))
-            qid, did, score = qid[order], did[order], score[order]
-            place = np.arange(len(qid)) - np.searchsorted(qid, qid)
+            asked_ids = np.concatenate([held.qids for _, held in best.values()])
+            if len(np.unique(asked_ids)) < len(asked_ids):  # a query that stands twice
+                order = np.lexsort((did, -score, qid))
+                qid, did, score = qid[order], did[order], score[order]
+            at = np.arange(len(qid))
+            place = at - np.maximum.accumulate(np.where(np.diff(qid, prepend=qid[:1] - 1) != 0, at, 0))
             first = place < k
             yield pa.record_batch({"qid": qid[first], "did": did[first], "score": score[first], "rank": (place[first] + 1).astype(np.int32)})
 
@@ -212,12 +304,12 @@ def _dealt_scan(blocks: DataFrame, corpus: DataFrame, k: int, cosine: bool, digi
     return both.select("block", "qids", "dim", "queries", "names", "vectors").mapInArrow(whole, f"{_HITS}, rank int")
 
 
-def _dealt(asked: DataFrame, corpus: DataFrame, n: int, m: int, k: int, dim: int, cosine: bool, digits: int, skip_self: bool, kind: str) -> DataFrame:
+def _dealt(asked: DataFrame, corpus: DataFrame, n: int, m: int, k: int, dim: int, cosine: bool, digits: int, skip_self: bool, kind: str, unique: bool) -> DataFrame:
     per_part = max(64, min(PART_QUERIES, PART_BYTES // (2 * 24 * k)))
     parts = asked.repartition(-(-n // per_part), "id")
     passes = max(1, -(-m * (dim * int(kind[-1]) + 8) // SENT_BYTES))
     found = [
-        _dealt_scan(_packed(parts, per_part, kind), _packed(corpus.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else corpus, CORPUS_BLOCK, kind), k, cosine, digits, skip_self, kind)
+        _dealt_scan(_packed(parts, per_part, kind), _packed(corpus.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else corpus, CORPUS_BLOCK, kind), k, cosine, digits, skip_self, kind, unique)
         for p in range(passes)
     ]
     return found[0] if passes == 1 else ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)
@@ -228,9 +320,9 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits:
     kind = _kind(queries, corpus)
     n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
     if n >= DEALT_QUERIES and not shared_ids:
-        m, width, least = corpus.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.min(F.size("vec")), F.lit(0))).first()
+        m, width, least, names = corpus.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.min(F.size("vec")), F.lit(0)), F.count_distinct("as_id")).first()
         if m <= n and least == width == dim:
-            return _dealt(asked, corpus, n, m, k, max(dim, 1), cosine, digits, skip_self, kind)
+            return _dealt(asked, corpus, n, m, k, max(dim, 1), cosine, digits, skip_self, kind, names == m)
     per_pass = pass_queries(max(dim, 1), k, block, int(kind[-1])) // block
     # Queries are dealt to blocks by digest: about ``block`` in each, and the blocks of a pass are broadcast.
     n_blocks = max(1, -(-n // block))

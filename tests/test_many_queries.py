@@ -36,6 +36,45 @@ def test_searches_dealt_by_queries(spark, monkeypatch, kind, sent):
         assert {(r["qid"], r["rank"]): (r["did"], r["score"]) for r in rows} == near(x, k, metric == "cosine") and len(rows) == 300 * k
 
 
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_few_pairs_of_a_block_are_scored_in_64_bits(monkeypatch, skip_self):
+    """Neither the first block, where no query has a floor, nor a later one is scored whole, but for a rare query that it crowds."""
+    rng, k, scored, whole = np.random.default_rng(1), 20, [], []
+    x = rng.normal(size=(6000, 6)).astype(np.float32)
+    x[4000:4400] = x[:400]
+    monkeypatch.setattr(vector, "_exact", lambda *a, real=vector._exact: whole.append(len(a[4])) or real(*a))
+    monkeypatch.setattr(vector.np, "einsum", lambda how, a, b, real=np.einsum: scored.append(len(a)) or real(how, a, b))
+    asked, held = vector._Block(x[:600].tobytes(), 6, "<f4", True), vector._Lists(np.arange(600), k)
+    for low in range(0, 6000, 1500):
+        names = np.arange(low, low + 1500)
+        vector._meet(asked, held, vector._Block(x[names].tobytes(), 6, "<f4", True), names, k, 6, skip_self, True)
+    rows = held.rows().to_pydict()
+    unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = np.round(unit[:600] @ unit.T, 6)
+    if skip_self:
+        want[np.arange(600), np.arange(600)] = -np.inf
+    order = np.argsort(-want, axis=1, kind="stable")[:, :k]
+    assert rows["qid"] == np.repeat(np.arange(600), k).tolist() and rows["did"] == order.ravel().tolist()
+    assert rows["score"] == pytest.approx(np.take_along_axis(want, order, axis=1).ravel().tolist())
+    assert sum(scored) < 600 * 5 * k < 600 * 6000 / 50 and sum(whole) < 0.02 * 600 * 4
+
+
+def test_lists_keep_the_best_of_ties_as_they_overflow():
+    rng, n, k = np.random.default_rng(2), 30, 7
+    held, seen = vector._Lists(np.arange(100, 100 + n), k), [[] for _ in range(n)]
+    ids = rng.permutation(5000)
+    for step in range(40):
+        at = np.sort(rng.integers(n if step % 3 else 2, size=14))
+        rows = ids[step * 14 : step * 14 + 14]
+        scores = rng.integers(-3, 3, size=14) / 2
+        held.add(at, rows, scores)
+        for q, d, s in zip(at, rows, scores):
+            seen[q].append((-s, int(d)))
+    out = held.rows().to_pydict()
+    want = [(100 + q, d, -s) for q in range(n) for s, d in sorted(seen[q])[:k]]
+    assert list(zip(out["qid"], out["did"], out["score"])) == want
+
+
 def class_rows(spark):
     rng = np.random.default_rng(3)
     kinds = [(i, int(rng.integers(4)) if i % 9 else None) for i in range(60)] + [(60, 77)]
