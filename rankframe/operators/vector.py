@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 
 #: Queries in one block, and corpus rows in one: a pair of blocks is what one matrix product sees.
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 5000
+#: Corpus blocks that a join makes at once for a block of many queries.
+SHARE_BLOCKS = 4
 #: Bytes of query vectors that one pass over the corpus is sent, and of best rows that a task may hold in it; more queries
 #: take further passes.
 SENT_BYTES, HELD_BYTES = 256 << 20, 512 << 20
-#: Queries from which on a search no smaller than its corpus is dealt by queries; queries of one part, and bytes of best rows
-#: that it holds.
-DEALT_QUERIES, PART_QUERIES, PART_BYTES = 4096, 2048, 64 << 20
+#: Queries from which on a search no smaller than its corpus is dealt by queries; the least queries of one part and the most, between
+#: them as many as make ``PARTS``; bytes of best rows that a part holds.
+DEALT_QUERIES, PART_QUERIES, MOST_QUERIES, PARTS, PART_BYTES = 4096, 2048, 8000, 128, 64 << 20
 #: Queries and rows of one 32-bit product, and pairs scored at once, so that they stay in the processor's caches.
 TILE, PAIRS = (512, 1024), 2048
 _HITS = "qid long, did long, score double"
@@ -82,13 +84,16 @@ def pass_queries(dim: int, k: int, block: int, part_bytes: int) -> int:
     return max(1, rows // block) * block
 
 
-def _packed(vectors: DataFrame, size: int, kind: str = "<f8") -> DataFrame:
-    """Rows (id, as_id, vec) as blocks of at most ``size``: their ids, the width and the parts as bytes.  Nothing moves."""
+def _packed(vectors: DataFrame, size: int, kind: str = "<f8", calls: int = 0) -> DataFrame:
+    """Rows (id, as_id, vec) as blocks of at most ``size``: their ids, the width and the parts as bytes.  Nothing moves.
+
+    ``calls``: behind a block, ``call`` -1, stand rows that are empty but for a ``call`` of 0, 1, …, one for each share of another table."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
+            even = max(1, -(-batch.num_rows // max(1, -(-batch.num_rows // size))))
+            for start in range(0, batch.num_rows, even):
+                part = batch.slice(start, even)
                 vec = part.column(2)
                 widths = set(pc.list_value_length(vec).to_pylist())
                 if len(widths) > 1 or None in widths:
@@ -97,10 +102,14 @@ def _packed(vectors: DataFrame, size: int, kind: str = "<f8") -> DataFrame:
                 if not np.isfinite(x).all():
                     raise ValueError("a vector has a part that is not finite")
                 ids, names = (pa.array([part.column(i).to_pylist()], pa.list_(pa.int64())) for i in (0, 1))
-                yield pa.record_batch({"ids": ids, "names": names, "dim": pa.array([widths.pop()], pa.int32()), "raw": pa.array([x.tobytes()], pa.binary())})
+                block = {"ids": ids, "names": names, "dim": pa.array([widths.pop()], pa.int32()), "raw": pa.array([x.tobytes()], pa.binary())}
+                yield pa.record_batch(block | ({"call": pa.array([-1], pa.int32())} if calls else {}))
+                if calls:
+                    empty = {name: pa.nulls(calls, column.type) for name, column in block.items()}
+                    yield pa.record_batch(empty | {"call": pa.array(range(calls), pa.int32())})
 
     source = vectors.select(F.col("id").cast("long"), F.col("as_id").cast("long"), F.col("vec").cast("array<double>"))
-    return source.mapInArrow(pack, "ids array<long>, names array<long>, dim int, raw binary")
+    return source.mapInArrow(pack, "ids array<long>, names array<long>, dim int, raw binary" + ", call int" * bool(calls))
 
 
 def _scan(corpus: DataFrame, blocks: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, kind: str = "<f8") -> DataFrame:
@@ -234,17 +243,22 @@ def _least(asked: _Block, block: _Block, floor: np.ndarray, known: np.ndarray, n
 
 
 def _likely(asked: _Block, block: _Block, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose 32-bit score is ``least`` or more, by query.  They are few: flags are searched eight at a time."""
-    found = []
+    """The pairs whose 32-bit score is ``least`` or more, by query.  Where the last tile had few, the
+    next is searched only in rows whose best reaches it."""
+    found, room, rare = [], np.empty(TILE[0] * TILE[1], np.float32), False
     for top in range(0, len(least), TILE[0]):
+        a, floor = asked.rough[top : top + TILE[0]], least[top : top + TILE[0]]
         for low in range(0, len(block.rough), TILE[1]):
-            a, b = asked.rough[top : top + TILE[0]], block.rough[low : low + TILE[1]]
-            flags = np.zeros((len(a), -(-len(b) // 8) * 8), bool)
-            np.greater_equal(a @ b.T, least[top : top + TILE[0], None], out=flags[:, : len(b)])
-            words = np.flatnonzero(flags.view(np.uint64))
-            at, bit = np.nonzero(flags.reshape(-1, 8)[words])
-            q, d = np.divmod(words[at] * 8 + bit, flags.shape[1])
-            found.append((q + top, d + low))
+            b = block.rough[low : low + TILE[1]]
+            scores = np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+            rows = np.flatnonzero(scores.max(axis=1) >= floor) if rare else None
+            if rare and not len(rows):
+                continue
+            at, d = np.divmod(np.flatnonzero((scores[rows] >= floor[rows, None]) if rare else (scores >= floor[:, None])), len(b))
+            found.append(((rows[at] if rare else at) + top, d + low))
+            rare = len(at) < len(a) // 8
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     q, d = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(q, kind="stable")
     return q[order], d[order]
@@ -274,23 +288,26 @@ def _meet(asked: _Block, held: _Lists | _Best, block: _Block, names: np.ndarray,
 
 def _dealt_scan(blocks: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int, skip_self: bool, kind: str, unique: bool) -> DataFrame:
     """Blocks of queries, each where it lies, meet all blocks of the corpus: a task ranks its queries whole, and nothing but
-    their best is given on.  Scores are 64-bit; a 32-bit product says first which can matter."""
+    their best is given on.  Scores are 64-bit; a 32-bit product says first which can matter.
+
+    ``corpus`` has each block's ``share``.  A join makes all rows of a row of its left side before it gives one on, so a block of queries
+    is a row that meets no share, and its calls, which hold no vectors, bring in one share each."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[_Block, _Lists | _Best]] = {}
+        best: list[tuple[_Block, _Lists | _Best]] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                at, dim = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                ids = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                if at not in best:
-                    best[at] = _Block(batch.column(3)[i].as_py(), dim, kind, cosine), (_Lists if unique else _Best)(ids(1).copy(), k)
-                asked, held = best[at]
-                block, names = _Block(batch.column(5)[i].as_py(), dim, kind, cosine), ids(4)
+                dim, ids = batch.column(1)[i].as_py(), lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023
+                if dim is not None:
+                    best.append((_Block(batch.column(2)[i].as_py(), dim, kind, cosine), (_Lists if unique else _Best)(ids(0).copy(), k)))
+                    continue
+                asked, held = best[-1]
+                block, names = _Block(batch.column(4)[i].as_py(), asked.x.shape[1], kind, cosine), ids(3)
                 _meet(asked, held, block, names, k, digits, skip_self, unique)
         if best:
-            rows = pa.Table.from_batches([held.rows() for _, held in best.values()])
+            rows = pa.Table.from_batches([held.rows() for _, held in best])
             qid, did, score = (rows.column(c).to_numpy() for c in ("qid", "did", "score"))
-            asked_ids = np.concatenate([held.qids for _, held in best.values()])
+            asked_ids = np.concatenate([held.qids for _, held in best])
             if len(np.unique(asked_ids)) < len(asked_ids):  # a query that stands twice
                 order = np.lexsort((did, -score, qid))
                 qid, did, score = qid[order], did[order], score[order]
@@ -299,19 +316,24 @@ def _dealt_scan(blocks: DataFrame, corpus: DataFrame, k: int, cosine: bool, digi
             first = place < k
             yield pa.record_batch({"qid": qid[first], "did": did[first], "score": score[first], "rank": (place[first] + 1).astype(np.int32)})
 
-    left = blocks.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("qids"), "dim", F.col("raw").alias("queries"))
-    both = left.join(F.broadcast(corpus.select("names", F.col("raw").alias("vectors"))))
-    return both.select("block", "qids", "dim", "queries", "names", "vectors").mapInArrow(whole, f"{_HITS}, rank int")
+    called = blocks.select(F.col("ids").alias("qids"), "dim", F.col("raw").alias("queries"), "call")
+    shares = corpus.select("names", F.col("raw").alias("vectors"), "share")
+    none = shares.sparkSession.range(1).select(F.lit(None).cast("array<long>").alias("names"), F.lit(None).cast("binary").alias("vectors"), F.lit(-1).alias("share"))
+    both = called.join(F.broadcast(shares.unionByName(none)), F.col("call").between(F.col("share"), F.col("share")))
+    return both.select("qids", "dim", "queries", "names", "vectors").mapInArrow(whole, f"{_HITS}, rank int")
 
 
 def _dealt(asked: DataFrame, corpus: DataFrame, n: int, m: int, k: int, dim: int, cosine: bool, digits: int, skip_self: bool, kind: str, unique: bool) -> DataFrame:
-    per_part = max(64, min(PART_QUERIES, PART_BYTES // (2 * 24 * k)))
+    per_part = max(64, min(max(PART_QUERIES, min(n // PARTS, MOST_QUERIES)), PART_BYTES // (2 * 24 * k)))
     parts = asked.repartition(-(-n // per_part), "id")
+    block = per_part + per_part // 4  # parts are of about one size; none should be two blocks, which would meet the corpus twice
     passes = max(1, -(-m * (dim * int(kind[-1]) + 8) // SENT_BYTES))
-    found = [
-        _dealt_scan(_packed(parts, per_part, kind), _packed(corpus.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else corpus, CORPUS_BLOCK, kind), k, cosine, digits, skip_self, kind, unique)
-        for p in range(passes)
-    ]
+    shares = -(-m // (passes * SHARE_BLOCKS * CORPUS_BLOCK)) or 1
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shares)).cast("int").alias("share")
+    found = []
+    for p in range(passes):
+        mine = corpus.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else corpus
+        found.append(_dealt_scan(_packed(parts, block, kind, shares), _packed(mine, CORPUS_BLOCK, kind).select("names", "raw", share), k, cosine, digits, skip_self, kind, unique))
     return found[0] if passes == 1 else ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)
 
 

@@ -36,6 +36,22 @@ def test_searches_dealt_by_queries(spark, monkeypatch, kind, sent):
         assert {(r["qid"], r["rank"]): (r["did"], r["score"]) for r in rows} == near(x, k, metric == "cosine") and len(rows) == 300 * k
 
 
+def test_queries_are_joined_to_no_rows_and_rows_come_in_shares(spark, monkeypatch):
+    """A join holds all rows that one row makes: none of them repeats the queries' vectors, and none makes the whole corpus."""
+    for name, value in (("DEALT_QUERIES", 1), ("PART_QUERIES", 64), ("CORPUS_BLOCK", 16), ("SHARE_BLOCKS", 2)):
+        monkeypatch.setattr(vector, name, value)
+    x = np.random.default_rng(4).normal(size=(300, 6)).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>").repartition(3)
+    joined, real = [], type(table).mapInArrow
+    monkeypatch.setattr(type(table), "mapInArrow", lambda df, *a, **b: joined.append(df) or real(df, *a, **b))
+    rows = vector.top_k(table.select(F.col("id").alias("qid"), "vec"), table, 9, skip_self=True).collect()
+    assert {(r["qid"], r["rank"]): (r["did"], r["score"]) for r in rows} == near(x, 9, True)
+    sent = joined[-1].select(F.col("queries").isNotNull().alias("asks"), F.col("vectors").isNotNull().alias("meets"), F.size("names").alias("n")).collect()
+    assert not any(r["asks"] and r["meets"] for r in sent)
+    blocks = sum(r["asks"] for r in sent)
+    assert 5 <= blocks < 10 and sum(r["n"] for r in sent if r["meets"]) == 300 * blocks
+
+
 @pytest.mark.parametrize("skip_self", [True, False])
 def test_few_pairs_of_a_block_are_scored_in_64_bits(monkeypatch, skip_self):
     """Neither the first block, where no query has a floor, nor a later one is scored whole, but for a rare query that it crowds."""
@@ -98,6 +114,18 @@ def test_classes_give_what_their_pairs_give(spark):
     assert rows(metrics.missed_of_classes(run, classes)) == rows(qrels.select("qid", "did").join(run, ["qid", "did"], "left_anti"))
 
 
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_missed_pairs_come_of_chunks_of_a_class(spark, monkeypatch, chunk):
+    monkeypatch.setattr(metrics, "CHUNK", chunk)
+    classes, run = class_rows(spark)
+    a, b = classes.where("cls IS NOT NULL"), classes.select(F.col("id").alias("did"), "cls")
+    pairs = a.join(b, "cls").where("id <> did").select(F.col("id").alias("qid"), "did")
+    found = metrics.missed_of_classes(run, classes)
+    assert sorted(found.collect()) == sorted(pairs.join(run, ["qid", "did"], "left_anti").collect())
+    assert "explode(ids" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert not metrics.missed_of_classes(run, classes.where("id < 0")).count()
+
+
 @pytest.mark.parametrize("group", [2, 2048])
 def test_texts_are_counted_by_concept_without_their_pairs(spark, monkeypatch, group):
     monkeypatch.setattr(naming, "GROUP_IDS", group)
